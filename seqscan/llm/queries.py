@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, substring
+from . import bpe, quality, secrets, simhash, substring
 from .common import table
 
 
@@ -17,6 +17,8 @@ def on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_near_dedup": on("documents", simhash.op3),
+        "op5_secret_scans": on("documents", secrets.op5),
+        "op7_quality_rules": on("documents", quality.op7),
         "op8_substring_dedup": on("documents", substring.op8),
         "op9_byte_level_bpe": on("documents", bpe.op9),
     }
