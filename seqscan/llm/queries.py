@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, secrets, simhash, substring
+from . import bpe, chat, html, licenses, media, mixing, quality, secrets, simhash, substring
 from .common import table
 
 
@@ -16,13 +16,18 @@ def on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": on("pages", html.op1),
+        "op2_source_mixing": on("documents", mixing.op2),
         "op3_simhash_near_dedup": on("documents", simhash.op3),
+        "op4_chat_formatting": on("conversations", chat.op4),
         "op5_secret_scans": on("documents", secrets.op5),
+        "op6_media_columns": on("documents", media.op6),
         "op7_quality_rules": on("documents", quality.op7),
         "op8_substring_dedup": on("documents", substring.op8),
         "op9_byte_level_bpe": on("documents", bpe.op9),
+        "op10_license_scans": on("documents", licenses.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.ORACLE, "op10_license_scans": licenses.oracle()}
