@@ -151,3 +151,34 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def op2(docs: DataFrame) -> DataFrame:
     return mix(docs)
+
+
+def oracle() -> str:
+    """`op2` in DuckDB."""
+    entropy = lambda a: f"(SELECT ln(sum(pow(p, {a}))) - sum(pow(p, {a}) * ln(p) * {a}) / sum(pow(p, {a})) FROM shares)"
+    most = lambda a: f"(SELECT max(pow(p, {a} - 1.0)) / sum(pow(p, {a})) FROM shares)"
+    name = "coalesce(doc_id::VARCHAR, name)"
+    return f"""
+WITH RECURSIVE
+docs AS (SELECT * FROM (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) ELSE '' END AS name FROM documents) WHERE tokens > 0),
+sources AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS documents FROM docs GROUP BY source),
+known AS (SELECT sum(tokens)::BIGINT AS total, count(*) AS n, {ENTROPY_SHARE} * ln(count(*)) AS target FROM sources),
+shares AS (SELECT tokens / (SELECT total FROM known) AS p FROM sources),
+bisect AS (SELECT 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+  SELECT k + 1, CASE WHEN h >= (SELECT target FROM known) THEN mid ELSE low END, CASE WHEN h >= (SELECT target FROM known) THEN high ELSE mid END
+  FROM (SELECT k, low, high, (low + high) / 2 AS mid, {entropy("(low + high) / 2")} AS h FROM bisect WHERE k < {LEVELS * PASSES})),
+limits AS (SELECT 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+  SELECT k + 1, CASE WHEN m <= {REPETITIONS} THEN low ELSE mid END, CASE WHEN m <= {REPETITIONS} THEN mid ELSE high END
+  FROM (SELECT k, low, high, (low + high) / 2 AS mid, {most("(low + high) / 2")} AS m FROM limits WHERE k < {LEVELS * PASSES})),
+first AS (SELECT CASE WHEN n < 2 OR {entropy("1.0::DOUBLE")} >= target THEN 1.0 ELSE (SELECT low FROM bisect WHERE k = {LEVELS * PASSES}) END::DOUBLE AS a FROM known),
+chosen AS (SELECT CASE WHEN {most("a")} <= {REPETITIONS} THEN a WHEN {most("1.0::DOUBLE")} <= {REPETITIONS} THEN greatest(a, (SELECT high FROM limits WHERE k = {LEVELS * PASSES})) ELSE 1.0 END AS a FROM first),
+weighed AS (SELECT source, tokens, round(pow(tokens::DOUBLE, a) / sum(pow(tokens::DOUBLE, a)) OVER (), 9) AS weight FROM sources, chosen),
+plan AS (SELECT source, tokens AS source_tokens, floor(weight * total::DOUBLE)::BIGINT AS quota, floor(weight * total::DOUBLE)::BIGINT // tokens AS epochs, total, greatest(1, (total + {BLOCK_TOKENS - 1}) // {BLOCK_TOKENS}) AS n_blocks FROM weighed, known),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, tokens ROWS UNBOUNDED PRECEDING)::BIGINT - tokens AS before
+  FROM (SELECT *, md5('{SEED}:' || epochs || ':' || {name}) AS key FROM docs JOIN plan USING (source))),
+copies AS (SELECT *, unnest(range(epochs + CASE WHEN before + tokens <= quota - epochs * source_tokens THEN 1 ELSE 0 END)) AS copy FROM placed),
+blocked AS (SELECT *, least(floor((copy * source_tokens + before) * n_blocks / quota), n_blocks - 1)::BIGINT AS block FROM copies)
+SELECT doc_id, source, tokens, copy, block,
+  row_number() OVER (PARTITION BY block ORDER BY md5('{SEED}:' || block || ':' || copy || ':' || {name}), doc_id NULLS FIRST, tokens, copy) - 1 AS place
+FROM blocked
+"""

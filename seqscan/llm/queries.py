@@ -30,4 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE, "op10_license_scans": licenses.oracle()}
+    return {
+        "op2_source_mixing": mixing.oracle(),
+        "op4_chat_formatting": chat.ORACLE,
+        "op5_secret_scans": secrets.oracle(),
+        "op10_license_scans": licenses.oracle(),
+    }

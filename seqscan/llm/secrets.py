@@ -208,3 +208,25 @@ def op5(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     found = find(docs.select("doc_id", "text"))
     return found.select(F.col("row.doc_id").alias("doc_id"), *[count(k) for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """`op5` in DuckDB, every rule scanning every text."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    scans = " UNION ALL ".join(
+        f"SELECT n, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quote(r.pattern)}) AS gaps, regexp_extract_all(t, {quote(r.pattern)}, 0) AS whole, regexp_extract_all(t, {quote(r.pattern)}, {r.group}) AS judged FROM docs"
+        for i, r in enumerate((scan_pattern(r) for r in rules))
+    )
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+places AS (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM ({scans})),
+spans AS (
+  SELECT n, rank, kind, start, start + length(whole[k]) AS stop FROM (
+    SELECT *, (list_sum(list_transform(gaps[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:k - 1], lambda x: length(x))), 0))::BIGINT AS start FROM places)
+  WHERE length(judged[k]) >= least),
+found AS (SELECT n, {counts}, {listed} FILTER (rank < {len(BASE)}) AS base, {listed} AS spans FROM spans GROUP BY n)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found USING (n)
+"""
