@@ -13,7 +13,7 @@ places as gaps. The block is named by other bits than those; so 56 + log2(blocks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +25,7 @@ WINDOW = 13
 #: Bytes of text whose windows are packed together.
 BATCH = 12 << 20
 BLOCKS = "block int, docs binary, counts binary, gaps binary, low binary, mid binary, high binary"
-OWNED = "doc_id long, pos binary, owner binary"
+OWNED = "answer int, docs binary, counts binary, pos binary, owner binary"
 
 
 def coefficients(window: int) -> np.ndarray:
@@ -130,8 +130,16 @@ def unpack_gaps(data: bytes, n: int) -> np.ndarray:
     return gaps
 
 
-def owned_windows(packed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of BLOCKS -> rows of OWNED: the windows of a document that a document of smaller id holds too, and whose."""
+def bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def owned_windows(packed: DataFrame, answers: int) -> DataFrame:
+    """Rows of BLOCKS -> rows of OWNED: the windows of a document that a document of smaller id holds too, and whose.
+
+    A block's answers are packed by bucket of documents, in order of document and place.
+    """
     import pyarrow as pa
 
     def answer(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -155,26 +163,38 @@ def owned_windows(packed: DataFrame, window: int = WINDOW) -> DataFrame:
         found = np.flatnonzero(owner < doc)
         found = found[np.lexsort((pos[found], doc[found]))]
         doc, pos, owner = doc[found], pos[found].astype("<u4"), owner[found].astype("<i8")
-        starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, int)
-        for at in range(0, len(starts), 20_000):
-            some = starts[at : at + 20_000].tolist()
-            ends = starts[at + 1 : at + 1 + len(some)].tolist()
-            ends += [len(doc)] * (len(some) - len(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array([pos[a:b].tobytes() for a, b in zip(some, ends, strict=True)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(some, ends, strict=True)], pa.binary())], ["doc_id", "pos", "owner"])
+        to = bucket_of(doc, answers)
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(answers + 1))
+        out = []
+        for b in range(answers):
+            own = order[ends[b] : ends[b + 1]]
+            if len(own):
+                docs, n = np.unique(doc[own], return_counts=True)  # in order, as doc is
+                out.append((b, docs.astype("<i8").tobytes(), n.astype("<u4").tobytes(), pos[own].tobytes(), owner[own].tobytes()))
+        if out:
+            fields = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), *[pa.array(c, pa.binary()) for c in fields[1:]]], [f.split()[0] for f in OWNED.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return packed.mapInArrow(grouped("block", answer), OWNED)
+
+
+def grouped(key: str, handle: Callable) -> Callable:
+    """Calls `handle` with the rows of one value of `key` after another; the partition is sorted by it."""
+
+    def run(batches: Iterator) -> Iterator:
         held: list[dict] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
-                if held and held[-1]["block"] != row["block"]:
-                    yield from answer(held)
+                if held and held[-1][key] != row[key]:
+                    yield from handle(held)
                     held = []
                 held.append(row)
         if held:
-            yield from answer(held)
+            yield from handle(held)
 
-    return packed.mapInArrow(run, OWNED)
+    return run
 
 
 def block_count(source: DataFrame) -> int:
@@ -194,23 +214,25 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, blocks: int | None =
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     blocks = blocks or block_count(source)
-    packed = packed_windows(source, blocks, window).repartitionByRange(blocks, "block").sortWithinPartitions("block")
-    owned = owned_windows(packed, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, spans = [], []
-            for doc, pos, owner in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "owner")), strict=True):
-                at, of = np.frombuffer(b"".join(pos), "<u4").astype(np.int64), np.frombuffer(b"".join(owner), "<i8")
-                order = np.lexsort((of, at))
-                at, of = at[order], of[order]
-                once = np.concatenate(([True], at[1:] != at[:-1]))
-                ids.append(doc)
-                spans.append([{"start": a, "end": b, "reference": r} for a, b, r in parse(at[once], of[once], window)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("reference", pa.int64())])))], ["doc_id", "spans"])
-
-    gathered = owned.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("owner").alias("owner"))
-    return gathered.mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long, reference: long>>")
+    packed = packed_windows(source, blocks, window).repartition(blocks, "block").sortWithinPartitions("block")
+    owned = owned_windows(packed, blocks).repartition(blocks, "answer").sortWithinPartitions("answer")
+
+    def spans(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        doc = np.concatenate([np.repeat(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+        at = np.concatenate([np.frombuffer(r["pos"], "<u4") for r in rows]).astype(np.int64)
+        owner = np.concatenate([np.frombuffer(r["owner"], "<i8") for r in rows])
+        order = np.lexsort((owner, at, doc))
+        doc, at, owner = doc[order], at[order], owner[order]
+        once = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
+        doc, at, owner = doc[once], at[once], owner[once]
+        ids, first = np.unique(doc, return_index=True)
+        ends = np.append(first[1:], len(doc))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("reference", pa.int64())]))
+        for k in range(0, len(ids), 5_000):
+            found = [[{"start": a, "end": b, "reference": r} for a, b, r in parse(at[i:j], owner[i:j], window)] for i, j in zip(first[k : k + 5_000], ends[k : k + 5_000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5_000]), pa.array(found, kind)], ["doc_id", "spans"])
+
+    return owned.mapInArrow(grouped("answer", spans), "doc_id long, spans array<struct<start: long, end: long, reference: long>>")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
