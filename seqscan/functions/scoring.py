@@ -22,14 +22,27 @@ def number_type(table: np.ndarray, gop: int, gex: int, m: int, n: int) -> type:
     return np.int16 if reach < 20_000 else np.int32
 
 
-def block_scores(query: np.ndarray, subjects: np.ndarray, table: np.ndarray, gop: int, gex: int) -> np.ndarray:
-    """Scores of one query (codes) against subjects, a positions x subjects array of codes padded with `other`."""
-    n, count = subjects.shape
+class Block:
+    """Subjects of similar length, as a positions x subjects array of codes, and their scores against each residue."""
+
+    def __init__(self, subjects: np.ndarray, table: np.ndarray):
+        self.subjects, self.table = subjects, table
+        self.layers: dict[tuple[type, int], np.ndarray] = {}
+
+    def layer(self, kind: type, code: int) -> np.ndarray:
+        """Scores of one residue against all positions; made once for all queries."""
+        if (kind, code) not in self.layers:
+            self.layers[kind, code] = self.table[code].astype(kind)[self.subjects]
+        return self.layers[kind, code]
+
+
+def block_scores(query: np.ndarray, block: Block, gop: int, gex: int) -> np.ndarray:
+    """Scores of one query (codes) against the subjects of a block, padded with `other`."""
+    n, count = block.subjects.shape
     if not len(query) or not n or not count:
         return np.zeros(count, np.int32)
-    kind = number_type(table, gop, gex, len(query), n)
-    used, index = np.unique(query, return_inverse=True)
-    profile = table.astype(kind)[used][:, subjects]  # one layer for each residue that the query has
+    kind = number_type(block.table, gop, gex, len(query), n)
+    profile = [block.layer(kind, code) for code in query.tolist()]
     floor = kind(-10_000 if kind is np.int16 else -1_000_000_000)
     gop, gex = kind(gop), kind(gex)
     h = np.zeros((n + 1, count), kind)  # row 0 is the border
@@ -38,12 +51,12 @@ def block_scores(query: np.ndarray, subjects: np.ndarray, table: np.ndarray, gop
     if gop <= gex:
         ramp = (np.arange(n, dtype=kind) * gex)[:, None]
         opened = ramp[:-1] + gop
-        for a in index:
+        for scores in profile:
             np.add(f, gex, out=f)
             np.add(h[1:], gop, out=x)
             np.maximum(f, x, out=f)
             np.maximum(f, floor, out=f)
-            np.add(h[:-1], profile[a], out=t)
+            np.add(h[:-1], scores, out=t)
             np.maximum(t, f, out=t)
             np.maximum(t, 0, out=t)
             np.subtract(t, ramp, out=e)
@@ -54,10 +67,10 @@ def block_scores(query: np.ndarray, subjects: np.ndarray, table: np.ndarray, gop
             np.maximum(best, h[1:], out=best)
         return best.max(axis=0).astype(np.int32)
     # Opening costs less than extending: gaps of both kinds may follow each other, so positions go one by one.
-    for a in index:
+    for scores in profile:
         np.maximum(f + gex, h[1:] + gop, out=f)
         np.maximum(f, floor, out=f)
-        np.add(h[:-1], profile[a], out=t)
+        np.add(h[:-1], scores, out=t)
         np.maximum(t, f, out=t)
         np.maximum(t, 0, out=t)
         gap = np.full(count, floor)
@@ -93,13 +106,14 @@ def stacked(subjects: Sequence[bytes], rows: np.ndarray, other: int = 20) -> np.
 
 def all_scores(queries: Sequence[bytes], subjects: Sequence[bytes], table: np.ndarray, gop: int, gex: int) -> np.ndarray:
     """Scores of every query against every subject (codes): queries x subjects, int32. Empty sequences score 0."""
+    distinct = {q: np.frombuffer(q, np.uint8) for q in queries}
     out = np.zeros((len(queries), len(subjects)), np.int32)
     if subjects:
-        arrays = [np.frombuffer(q, np.uint8) for q in queries]
         for rows in grouped(np.array([len(s) for s in subjects])):
-            block = stacked(subjects, rows)
-            for k, q in enumerate(arrays):
-                out[k, rows] = block_scores(q, block, table, gop, gex)
+            block = Block(stacked(subjects, rows), table)
+            found = {q: block_scores(codes, block, gop, gex) for q, codes in distinct.items()}
+            for k, q in enumerate(queries):
+                out[k, rows] = found[q]
     return out
 
 

@@ -18,6 +18,8 @@ from seqscan.plans.config import SearchConfig
 QUERY_BLOCK = 4 << 20
 #: Subjects' residues that a task scores at once.
 SUBJECT_BLOCK = 2 << 20
+#: Residues for a task under which a database is dealt anew.
+SMALL_TASK = 8 << 20
 CANDIDATES = "query_num long, ref_id int, score int, cells long, overflows long"
 HITS = ["query_num", "query_length", "query_header", "result_num", "score", "reference_length", "reference_header", "ref_id"]
 
@@ -80,6 +82,13 @@ def scored(db: DataFrame, queries: list[tuple[int, bytes]], config: SearchConfig
     return db.select("ref_id", "residues").mapInArrow(run, CANDIDATES)
 
 
+def spread(db: DataFrame) -> DataFrame:
+    """A database too small to fill all tasks is dealt anew; a large one is read as it lies, without a shuffle."""
+    tasks = 2 * db.sparkSession.sparkContext.defaultParallelism
+    r = db.agg(F.sum("length").alias("n"), F.count("*").alias("rows")).first()
+    return db.select("ref_id", "residues").repartition(max(1, min(tasks, r["rows"]))) if (r["n"] or 0) < tasks * SMALL_TASK else db
+
+
 @dataclass
 class Result:
     """Hits and statistics of a search. Both come from `candidates`; persist that to use both."""
@@ -125,6 +134,7 @@ def search(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfi
     The database is read once for all queries of a block, and only best candidates leave a task. Null sequences are
     empty and score 0.
     """
+    near = spread(db)
     asked = queries.select("query_num", F.coalesce("sequence", F.lit("")).alias("sequence")).orderBy("query_num")
     parts: list[DataFrame] = []
     block: list[tuple[int, bytes]] = []
@@ -134,12 +144,12 @@ def search(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfi
         if len(one) > 2**31 - 1 - 128 - 4:
             raise ValueError(f"query {r['query_num']} is too long")
         if block and size + len(one) > QUERY_BLOCK:
-            parts.append(scored(db, block, config))
+            parts.append(scored(near, block, config))
             block, size = [], 0
         block.append((r["query_num"], one))
         size += len(one) + 64
     if block or not parts:
-        parts.append(scored(db, block, config))
+        parts.append(scored(near, block, config))
     candidates = parts[0]
     for part in parts[1:]:
         candidates = candidates.unionByName(part)
