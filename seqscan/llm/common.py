@@ -9,9 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whitespace between words, as a regular expression for Spark, and the same characters plain.
-GAP = r"[\x20\x09-\x0D]+"
-GAP_CHARS = " \t\n\x0b\x0c\r"
+#: Whitespace between words and a character of a word, as regular expressions for Spark.
+GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +41,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
-def count_words(text: Column) -> Column:
-    """Number of words without building them: splits less the empty ends."""
-    text = F.coalesce(text, F.lit(""))
-    return F.size(words_of(text)).cast("long")
-
-
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, GAP_CHARS, let, words_of
+from .common import GAP, WORD, cut, let, words_of
 
 #: Base rules: fewest words; percentage of words in repeated windows above which a document fails.
 MIN_WORDS, MAX_REPEATED = 50, 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: A line is boilerplate on a host in more than so many distinct documents and more than this share of the host's.
 LINE_DOCUMENTS, LINE_SHARE = 50, 0.01
 #: A document is depleted with fewer words left, or a smaller share of its words.
@@ -24,10 +24,6 @@ LEFT_WORDS, LEFT_SHARE = 20, 0.1
 BROADCAST_LINES = 20_000
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def repeated_words(windows: Column) -> Column:
     """Words covered by windows (hashes, in order of position) that occur twice or more."""
 
@@ -44,13 +40,13 @@ def repeated_words(windows: Column) -> Column:
 
 
 def word_features(text: Column) -> Column:
-    """n_words, n_repeat_words and the signature; each array is made once."""
+    """n_words, word_chars, n_repeat_words and the signature; each array is made once."""
 
     def of_words(words: Column) -> Column:
         n = F.size(words)
         at = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
         windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
-        return let(windows, lambda w: F.struct(n.cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), F.coalesce(F.array_min(w), F.xxhash64(text)).alias("signature")))
+        return let(windows, lambda w: F.struct(n.cast("long").alias("n_words"), F.aggregate(words, F.lit(0), lambda n, word: n + F.length(word)).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"), F.coalesce(F.array_min(w), F.xxhash64(text)).alias("signature")))
 
     return let(words_of(text), of_words)
 
@@ -68,12 +64,12 @@ def signature_of(text: Column) -> Column:
 
 def line_hash(line: Column) -> Column:
     """Hash of the normalised line: lower case, digits alike, white space collapsed; null for a line without words."""
-    plain = F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), GAP, " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), GAP, " "))
     return let(plain, lambda p: F.when(p != "", F.xxhash64(p)))
 
 
 def duplicate_lines(lines: Column) -> Column:
-    worded = F.filter(lines, lambda line: without(line, GAP_CHARS) != "")
+    worded = F.filter(lines, lambda line: line.rlike(WORD))
     return let(worded, lambda w: (F.size(w) - F.size(F.array_distinct(w))).cast("long"))
 
 
@@ -81,9 +77,10 @@ def boilerplate(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float =
     """`docs` (text, source) -> (host, line): hashed lines above the limit on their host. Null source is a host of its own."""
     text = F.coalesce("text", F.lit(""))
     seen = docs.select(F.coalesce("source", F.lit("\0")).alias("host"), signature_of(text).alias("signature"), F.array_distinct(F.transform(F.split(text, "\n"), line_hash)).alias("lines"))
-    lines = seen.select("host", "signature", F.explode("lines").alias("line")).where("line is not null").distinct()
+    lines = seen.select("host", "signature", F.explode("lines").alias("line")).where("line is not null")
+    lines = cut(lines.distinct())
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > documents)
-    hosts = seen.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("n_documents"))
+    hosts = lines.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("n_documents"))
     return counted.join(hosts, "host").where(F.col("n") > share * F.col("n_documents")).select("host", "line")
 
 
@@ -92,8 +89,6 @@ def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE
 
     Null text has no words and fails; repeated rows are judged alike; an empty table gives an empty result.
     """
-    from .common import cut
-
     bad = cut(boilerplate(docs, documents, share))
     base = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("\0")).alias("host"))
     if bad.count() <= broadcast_lines:
@@ -122,8 +117,7 @@ def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE
     measured = base.select(
         "row",
         word_features(F.col("text")).alias("w"),
-        F.length(without(F.col("text"), GAP_CHARS)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         duplicate_lines(lines).alias("n_dup_lines"),
         let(removal(F.col("bad")), clean).alias("c"),
     )
@@ -133,7 +127,7 @@ def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE
     return measured.select(
         "row",
         n_words.alias("n_words"),
-        "word_chars",
+        F.col("w.word_chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         repeated.alias("n_repeat_words"),
