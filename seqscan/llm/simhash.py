@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     found = nodes.join(roots, "fp")
     least = found.groupBy("root").agg(F.min("rep").alias("least"))
     classes = nodes.join(found.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # Cut off, so that both sides are shuffled for this join alone and Spark may split the partition of a hot fingerprint.
+    return rows.join(cut(classes), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
