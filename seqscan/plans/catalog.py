@@ -196,11 +196,6 @@ def mates(spark, sf_dir):
     return pairs(p).select("pair", "header_1", "sequence_1", "header_2", "sequence_2")
 
 
-def skipped(spark, sf_dir):
-    """Records after the first hundred."""
-    return documents(spark, sf_dir).where("ordinal >= 100").select(F.col("ordinal").alias("doc_id"), "header")
-
-
 def recoded(spark, sf_dir):
     again = database.recode(document_db(spark, sf_dir))
     return again.select("ref_id", F.md5(F.hex("residues")).alias("codes_md5"))
@@ -270,7 +265,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "fasta_scan": (fasta, f"SELECT doc_id, doc_id || ' of documents' AS header, md5({oracle.letters('text')}) AS letters_md5 FROM documents"),
     "fastq_scan": (fastq, f"SELECT p_partkey::BIGINT AS p_partkey, p_partkey::VARCHAR AS header, s AS sequence, rpad(q, length(s)::INTEGER, '@') AS quality FROM (SELECT p_partkey, {oracle.letters('p_name')} AS s, {oracle.letters('p_type')} AS q FROM part)"),
     "pair_scan": (mates, f"SELECT a.p_partkey // 2 AS pair, a.p_name AS header_1, {oracle.letters('a.p_name')} AS sequence_1, b.p_name AS header_2, {oracle.letters('b.p_name')} AS sequence_2 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 2 = 0"),
-    "skip_records": (skipped, "SELECT doc_id, doc_id::VARCHAR AS header FROM documents WHERE doc_id >= 100"),
     "stream_search": (streamed, f"WITH RECURSIVE {oracle.hits(SearchConfig(), oracle.QUERIES_SQL.replace('n_nationkey::BIGINT AS query_num', 'row_number() OVER (ORDER BY n_nationkey) - 1 AS query_num'))} SELECT query_num AS file_query_num, query_header, result_num, score, ref_id FROM hits"),
     "interactive_search": (interactive, f"WITH RECURSIVE {oracle.hits(SearchConfig(), '''SELECT -1::BIGINT AS query_num, '-' AS header, 'HREDWIDGET' AS sequence''')} SELECT {HITS} FROM hits"),
     "names_in_documents": (names_in_documents, None),

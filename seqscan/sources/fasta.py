@@ -107,3 +107,8 @@ def pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
         first, second, on = left.withColumn("pair", F.col("ordinal")), right.withColumn("pair", F.col("ordinal")), ["pair"]
     named = lambda df, n: df.select(*on, *[F.col(c).alias(f"{c}_{n}") for c in ("header", "sequence", "quality")])
     return named(first, 1).join(named(second, 2), on)
+
+
+def skip(records: DataFrame, n: int) -> DataFrame:
+    """Records after the first `n` of each file."""
+    return records.where(F.col("ordinal") >= n)

@@ -58,6 +58,14 @@ def test_sources_agree(spark, files):
     assert [(r.header, r.sequence) for r in split] == [("one the first", "MKVAW"), ("two", ""), ("three\twith tab", "ACDE")]
 
 
+def test_skip_and_mates(spark, files):
+    got = fasta.read_sequences(spark, str(files / "a.fasta"))
+    assert [r.header for r in fasta.skip(got, 2).collect()] == ["three\twith tab"]
+    assert [(r.header_1, r.header_2) for r in fasta.pairs(got).collect()] == [("one the first", "two")]
+    both = fasta.pairs(got, fasta.read_sequences(spark, str(files / "b.fa"))).orderBy("pair").collect()
+    assert [(r.header_1, r.header_2) for r in both] == [("one the first", "w"), ("two", "x")]
+
+
 def test_database(spark, files, tmp_path):
     rows = fasta.read_sequences(spark, str(files)).withColumn("ordinal", F.col("ordinal") + F.when(F.col("file").endswith("b.fa"), 10).otherwise(0))
     database.build_db(rows, f"{tmp_path}/db")
