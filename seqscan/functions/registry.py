@@ -47,8 +47,40 @@ def sw_score(query: Column, subject: Column, matrix: str = "blosum62", gop: int
     return score(query, subject)
 
 
+@F.udtf(returnType="ref_id int, score int")
+class AlignTopK:
+    """`align_topk(TABLE(db), query, top)`: the best subjects of each part of the table that one task reads.
+
+    Over the whole table the best are had by `ORDER BY score DESC, ref_id LIMIT top`.
+    """
+
+    def __init__(self):
+        self.waiting: list[tuple[int, bytes]] = []
+        self.kept: list[tuple[int, int]] = []
+        self.asked: tuple[str, int] = ("", 0)
+
+    def eval(self, row, query: str, top: int):
+        self.asked = (query or "", top)
+        self.waiting.append((row["ref_id"], bytes(row["residues"] or b"")))
+        if len(self.waiting) >= 5_000:
+            self.score()
+
+    def score(self):
+        query, top = self.asked
+        codes = residues.encode(query)
+        found = pair_scores([(codes, s) for _, s in self.waiting], residues.matrix("blosum62"), *residues.GAPS["blosum62"])
+        self.kept += [(ref, int(n)) for (ref, _), n in zip(self.waiting, found, strict=True)]
+        self.kept = sorted(self.kept, key=lambda x: (-x[1], x[0]))[:top]
+        self.waiting = []
+
+    def terminate(self):
+        self.score()
+        yield from self.kept
+
+
 def register(spark: SparkSession) -> None:
-    """aa_encode, aa_decode, length_partition, sw_score (default matrix and gaps) for SQL."""
+    """aa_encode, aa_decode, length_partition, sw_score and align_topk (default matrix and gaps) for SQL."""
+    spark.udtf.register("align_topk", AlignTopK)
     spark.udf.register("aa_encode", aa_encode)
     spark.udf.register("aa_decode", aa_decode)
     bounds = residues.BOUNDS

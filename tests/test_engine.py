@@ -12,7 +12,7 @@ from seqscan.plans.config import SearchConfig, parse_size
 from seqscan.sources import fasta, records, sinks
 from seqscan.streaming import live
 from tests.test_scoring import TWO, plain
-from seqscan.functions import residues
+from seqscan.functions import registry, residues
 
 FASTA = b">one the first\nMKV\n\nAW\n>two\n>three\twith tab\r\nAC\r\nDE\r\n"
 
@@ -163,3 +163,12 @@ def test_sinks_and_command_line(spark, files, tmp_path, monkeypatch, capsys):
     assert "Unrecognized" in capsys.readouterr().out
     sinks.write_folder(sinks.tsv_lines(search.search(live.numbered(fasta.read_sequences(spark, str(files))).where("file like '%b.fa'"), database.load_db(spark, f"{tmp_path}/db")).hits()), f"{tmp_path}/lines")
     assert spark.read.text(f"{tmp_path}/lines").count() == 6
+
+
+def test_top_of_a_table_from_sql(spark):
+    registry.register(spark)
+    db = database.subjects(spark.createDataFrame([(i, "h", s) for i, s in enumerate([TWO[0], TWO[1], "", "WW", TWO[0][:60]])], "ordinal long, header string, sequence string"))
+    db.repartition(2).createOrReplaceTempView("db")
+    got = spark.sql(f"SELECT * FROM align_topk(TABLE(SELECT ref_id, residues FROM db), '{TWO[0]}', 2) ORDER BY score DESC, ref_id LIMIT 2").collect()
+    asked = spark.createDataFrame([(0, "q", TWO[0])], "query_num long, header string, sequence string")
+    assert [(r.score, r.ref_id) for r in got] == [(r.score, r.ref_id) for r in search.search(asked, db, SearchConfig(top=2)).top_scores().orderBy("result_num").collect()]
