@@ -2,7 +2,8 @@
 
 With H the best score of an alignment ending at a pair of positions, a gap of length k costs gop + (k - 1) * gex. For
 one query residue at a time, all subjects' rows are made: gaps in the subject (F) from the row before, then gaps in the
-query (E) as a running maximum along the subjects from which the ramp of extensions has been removed.
+query (E) as a running maximum along the subjects. Values are kept less gex times their position, so that extending a
+gap along a subject changes nothing and needs no step of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ BLOCK_CELLS = 1 << 16
 
 def number_type(table: np.ndarray, gop: int, gex: int, m: int, n: int) -> type:
     """int16 while no score, ramp or gap sum can leave it."""
-    reach = int(table.max()) * min(m, n) + abs(gex) * (n + 2) + 2 * abs(gop) + int(abs(table).max())
+    reach = int(table.max()) * min(m, n) + abs(gex) * (n + 3) + 2 * abs(gop) + int(abs(table).max())
     return np.int16 if reach < 20_000 else np.int32
 
 
@@ -29,11 +30,12 @@ class Block:
         self.subjects, self.table = subjects, table
         self.layers: dict[tuple[type, int], np.ndarray] = {}
 
-    def layer(self, kind: type, code: int) -> np.ndarray:
-        """Scores of one residue against all positions; made once for all queries."""
-        if (kind, code) not in self.layers:
-            self.layers[kind, code] = self.table[code].astype(kind)[self.subjects]
-        return self.layers[kind, code]
+    def layer(self, kind: type, code: int, less: int = 0) -> np.ndarray:
+        """Scores of one residue against all positions, each less a constant; made once for all queries."""
+        key = kind, code, less
+        if key not in self.layers:
+            self.layers[key] = (self.table[code] - less).astype(kind)[self.subjects]
+        return self.layers[key]
 
 
 def block_scores(query: np.ndarray, block: Block, gop: int, gex: int) -> np.ndarray:
@@ -42,35 +44,33 @@ def block_scores(query: np.ndarray, block: Block, gop: int, gex: int) -> np.ndar
     if not len(query) or not n or not count:
         return np.zeros(count, np.int32)
     kind = number_type(block.table, gop, gex, len(query), n)
-    profile = [block.layer(kind, code) for code in query.tolist()]
     floor = kind(-10_000 if kind is np.int16 else -1_000_000_000)
     gop, gex = kind(gop), kind(gex)
-    h = np.zeros((n + 1, count), kind)  # row 0 is the border
     f = np.full((n, count), floor)
-    best, t, e, x = (np.zeros((n, count), kind) for _ in range(4))
+    best, t, x = (np.zeros((n, count), kind) for _ in range(3))
     if gop <= gex:
-        ramp = (np.arange(n, dtype=kind) * gex)[:, None]
-        opened = ramp[:-1] + gop
-        for scores in profile:
+        ramp = (np.arange(-1, n, dtype=kind) * gex)[:, None]
+        h = np.zeros((n + 1, count), kind) - ramp  # row 0 is the border before the first position
+        none, step = -ramp[1:], kind(gop - gex)
+        best += none
+        for code in query.tolist():
             np.add(f, gex, out=f)
             np.add(h[1:], gop, out=x)
             np.maximum(f, x, out=f)
-            np.maximum(f, floor, out=f)
-            np.add(h[:-1], scores, out=t)
+            np.add(h[:-1], block.layer(kind, code, int(gex)), out=t)
             np.maximum(t, f, out=t)
-            np.maximum(t, 0, out=t)
-            np.subtract(t, ramp, out=e)
-            np.maximum.accumulate(e, axis=0, out=e)
-            np.add(e[:-1], opened, out=x[1:])
-            np.maximum(t[1:], x[1:], out=h[2:])
+            np.maximum(t, none, out=t)
+            np.maximum.accumulate(t, axis=0, out=x)
+            np.add(x[:-1], step, out=x[:-1])
             h[1] = t[0]
+            np.maximum(t[1:], x[:-1], out=h[2:])
             np.maximum(best, h[1:], out=best)
-        return best.max(axis=0).astype(np.int32)
+        return (best + ramp[1:]).max(axis=0).astype(np.int32)
     # Opening costs less than extending: gaps of both kinds may follow each other, so positions go one by one.
-    for scores in profile:
+    h = np.zeros((n + 1, count), kind)
+    for code in query.tolist():
         np.maximum(f + gex, h[1:] + gop, out=f)
-        np.maximum(f, floor, out=f)
-        np.add(h[:-1], scores, out=t)
+        np.add(h[:-1], block.layer(kind, code), out=t)
         np.maximum(t, f, out=t)
         np.maximum(t, 0, out=t)
         gap = np.full(count, floor)
