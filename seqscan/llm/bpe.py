@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Words encoded by one query; units remembered by a worker; bytes of text handled together.
-WORDS, UNITS, BATCH = 20_000, 400_000, 2 << 20
+WORDS, UNITS, BATCH = 20_000, 1_000_000, 2 << 20
 #: A longer word is contracted with a heap, as the rows of its steps would grow with the square of its length.
 LONG_WORD = 512
 #: White space as the tokenizer's pattern has it: Unicode's White_Space.
@@ -53,8 +53,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class Numbering(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        number = self[name] = len(self.names)
+        self.names.append(name)
+        return number
+
+
+class Runs:
+    """Runs of numbers, one after another in one array."""
+
+    def __init__(self):
+        self.starts, self.lengths, self.values = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def add(self, lengths: np.ndarray, values: np.ndarray) -> None:
+        begin = len(self.values)
+        self.starts = np.concatenate((self.starts, begin + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.values = np.concatenate((self.values, values.astype(np.uint32)))
+
+    def joined(self, which: np.ndarray) -> np.ndarray:
+        """The values of the runs `which`, in that order."""
+        n = self.lengths[which]
+        return self.values[np.repeat(self.starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 class Codec:
-    """One worker's DuckDB with a vocabulary, and the units it has met."""
+    """One worker's DuckDB with a vocabulary, and the units and words it has met with their ids."""
 
     kept: dict[str, Codec] = {}
 
@@ -89,41 +120,57 @@ class Codec:
         self.db.unregister("incoming")
 
     def forget(self) -> None:
-        self.unit: dict[str, int] = {}
-        self.word: dict[bytes, list[int]] = {}
-        self.ids: list[list[int]] = []
-
-    def learn(self, units: set[str]) -> None:
-        """Encode units not met before."""
-        if len(self.unit) + len(units) > UNITS:
-            self.forget()
-        new = [u for u in units if u not in self.unit]
-        cut = [[w.encode("utf-8", "surrogatepass") for w in self.split(u)] for u in new]
-        missing: set[bytes] = {w for ws in cut for w in ws if w not in self.word}
-        loop = []
-        for w in missing:
-            if w in self.ranks:
-                self.word[w] = [self.ranks[w]]
-            elif len(w) > LONG_WORD:
-                self.word[w] = self.contract(w)
-            else:
-                loop.append(w)
-        loop.sort()
-        for at in range(0, len(loop), WORDS):
-            self.word.update(zip(loop[at : at + WORDS], self.contract_all(loop[at : at + WORDS]), strict=True))
-        for u, ws in zip(new, cut, strict=True):
-            self.unit[u] = len(self.ids)
-            self.ids.append([i for w in ws for i in self.word[w]])
-        if len(self.word) > UNITS:
-            self.word = {}
-
-    def contract_all(self, words: list[bytes]) -> list[list[int]]:
+        self.unit, self.word = Numbering(), Numbering()
+        self.unit_ids, self.word_ids = Runs(), Runs()
+
+    def words_of(self, unit: str) -> list[str]:
+        """The unit cut by the pattern; the common cases, letters and letters with a mark behind, without it."""
+        letters = unit[1:] if unit[0] == " " else unit
+        if letters.isalpha():
+            return [unit]
+        if letters[-1:] in ".,!" and letters[:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self.split(unit)
+
+    def learn(self) -> None:
+        """Encode the units that have been numbered since the last time."""
+        cut = [self.words_of(u) for u in self.unit.names[len(self.unit_ids.lengths) :]]
+        words = np.fromiter((self.word[w] for ws in cut for w in ws), np.int64)
+        self.learn_words([w.encode("utf-8", "surrogatepass") for w in self.word.names[len(self.word_ids.lengths) :]])
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        total = np.concatenate(([0], np.cumsum(self.word_ids.lengths[words])))[ends]
+        self.unit_ids.add(np.diff(total, prepend=0), self.word_ids.joined(words))
+
+    def learn_words(self, words: list[bytes]) -> None:
+        lengths = np.ones(len(words), np.int64)
+        known = [self.ranks.get(w, -1) for w in words]
+        loop = [i for i, r in enumerate(known) if r < 0 and len(words[i]) <= LONG_WORD]
+        parts = [self.contract_all([words[i] for i in loop[k : k + WORDS]]) for k in range(0, len(loop), WORDS)]
+        longer = {i: np.array(self.contract(words[i])) for i, r in enumerate(known) if r < 0 and len(words[i]) > LONG_WORD}
+        if loop:
+            lengths[loop] = np.concatenate([n for n, _ in parts])
+        for i, ids in longer.items():
+            lengths[i] = len(ids)
+        starts = np.cumsum(lengths) - lengths
+        values = np.zeros(lengths.sum(), np.int64)
+        ranks = np.array(known, np.int64)
+        values[starts[ranks >= 0]] = ranks[ranks >= 0]
+        if loop:
+            n = lengths[loop]
+            values[np.repeat(starts[loop] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate([v for _, v in parts])
+        for i, ids in longer.items():
+            values[starts[i] : starts[i] + len(ids)] = ids
+        self.word_ids.add(lengths, values)
+
+    def contract_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of tokens of each word, and all the tokens."""
         import pyarrow as pa
 
         ends = np.cumsum([0, *map(len, words)])
         tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)]))
         self.load("words", word=pa.array(np.arange(len(words), dtype=np.int32)), tokens=tokens)
-        return self.db.sql(ENCODE).to_arrow_table()["tokens"].to_pylist()
+        found = self.db.sql(ENCODE).to_arrow_table()["tokens"].combine_chunks()
+        return found.value_lengths().to_numpy().astype(np.int64), found.flatten().to_numpy()
 
     def contract(self, word: bytes) -> list[int]:
         """The same rule for one long word, with a heap over linked neighbours."""
@@ -145,9 +192,12 @@ class Codec:
         return [self.ranks[p] for p in pieces if p is not None]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        units = [self.units_of(t or "") for t in texts]
-        self.learn(set().union(*units))
-        return [np.array([i for k in map(self.unit.__getitem__, us) for i in self.ids[k]], dtype="<u4") for us in units]
+        if len(self.unit.names) > UNITS or len(self.word.names) > UNITS:
+            self.forget()
+        number = self.unit.__getitem__
+        units = [np.fromiter(map(number, self.units_of(t or "")), np.int64) for t in texts]
+        self.learn()
+        return [self.unit_ids.joined(us).astype("<u4") for us in units]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         import pyarrow as pa
