@@ -270,3 +270,15 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def op8(docs: DataFrame) -> DataFrame:
     done = without_spans(docs, duplicate_spans(docs))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT n, doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS said FROM (SELECT *, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM docs)),
+owned AS (SELECT n, i FROM (SELECT n, i, doc_id, min(doc_id) OVER (PARTITION BY said) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT n, i + k AS pos FROM owned, (SELECT unnest(range({WINDOW})) AS k)),
+placed AS (SELECT n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+kept AS (SELECT n, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS text FROM placed ANTI JOIN gone USING (n, pos) GROUP BY n)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (n)
+"""

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from seqscan.llm import chat, licenses, mixing, secrets
+from seqscan.llm import chat, licenses, mixing, secrets, substring
 
 DOCS = "doc_id long, text string, source string, tokens string, copy int"
 
@@ -115,6 +115,7 @@ def test_oracles(spark, sf_dir, tmp_path):
     assert same(mixing.op2(docs), mixing.oracle(), documents=(f"{sf_dir}/documents.parquet", 0))
     spark.createDataFrame(documents(), DOCS).coalesce(1).write.parquet(f"{tmp_path}/mix")
     same(mixing.op2(spark.read.parquet(f"{tmp_path}/mix")), mixing.oracle(), documents=(f"{tmp_path}/mix/*.parquet", 0))
+    assert same(substring.op8(docs), substring.ORACLE, documents=(f"{sf_dir}/documents.parquet", 0)) == docs.count()
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     assert same(chat.op4(turns), chat.ORACLE, conversations=(f"{sf_dir}/conversations.parquet", 0))
     spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/odd")
