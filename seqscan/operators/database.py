@@ -34,12 +34,17 @@ def with_ref_ids(records: DataFrame, length: str = "length", ordinal: str = "ord
     return joined.select(*records.columns, (F.col("__offset") + F.col("__at") - 1).cast("int").alias("ref_id"))
 
 
+def sized(records: DataFrame) -> DataFrame:
+    """(ordinal, header, sequence) with length and length_partition, enough for statistics. Null sequences are empty."""
+    whole = records.select("ordinal", "header", F.coalesce("sequence", F.lit("")).alias("sequence"))
+    whole = whole.withColumn("length", F.octet_length("sequence").cast("int"))
+    return whole.withColumn("length_partition", length_partition(F.col("length")))
+
+
 def subjects(records: DataFrame) -> DataFrame:
-    """(ordinal, header, sequence) -> (ref_id, length, length_partition, header, residues). Null sequences are empty."""
-    sized = records.select("ordinal", "header", F.coalesce("sequence", F.lit("")).alias("sequence"))
-    sized = sized.withColumn("length", F.octet_length("sequence").cast("int"))
-    numbered = with_ref_ids(sized)
-    return numbered.select("ref_id", "length", length_partition(F.col("length")).alias("length_partition"), "header", aa_encode("sequence").alias("residues"))
+    """(ordinal, header, sequence) -> (ref_id, length, length_partition, header, residues)."""
+    numbered = with_ref_ids(sized(records))
+    return numbered.select("ref_id", "length", "length_partition", "header", aa_encode("sequence").alias("residues"))
 
 
 def build_db(records: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -240,9 +240,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "aa_decode_roundtrip": (decoded, f"SELECT doc_id, md5({KNOWN}) AS letters_md5 FROM documents"),
     "residue_composition": (composition, f"SELECT unnest(range(21))::INTEGER AS code, unnest(string_split('{residues.ALPHABET}-', '')) AS residue, unnest([{', '.join(f'''sum(length(s) - length(replace(s, '{c}', '')))::BIGINT''' for c in residues.ALPHABET + '-')}]) AS n FROM (SELECT {KNOWN} AS s FROM documents)"),
     "length_partition": (buckets, f"SELECT ordinal AS doc_id, length, length_partition FROM ({DOCS})"),
-    "length_histogram": (lambda s, d: database.length_histogram(document_db(s, d)), f"SELECT b.length_partition, upper_bound, count(ordinal) AS num_sequences FROM {oracle.BOUNDS} b LEFT JOIN ({DOCS}) d ON d.length_partition = b.length_partition GROUP BY ALL"),
-    "partition_prefix_sums": (lambda s, d: database.partition_prefix_sums(document_db(s, d)), f"SELECT length_partition, n AS num_sequences, (sum(n) OVER (ORDER BY length_partition) - n)::BIGINT AS first_row FROM (SELECT b.length_partition, count(ordinal) AS n FROM {oracle.BOUNDS} b LEFT JOIN ({DOCS}) d ON d.length_partition = b.length_partition GROUP BY ALL)"),
-    "db_info": (lambda s, d: database.db_info(document_db(s, d)), f"SELECT count(*) AS num_sequences, sum((length + 3) // 4 * 4)::BIGINT AS num_chars, min(length) AS min_length, max(length) AS max_length, (sum(length) // count(*))::BIGINT AS avg_length FROM ({DOCS})"),
+    "length_histogram": (lambda s, d: database.length_histogram(database.sized(documents(s, d))), f"SELECT b.length_partition, upper_bound, count(ordinal) AS num_sequences FROM {oracle.BOUNDS} b LEFT JOIN ({DOCS}) d ON d.length_partition = b.length_partition GROUP BY ALL"),
+    "partition_prefix_sums": (lambda s, d: database.partition_prefix_sums(database.sized(documents(s, d))), f"SELECT length_partition, n AS num_sequences, (sum(n) OVER (ORDER BY length_partition) - n)::BIGINT AS first_row FROM (SELECT b.length_partition, count(ordinal) AS n FROM {oracle.BOUNDS} b LEFT JOIN ({DOCS}) d ON d.length_partition = b.length_partition GROUP BY ALL)"),
+    "db_info": (lambda s, d: database.db_info(database.sized(documents(s, d))), f"SELECT count(*) AS num_sequences, sum((length + 3) // 4 * 4)::BIGINT AS num_chars, min(length) AS min_length, max(length) AS max_length, (sum(length) // count(*))::BIGINT AS avg_length FROM ({DOCS})"),
     "dense_ref_id": (lambda s, d: document_db(s, d).select("ref_id", F.col("header").cast("long").alias("doc_id"), "length"), f"SELECT ref_id, ordinal AS doc_id, length FROM ({DOCS})"),
     "padded_offsets": (lambda s, d: database.residue_offsets(document_db(s, d)), f"SELECT ref_id, (sum((length + 3) // 4 * 4) OVER (ORDER BY ref_id) - (length + 3) // 4 * 4)::BIGINT AS start FROM ({DOCS})"),
     "lengths_as_bigint": (lambda s, d: database.lengths_as(document_db(s, d), "bigint"), f"SELECT ref_id, length::BIGINT AS length FROM ({DOCS})"),
