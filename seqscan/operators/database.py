@@ -92,7 +92,7 @@ def db_info(db: DataFrame) -> DataFrame:
 
 def length_histogram(db: DataFrame) -> DataFrame:
     """All 36 buckets with their bounds and numbers of sequences, empty ones too."""
-    buckets = db.sparkSession.createDataFrame(list(enumerate(residues.BOUNDS)), "length_partition int, upper_bound int")
+    buckets = db.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, residues.BOUNDS))).alias("length_partition", "upper_bound"))
     counts = db.groupBy("length_partition").agg(F.count("*").alias("n"))
     return F.broadcast(buckets).join(counts, "length_partition", "left").select("length_partition", "upper_bound", F.coalesce("n", F.lit(0)).cast("long").alias("num_sequences"))
 
