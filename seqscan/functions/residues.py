@@ -133,7 +133,12 @@ def padded_length(length: Column) -> Column:
 
 def length_partition(length: Column) -> Column:
     """Number of the first bucket whose bound is not exceeded."""
-    case = F.when(length <= BOUNDS[0], 0)
-    for i, bound in enumerate(BOUNDS[1:], 1):
-        case = case.when(length <= bound, i)
-    return case.cast("int")
+
+    def bucket(n: Column) -> Column:
+        case = F.when(n <= BOUNDS[0], 0)
+        for i, bound in enumerate(BOUNDS[1:], 1):
+            case = case.when(n <= bound, i)
+        return case.cast("int")
+
+    # Bound in a lambda, the length is worked out once a row; Catalyst would else paste it into every branch.
+    return F.transform(F.array(length), bucket)[0]
