@@ -1,9 +1,9 @@
 """Quality rules from cross-document line frequency, with DataFrame functions only.
 
 Lines are normalised and hashed; for each host the distinct documents holding a line are counted; lines above the limit
-are boilerplate and removed; documents left with too little are rejected. Copies and near copies of one document would
-make all its lines look like boilerplate, so a document counts by its signature, the least hash of its 3-word windows,
-which copies share and near copies mostly do, and the limit grows with the host.
+are boilerplate and removed; documents left with too little are rejected. Copies of one document would make all its lines
+look like boilerplate, so a document counts by its signature, the hash of its whole text but for case and white space.
+Nothing coarser will do: documents that share a template and little else are near copies by any measure of resemblance.
 """
 
 from __future__ import annotations
@@ -40,26 +40,20 @@ def repeated_words(windows: Column) -> Column:
 
 
 def word_features(text: Column) -> Column:
-    """n_words, word_chars, n_repeat_words and the signature; each array is made once."""
+    """n_words, word_chars and n_repeat_words; each array is made once."""
 
     def of_words(words: Column) -> Column:
         n = F.size(words)
         at = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
         windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
-        return let(windows, lambda w: F.struct(n.cast("long").alias("n_words"), F.aggregate(words, F.lit(0), lambda n, word: n + F.length(word)).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"), F.coalesce(F.array_min(w), F.xxhash64(text)).alias("signature")))
+        return let(windows, lambda w: F.struct(n.cast("long").alias("n_words"), F.aggregate(words, F.lit(0), lambda n, word: n + F.length(word)).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
 
     return let(words_of(text), of_words)
 
 
 def signature_of(text: Column) -> Column:
-    """The same signature alone."""
-
-    def of_words(words: Column) -> Column:
-        n = F.size(words)
-        at = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
-        return F.coalesce(F.when(n >= 3, F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), at))), F.xxhash64(text))
-
-    return let(words_of(text), of_words)
+    """What copies share: a hash of the whole text, lower case and white space collapsed."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(text), GAP, " ")))
 
 
 def line_hash(line: Column) -> Column:

@@ -90,6 +90,19 @@ def test_quality_stage_keeps_columns(spark):
     assert quality.op7(docs).count() == len(rows())
 
 
+def test_documents_of_one_template_count_each(spark):
+    r = random.Random(4)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    template = [say(45) for _ in range(5)]
+    different = ["\n".join([*template, say(20)]) for _ in range(120)]
+    article = "\n".join(say(30) for _ in range(4))
+    copies = [article, article.upper(), article.replace(" ", "  ")] * 40
+    docs = [(i, t, "s") for i, t in enumerate([*different, *copies])]
+    got = {x.doc_id: x for x in quality.op7(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].n_boilerplate_lines == 5 and not got[i].kept for i in range(120))
+    assert all(got[i].n_boilerplate_lines == 0 and got[i].kept for i in range(120, 240))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 PLAIN = {"assign": (ASSIGN, 8, 2), "access": (re.compile("AKIA[A-Z0-9]+"), 16, 0), "hex": (re.compile("[0-9a-f]+"), 32, 0)}
 
