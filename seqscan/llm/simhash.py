@@ -177,6 +177,11 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     Rows without doc_id get their component's smallest doc_id, null if nobody there has one. Equal fingerprints are one
     node, so a group of copies costs one row however large it is; repeated rows come back as often as they went in.
     """
+    return grouped(docs, shard).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """`near_duplicates` with the fingerprint that names the component, as two components may have one smallest doc_id."""
     rows = cut(fingerprints(docs))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key"))
@@ -193,35 +198,35 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     roots = components(shard_links(keyed)).withColumnRenamed("node", "fp")
     found = nodes.join(roots, "fp")
     least = found.groupBy("root").agg(F.min("rep").alias("least"))
-    classes = nodes.join(found.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    classes = nodes.join(found.join(least, "root").select("fp", "root", "least"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
     # Cut off, so that both sides are shuffled for this join alone and Spark may split the partition of a hot fingerprint.
-    return rows.join(cut(classes), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(cut(classes), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each group of near-duplicates, the one of least doc_id; columns stay as they are.
 
-    A doc_id that stands on several rows keeps one of those that represent a group; where nobody in a group has a
+    A doc_id that stands on several rows keeps one row for each group whose least it is; where nobody in a group has a
     doc_id, one row of each distinct fingerprint stays.
     """
-    marked = cut(near_duplicates(docs))
+    marked = cut(grouped(docs))
     gone = marked.where("doc_id != component_id").select("doc_id").distinct()
     n_gone = gone.count()
     plain = marked.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     if plain:
         return docs.join(F.broadcast(gone) if n_gone <= 500_000 else gone, "doc_id", "left_anti").select(docs.columns)
     # Rare: ids that repeat or are missing. The row is what counts then.
-    packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__digest"))
-    ids = marked.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = packed.join(ids, "__id", "left_semi").dropDuplicates(["__id"])
-    orphans = fingerprint_rows(docs).where("__id is null").join(marked.where("component_id is null").select(F.col("fp").alias("__fp")).distinct(), "__fp", "left_semi").dropDuplicates(["__fp"])
+    packed = cut(fingerprint_rows(docs))
+    ids = marked.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    named = packed.join(ids, ["__id", "__fp"]).dropDuplicates(["__root"])
+    orphans = packed.where("__id is null").join(marked.where("component_id is null").select(F.col("fp").alias("__fp")).distinct(), "__fp", "left_semi").dropDuplicates(["__fp"])
     return named.select("__row.*").unionByName(orphans.select("__row.*"))
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """Whole rows without doc_id, with their fingerprint."""
+    """Whole rows with their doc_id and fingerprint."""
     fp = F.udf(lambda t: int(np.array([fingerprint(bytes(t) if t is not None else None)], np.uint64).view(np.int64)[0]), "long")
-    return docs.where(F.col("doc_id").isNull()).select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), fp(F.col("text").cast("binary")).alias("__fp"))
+    return docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), fp(F.col("text").cast("binary")).alias("__fp"))
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -89,6 +89,14 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert simhash.keep_first(odd).count() == kept.count() + 1
 
 
+def test_one_id_of_unrelated_texts(spark):
+    r = random.Random(9)
+    one, other, third = (" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(5, one), (5, other), (5, other), (6, other.upper()), (7, one), (7, third), (8, third), (4, "alone")]
+    kept = simhash.keep_first(spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], SCHEMA).repartition(3)).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted([(4, "alone"), (5, one), (5, other), (7, third)])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert simhash.keep_first(spark.createDataFrame([], SCHEMA)).collect() == []
