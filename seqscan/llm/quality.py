@@ -16,8 +16,9 @@ from .common import GAP, WORD, cut, let, words_of
 #: Base rules: fewest words; percentage of words in repeated windows above which a document fails.
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "[#*$%&|<>]"
-#: A line is boilerplate on a host in more than so many distinct documents and more than this share of the host's.
-LINE_DOCUMENTS, LINE_SHARE = 50, 0.01
+#: A line is boilerplate on a host in more than this share of its distinct documents. The share rules at every size; the
+#: least number of documents is for small hosts only, where a few repeats by chance are a large share.
+LINE_DOCUMENTS, LINE_SHARE = 5, 0.01
 #: A document is depleted with fewer words left, or a smaller share of its words.
 LEFT_WORDS, LEFT_SHARE = 20, 0.1
 #: Boilerplate lines that all tasks are told at most; beyond that they are joined by shuffling.

@@ -103,6 +103,18 @@ def test_documents_of_one_template_count_each(spark):
     assert all(got[i].n_boilerplate_lines == 0 and got[i].kept for i in range(120, 240))
 
 
+@pytest.mark.parametrize("n", [20, 50, 700])
+def test_boilerplate_goes_by_share_at_every_size(spark, n):
+    r = random.Random(n)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    menu, story = "Home | About | Contact", say(540)
+    docs = [(i, f"{menu}\n{say(60)}", "s") for i in range(n - n // 3)]
+    docs += [(len(docs) + i, f"{story}\n{say(30)}", "s") for i in range(n // 3)]
+    got = quality.op7(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {(x.n_boilerplate_lines, x.n_words_left, x.kept) for x in got if x.doc_id < n - n // 3} == {(1, 60, True)}
+    assert {(x.n_boilerplate_lines, x.n_words_left, x.kept) for x in got if x.doc_id >= n - n // 3} == {(1, 30, False)}
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 PLAIN = {"assign": (ASSIGN, 8, 2), "access": (re.compile("AKIA[A-Z0-9]+"), 16, 0), "hex": (re.compile("[0-9a-f]+"), 32, 0)}
 
