@@ -7,6 +7,8 @@ by the same digests, each line of a document that is a known notice.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,21 @@ AS_IS = (
     "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
-TEXTS = (
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+    "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def bsd(*clauses: str) -> str:
+    return "\n\n".join(["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", *clauses, BSD_AS_IS])
+
+
+SHORT = (
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
@@ -37,6 +53,21 @@ TEXTS = (
         "would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
         "3. This notice may not be removed or altered from any source distribution.",
     ),
+    ("BSD-2-Clause", bsd(BSD_SOURCE, BSD_BINARY)),
+    ("BSD-2-Clause", bsd(f"1. {BSD_SOURCE}", f"2. {BSD_BINARY}")),
+    ("BSD-3-Clause", bsd(BSD_SOURCE, BSD_BINARY, BSD_NAMES)),
+    ("BSD-3-Clause", bsd(f"1. {BSD_SOURCE}", f"2. {BSD_BINARY}", f"3. {BSD_NAMES}")),
+)
+#: The titles that the short ones are given; each also stands without any.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"),
+}
+NOTICES = (
     ("MIT notice", "Released under the MIT License."),
     ("MIT notice", "Licensed under the MIT License."),
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
@@ -50,6 +81,22 @@ TEXTS = (
     ("CC-BY-SA-4.0 notice", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0 notice", "Released under CC0 1.0."),
 )
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """The licences in `license_texts`, with either form of web address, with and without what follows the terms."""
+    found = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        end = text.find(mark := "END OF TERMS AND CONDITIONS") + len(mark)
+        forms = [text, text[:end]] if mark in text else [text]
+        # A copyright line is left out where it is filled in, so the unfilled one is left out here too.
+        forms += ["\n".join(li for li in text.split("\n") if "Copyright [yyyy]" not in li)] if "Copyright [yyyy]" in text else []
+        found += [(path.stem, x) for form in forms for x in dict.fromkeys([form, form.replace("https:", "http:"), form.replace("http:", "https:")])]
+    return found
+
+
+TEXTS = (*SHORT, *((name, f"{title}\n\n{text}") for name, text in SHORT for title in TITLES[name]), *long_texts(), *NOTICES)
 #: Spellings that count as the same, as they stand after normalising.
 SPELLINGS = (
     ("licence", "license"),

@@ -130,3 +130,15 @@ def test_licenses(spark):
     assert [got[i][0] for i in range(8)] == ["ISC", "ISC", None, None, None, None, "MIT notice", None]
     assert got[3][1:] == (2, "CC-BY-4.0 notice,MIT notice") and got[4][1:] == (0, "")
     assert licenses.op10(docs.limit(0)).collect() == []
+
+
+def test_licenses_as_files_have_them(spark):
+    short, long = dict(licenses.SHORT), {k: [t for n, t in licenses.long_texts() if n == k][0] for k, _ in licenses.long_texts()}
+    holder = "Copyright (c) 2020, A. Person"
+    files = [(name, f"{title}\n\n{holder}\n\n{text}") for name, text in short.items() for title in licenses.TITLES[name]]
+    files += [("BSD-3-Clause", f"{holder}\nAll rights reserved.\n\n" + short["BSD-3-Clause"].replace("2. ", "* ").replace("1. ", "* ").replace("3. ", "* ")), *long.items()]
+    files += [("Apache-2.0", long["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A. Person")), ("GPL-3.0", long["GPL-3.0"].replace("https:", "http:")), (None, "MIT License"), (None, long["GPL-3.0"][:9000])]
+    assert set(long) == {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.op10(docs).collect()}
+    assert [got[i] for i in range(len(files))] == [name for name, _ in files]
