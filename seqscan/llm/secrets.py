@@ -27,12 +27,16 @@ class Rule:
     group: int = 0
 
 
+#: What follows a private key's first line: all up to its last line, or where that is missing header lines and base64 as
+#: far as it goes, in lines or set apart by blanks; line ends may be written as \\n. All that Java, RE2 and Python share.
+TO_END = r"[^-]*(?:-[^-]+){0,12}-----END [A-Z ]*PRIVATE KEY-----"
+BODY = r"(?:[\r\n\t\x20]*[A-Za-z-]+:[^\r\n\\]*){0,8}[\r\n\t\x20\\]*[A-Za-z0-9+/=]{16,}(?:[A-Za-z0-9+/=\r\n\\]*[A-Za-z0-9+/=])?(?:[\t\x20\r\n\\]+[A-Za-z0-9+/=]{16,}){0,60}(?:[\t\x20\r\n\\]+[A-Za-z0-9+/=]{16,}){0,60}(?:[\r\n\\]+[\t\x20]*[A-Za-z0-9+/=]+)?"
 #: The three base rules come first, in the order that breaks ties; the others are the method's own.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{TO_END}|{BODY})?"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
