@@ -48,3 +48,31 @@ def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "UNITS", 50)
     for t in texts()[:40]:
         assert codec.encode([t])[0].tolist() == lib.encode_ordinary(t or "")
+
+
+def test_long_words_are_joined_from_pieces(monkeypatch):
+    r = random.Random(7)
+    lib, codec = library(), bpe.Codec(bpe.default_vocabulary(), public_tokenizers.PATTERN)
+    say = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    cjk = [chr(c) for c in range(0x4E00, 0x9000)]
+    long = [say("abcdefghijklmnopqrstuvwxyz", 500) for _ in range(200)] + [say("aab", 4000), say("aaaaabehst", 20_000), say(cjk, 30_000), "。".join(say(cjk, 100) for _ in range(300)), "😀" * 900, "=" * 70_001, "\n" * 500 + " " * 3000 + "x"]
+    long += [p * 700 for p in ("a", "ab", "abc", "hahah", "-=-", "lol", "abcdefg", "é", "na")]
+    assert [x.tolist() for x in codec.encode(long)] == [lib.encode_ordinary(t) for t in long]
+    monkeypatch.setattr(bpe, "SECTION", 3)
+    some = [*long[:3], long[200], long[203], long[204][:500]]
+    assert [x.tolist() for x in codec.encode([" ".join(some)])] == [lib.encode_ordinary(" ".join(some))]
+
+
+def test_very_long_texts_in_bounded_memory(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9))) for _ in range(9000)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(1_100_000)), "y" * 300_000, " ".join(f"{r.randrange(10**12):x}" for _ in range(60_000))]
+    codec = bpe.Codec(bpe.default_vocabulary(), public_tokenizers.PATTERN)
+    lib = library()
+    for text in texts:
+        (ids,) = codec.encode([text])
+        assert ids.tolist() == lib.encode_ordinary(text) and codec.decode([ids]) == [text.encode()]
+        assert len(codec.unit.names) <= bpe.UNITS + 9 * bpe.CHUNK
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[2])], "doc_id long, text string")
+    got = {x.doc_id: (x.n_tokens, x.decoded_sha256) for x in bpe.op9(docs).collect()}
+    assert got == {i: (len(lib.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in ((1, texts[0]), (2, texts[2]))}
