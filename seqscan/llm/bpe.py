@@ -288,7 +288,7 @@ class Codec:
             for units in self.units_of(text or ""):
                 held.append((i, np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))))
                 waiting += len(units)
-                if waiting > 8 * CHUNK or len(text) > BATCH:
+                if waiting > 8 * CHUNK or len(text or "") > BATCH:
                     flush()
                     waiting = 0
         flush()
