@@ -25,19 +25,23 @@ LEFT_WORDS, LEFT_SHARE = 20, 0.1
 BROADCAST_LINES = 20_000
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words covered by windows (hashes, in order of position) that occur twice or more."""
-
-    def measure(ranked: Column) -> Column:
-        n = F.size(ranked)
-        twin = lambda k, s: ((k > 0) & (ranked[F.greatest(k - 1, F.lit(0))]["h"] == s["h"])) | ((k < n - 1) & (ranked[F.least(k + 1, n - 1)]["h"] == s["h"]))
-        starts = F.array_sort(F.filter(F.transform(ranked, lambda s, k: F.when(twin(k, s), s["i"])), lambda i: i.isNotNull()))
-        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("end"))
-        add = lambda acc, i: F.struct((acc["words"] + i + 3 - F.greatest(acc["end"], i)).alias("words"), (i + 3).alias("end"))
-        return F.aggregate(starts, none, add)["words"]
-
+def with_twin(ranked: Column, key: str) -> Column:
+    """The places `i` of the structs whose `key` a neighbour has too; `ranked` is in order of it."""
+    n = F.size(ranked)
+    same = lambda k, s, at: ranked[at][key] == s[key]
+    twin = lambda s, k: ((k > 0) & same(k, s, F.greatest(k - 1, F.lit(0)))) | ((k < n - 1) & same(k, s, F.least(k + 1, n - 1)))
+    return F.filter(F.transform(ranked, lambda s, k: F.when(twin(s, k), s["i"])), lambda i: i.isNotNull())
+
+
+def repeated_words(words: Column, windows: Column) -> Column:
+    """Words covered by 3-word windows that occur twice or more; `windows` are their hashes, which only choose whom to compare."""
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("end"))
+    add = lambda acc, i: F.struct((acc["words"] + i + 3 - F.greatest(acc["end"], i)).alias("words"), (i + 3).alias("end"))
+    said = lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("said"), i.alias("i"))
+    covered = lambda ranked: F.aggregate(F.array_sort(with_twin(ranked, "said")), none, add)["words"]
+    compared = lambda ranked: let(F.array_sort(F.transform(with_twin(ranked, "h"), said)), covered)
     ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(ranked, measure)).cast("long")
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(ranked, compared)).cast("long")
 
 
 def word_features(text: Column) -> Column:
@@ -47,7 +51,7 @@ def word_features(text: Column) -> Column:
         n = F.size(words)
         at = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
         windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
-        return let(windows, lambda w: F.struct(n.cast("long").alias("n_words"), F.aggregate(words, F.lit(0), lambda n, word: n + F.length(word)).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
+        return let(windows, lambda w: F.struct(n.cast("long").alias("n_words"), F.aggregate(words, F.lit(0), lambda n, word: n + F.length(word)).cast("long").alias("word_chars"), repeated_words(words, w).alias("n_repeat_words")))
 
     return let(words_of(text), of_words)
 
@@ -82,19 +86,21 @@ def boilerplate(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float =
 def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """`docs` (doc_id, text, source, ...) -> (row struct of all columns, the measures, kept, clean_text), row for row.
 
-    Null text has no words and fails; repeated rows are judged alike; an empty table gives an empty result.
+    Null text has no words and fails; a null source is a host of its own; repeated rows are judged alike, as one document;
+    an empty table gives an empty result; other columns go along in `row`, whatever their names.
     """
     bad = cut(boilerplate(docs, documents, share))
-    base = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("\0")).alias("host"))
+    text = F.coalesce("row.text", F.lit(""))
+    lines = F.split(text, "\n")
+    base = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("\0")).alias("host"))
     if bad.count() <= broadcast_lines:
         per_host = bad.groupBy("host").agg(F.collect_list("line").alias("bad"))
         base = base.join(F.broadcast(per_host), "host", "left")
     else:
-        keyed = base.withColumn("digest", F.md5("text"))
-        held = keyed.select("host", "digest", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_hash))).alias("line"))
+        keyed = base.withColumn("digest", F.md5(text))
+        held = keyed.select("host", "digest", F.explode(F.array_distinct(F.transform(lines, line_hash))).alias("line"))
         per_text = held.distinct().join(bad, ["host", "line"]).groupBy("host", "digest").agg(F.collect_list("line").alias("bad"))
         base = keyed.join(per_text, ["host", "digest"], "left")
-    lines = F.split("text", "\n")
 
     def removal(bad: Column) -> Column:
         """Which lines go: nothing is hashed where the host has no boilerplate."""
@@ -106,13 +112,13 @@ def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE
         return F.struct(
             F.when(any_gone, words_gone).otherwise(F.lit(0)).cast("long").alias("words_gone"),
             F.when(any_gone, F.size(F.filter(gone, lambda g: g))).otherwise(F.lit(0)).cast("long").alias("lines_gone"),
-            F.when(any_gone, F.array_join(F.filter(lines, lambda _, i: ~gone[i]), "\n")).otherwise(F.col("text")).alias("clean_text"),
+            F.when(any_gone, F.array_join(F.filter(lines, lambda _, i: ~gone[i]), "\n")).alias("clean_text"),
         )
 
     measured = base.select(
         "row",
-        word_features(F.col("text")).alias("w"),
-        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        word_features(text).alias("w"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         duplicate_lines(lines).alias("n_dup_lines"),
         let(removal(F.col("bad")), clean).alias("c"),
     )
@@ -130,12 +136,15 @@ def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE
         (~failed & ~depleted).alias("kept"),
         F.col("c.lines_gone").alias("n_boilerplate_lines"),
         left.alias("n_words_left"),
-        F.col("c.clean_text").alias("clean_text"),
+        F.coalesce("c.clean_text", text).alias("clean_text"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """`docs` without rejected documents and without boilerplate lines; columns as they were, n_chars brought up to date."""
+    """`docs` without rejected documents and without boilerplate lines; columns as they were, n_chars brought up to date.
+
+    Rows that share an id are judged each by its own text; an empty table stays empty.
+    """
     good = assess(docs).where("kept")
     fresh = {"text": F.col("clean_text"), "n_chars": F.when(F.col("row.n_chars").isNotNull(), F.length("clean_text").cast("long")) if "n_chars" in docs.columns else None}
     return good.select([fresh[c].alias(c) if fresh.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns])
@@ -145,3 +154,29 @@ def op7(docs: DataFrame) -> DataFrame:
     return assess(docs.select("doc_id", "text", "source")).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_lines", "n_words_left"
     )
+
+
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT n, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM docs),
+counted AS (SELECT n, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars FROM cut),
+windows AS (SELECT n, i, array_to_string(words[i:i + 2], ' ') AS said FROM (SELECT *, unnest(range(1, len(words) - 1)) AS i FROM cut)),
+twice AS (SELECT n, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT n, i, count(*) OVER (PARTITION BY n, said) AS times FROM windows) WHERE times > 1),
+repeated AS (SELECT n, count(DISTINCT pos) AS n_repeat_words FROM twice GROUP BY n),
+lines AS (SELECT n, host, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS line_words,
+                 trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm,
+                 trim(regexp_replace(lower(t), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS whole
+          FROM (SELECT *, unnest(string_split(t, chr(10))) AS line FROM docs)),
+doubled AS (SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE line_words > 0 GROUP BY n),
+hosts AS (SELECT host, count(DISTINCT whole) AS documents FROM lines WHERE norm <> '' GROUP BY host),
+bad AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT whole) AS held FROM lines WHERE norm <> '' GROUP BY host, norm) JOIN hosts USING (host)
+        WHERE held > {LINE_DOCUMENTS} AND held > {LINE_SHARE} * documents),
+gone AS (SELECT n, count(*) AS n_boilerplate_lines, sum(line_words)::BIGINT AS words_gone FROM lines JOIN bad USING (host, norm) GROUP BY n),
+measured AS (
+  SELECT doc_id, n_words, word_chars, length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_boilerplate_lines, 0) AS n_boilerplate_lines, n_words - coalesce(words_gone, 0) AS n_words_left
+  FROM docs JOIN counted USING (n) LEFT JOIN repeated USING (n) LEFT JOIN doubled USING (n) LEFT JOIN gone USING (n))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND n_words_left >= {LEFT_WORDS} AND n_words_left >= {LEFT_SHARE} * n_words AS kept
+FROM measured
+"""

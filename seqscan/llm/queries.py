@@ -34,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_source_mixing": mixing.oracle(),
         "op4_chat_formatting": chat.ORACLE,
         "op5_secret_scans": secrets.oracle(),
+        "op7_quality_rules": quality.ORACLE,
         "op8_substring_dedup": substring.ORACLE,
         "op10_license_scans": licenses.oracle(),
     }

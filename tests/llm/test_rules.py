@@ -92,7 +92,7 @@ def test_quality_stage_keeps_columns(spark):
 
 def test_documents_of_one_template_count_each(spark):
     r = random.Random(4)
-    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    say = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))  # noqa: E731  letters: digits count alike
     template = [say(45) for _ in range(5)]
     different = ["\n".join([*template, say(20)]) for _ in range(120)]
     article = "\n".join(say(30) for _ in range(4))
@@ -115,6 +115,30 @@ def test_boilerplate_goes_by_share_at_every_size(spark, n):
     assert {(x.n_boilerplate_lines, x.n_words_left, x.kept) for x in got if x.doc_id >= n - n // 3} == {(1, 30, False)}
 
 
+def test_quality_by_nothing_but_texts(spark):
+    """Production limits on hosts of a few dozen documents, everything counted anew from the texts."""
+    r = random.Random(31)
+    say = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+    story = say(70)
+    table = rows(23) + rows(29) + [(1000 + i, f"{say(4)}\n{story}", "s1", 1, "x", "y", 3, "z") for i in range(9)]
+    squeezed = lambda t: " ".join(WORD.findall(t.lower()))
+    held, hosts = defaultdict(set), defaultdict(set)
+    for x in table:
+        for line in (x[1] or "").split("\n"):
+            if norm(line):
+                held[x[2], norm(line)].add(squeezed(x[1]))
+                hosts[x[2]].add(squeezed(x[1]))
+    want = []
+    for x in table:
+        base = plain_base(x[1])
+        bad = [li for li in (x[1] or "").split("\n") if norm(li) and len(held[x[2], norm(li)]) > max(5, len(hosts[x[2]]) / 100)]
+        left = base[0] - sum(len(WORD.findall(li)) for li in bad)
+        want.append((x[0], *base, not base[5] and left >= 20 and 10 * left >= base[0], len(bad), left))
+    got = quality.op7(spark.createDataFrame(table, SCHEMA).repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(w[8] > 0 for w in want) > 100 and any(not w[6] and not w[7] for w in want)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 PLAIN = {"assign": (ASSIGN, 8, 2), "access": (re.compile("AKIA[A-Z0-9]+"), 16, 0), "hex": (re.compile("[0-9a-f]+"), 32, 0)}
 

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from seqscan.llm import chat, licenses, mixing, secrets, substring
+from seqscan.llm import chat, licenses, mixing, quality, secrets, substring
+from tests.llm.test_rules import SCHEMA, rows
 
 DOCS = "doc_id long, text string, source string, tokens string, copy int"
 
@@ -115,6 +116,10 @@ def test_oracles(spark, sf_dir, tmp_path):
     assert same(mixing.op2(docs), mixing.oracle(), documents=(f"{sf_dir}/documents.parquet", 0))
     spark.createDataFrame(documents(), DOCS).coalesce(1).write.parquet(f"{tmp_path}/mix")
     same(mixing.op2(spark.read.parquet(f"{tmp_path}/mix")), mixing.oracle(), documents=(f"{tmp_path}/mix/*.parquet", 0))
+    assert same(quality.op7(docs), quality.ORACLE, documents=(f"{sf_dir}/documents.parquet", 0)) == docs.count()
+    spark.createDataFrame(rows(), SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/lines")
+    lined = quality.op7(spark.read.parquet(f"{tmp_path}/lines"))
+    assert same(lined, quality.ORACLE, documents=(f"{tmp_path}/lines/*.parquet", 0)) and lined.where("n_boilerplate_lines > 0").count() > 50
     assert same(substring.op8(docs), substring.ORACLE, documents=(f"{sf_dir}/documents.parquet", 0)) == docs.count()
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     assert same(chat.op4(turns), chat.ORACLE, conversations=(f"{sf_dir}/conversations.parquet", 0))
