@@ -36,6 +36,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For each whole number of an array the combination (sum, maximum) of those before it, 0 for the first.
+
+    Blocks are combined first, so the work is linear for arrays of any sensible length, and no array grows item by item.
+    """
+    zero = F.lit(0)
+    part = lambda v, start, n: F.aggregate(F.slice(v, start, n), zero, combine)
+
+    def of(v: Column) -> Column:
+        blocks = F.sequence(zero, F.floor((F.size(v) - 1) / block).cast("int"))
+        totals = F.transform(blocks, lambda b: part(v, b * block + 1, F.lit(block)))
+        within = lambda ahead: F.transform(v, lambda _, k: combine(ahead[F.floor(k / block).cast("int")], part(v, k - k % block + 1, k % block)))
+        return let(totals, lambda t: let(F.transform(blocks, lambda b: part(t, F.lit(1), b)), within))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<int>")))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; null: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

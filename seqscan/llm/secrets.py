@@ -9,12 +9,13 @@ rule; only they are scanned for it. Rules without mandatory trigrams scan all te
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_of, any_of, cut, let
+from .common import all_of, any_of, cut, let, running
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,12 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
 )
 BASE = ("assign", "access", "hex")
-#: Candidates that all tasks are told at most; beyond that they are joined by shuffling.
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Candidates that all tasks are told at most; beyond that each row answers the trigram queries by its own text again,
+#: as a join would shuffle every text.
 BROADCAST_CANDIDATES = 100_000
+#: Characters of the pieces that a text is cut into to be put together anew.
+REBUILT_BLOCK = 1024
 #: Strings that an expression is expanded to at most before it is cut into parts.
 EXPAND = 64
 
@@ -111,6 +116,16 @@ def postings(texts: DataFrame, wanted: list[str]) -> DataFrame:
     return texts.select("digest", F.explode(held).alias("trigram")).distinct()
 
 
+def rules_met(rules: tuple[Rule, ...], holds: Callable[[list[str]], Column]) -> Column:
+    """Bits of the indexed rules whose trigram query is satisfied; `holds` tells whether all of some trigrams are there."""
+    total = F.lit(0)
+    for i, rule in enumerate(rules):
+        if query := boolean_query(rule):
+            fits = all_of([any_of([holds(grams) for grams in one]) for one in query])
+            total = total + F.when(fits, F.lit(1 << i)).otherwise(F.lit(0))
+    return total
+
+
 def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(digest, rules: bits of the indexed rules whose trigram query the text satisfies), texts with any only."""
     queries = {i: q for i, r in enumerate(rules) if (q := boolean_query(r))}
@@ -127,36 +142,29 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         masks = {w: sum(1 << (number[g] - w) for g in set(grams) if w <= number[g] < w + 60) for w in words}
         return all_of([F.col(f"held_{w}").bitwiseAND(m) == m for w, m in masks.items() if m])
 
-    fits = {i: all_of([any_of([holds(grams) for grams in one]) for one in q]) for i, q in queries.items()}
-    total = F.lit(0)
-    for i, fit in fits.items():
-        total = total + F.when(fit, F.lit(1 << i)).otherwise(F.lit(0))
-    return met.select("digest", total.alias("rules")).where("rules != 0")
+    return met.select("digest", rules_met(rules, holds).alias("rules")).where("rules != 0")
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Spans of the rule's leftmost non-overlapping matches, in code points: array of (start, rank, kind, end).
 
-    What lies between the matches is what splitting by the expression gives; the sums of lengths are the places.
+    What lies between the matches is what splitting by the expression gives; running sums of lengths are the places.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    between = F.split(text, rule.pattern)
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    sizes = lambda array: F.transform(array, lambda x: F.length(x))
 
     def placed(found: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            start = acc["at"] + F.length(found["between"][k])
-            end = start + F.length(found["whole"][k])
-            span = F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-            fits = F.length(found["judged"][k]) >= rule.least
-            return F.struct(end.alias("at"), F.when(fits, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        steps = F.transform(found["whole"], lambda n, k: n + found["between"][k])
+
+        def span(at: Column, k: Column) -> Column:
+            start = at + found["between"][k]
+            return F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), (start + found["whole"][k]).alias("end"))
 
-        n = F.size(found["whole"])
-        walked = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-        return F.when(n > 0, walked).otherwise(empty)
+        every = lambda starts: F.filter(F.transform(starts, span), lambda _, k: found["judged"][k] >= rule.least)
+        return F.when(F.size(found["whole"]) > 0, let(running(steps, lambda a, b: a + b), every)).otherwise(F.array().cast(SPANS))
 
-    return let(F.struct(whole.alias("whole"), judged.alias("judged"), between.alias("between")), placed)
+    return let(F.struct(sizes(whole).alias("whole"), sizes(judged).alias("judged"), sizes(F.split(text, rule.pattern)).alias("between")), placed)
 
 
 def scan_pattern(rule: Rule) -> Rule:
@@ -169,18 +177,22 @@ def scan_pattern(rule: Rule) -> Rule:
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_candidates: int = BROADCAST_CANDIDATES) -> DataFrame:
     """`docs` (text, ...) -> (row struct of all columns, text, spans), row for row; spans by start, then rule order.
 
-    Null text counts as empty. Postings are by the text's digest, so repeated rows and copies are indexed once.
+    Null text counts as empty. Postings are by the text's digest, so repeated rows and copies are indexed once. Other
+    columns go along in `row`, whatever their names; an empty table gives an empty result. The work on one text grows
+    with its length and the number of its secrets, in proportion.
     """
     base = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = base.withColumn("digest", F.md5("text"))
     met = cut(candidates(keyed.select("digest", "text"), rules))
-    few = met.count() <= broadcast_candidates
-    keyed = keyed.join(F.broadcast(met) if few else met, "digest", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
+    if met.count() <= broadcast_candidates:
+        keyed = keyed.join(F.broadcast(met), "digest", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
+    else:
+        keyed = base.withColumn("rules", let(F.lower("text"), lambda low: rules_met(rules, lambda grams: all_of([F.contains(low, F.lit(g)) for g in grams]))))
     parts = []
     for i, rule in enumerate(rules):
         spans = spans_of(F.col("text"), scan_pattern(rule), i)
         indexed = bool(boolean_query(rule))
-        parts.append(F.when(F.col("rules").bitwiseAND(1 << i) != 0, spans).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")) if indexed else spans)
+        parts.append(F.when(F.col("rules").bitwiseAND(1 << i) != 0, spans).otherwise(F.array().cast(SPANS)) if indexed else spans)
     return keyed.select("row", "text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
@@ -190,14 +202,26 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each secret replaced by its kind in square brackets; overlapping spans go together under the first."""
+    block = REBUILT_BLOCK
 
     def rebuilt(text: Column, spans: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-            return F.struct(F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-        done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-        return F.when(F.size(spans) > 0, done).otherwise(text)
+        def from_blocks(blocks: Column) -> Column:
+            def between(a: Column, b: Column) -> Column:
+                """Characters a to b, from the blocks that hold them."""
+                first, last = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+                head, tail = F.substring(F.get(blocks, first), a % block + 1, block), F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), b % block)
+                middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+                return F.when(b <= a, "").when(first == last, F.substring(F.get(blocks, first), a % block + 1, b - a)).otherwise(F.concat(head, middle, tail))
+
+            def joined(upto: Column) -> Column:
+                """upto: where the spans before each one have ended."""
+                pieces = F.transform(spans, lambda s, k: F.when(s["start"] >= upto[k], F.concat(between(upto[k], s["start"]), F.lit("["), s["kind"], F.lit("]"))))
+                end = F.array_max(F.transform(spans, lambda s: s["end"]))
+                return F.concat(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), ""), between(end, F.length(text)))
+
+            return let(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), joined)
+
+        return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), from_blocks)).otherwise(text)
 
     found = find(docs).select("row", F.col("row.text").alias("was"), rebuilt(F.col("text"), F.col("spans")).alias("now"), F.size("spans").alias("n"))
     fresh = {"text": F.when(F.col("n") > 0, F.col("now")).otherwise(F.col("was"))}

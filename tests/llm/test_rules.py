@@ -209,3 +209,21 @@ def test_trigram_queries():
     (strings,) = secrets.mandatory(secrets.RULES[0].pattern)
     assert {"password", "api_key", "apikey", "token'"} <= strings
     assert secrets.mandatory("ab(c|d+)e") == []
+
+
+def test_many_secrets_in_one_text(spark):
+    r = random.Random(12)
+    words = [r.choice(["é", "😀 x", "plain words here", "token=abcdefgh" + str(i), "AKIA" + "Q" * 16, "secret=token=abcdefgh9", "f" * 40, "\n"]) for i in range(60_000)]
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text, len(text), "x"), (2, text[:70], 70, "x"), (3, None, None, "x")], "doc_id long, text string, n_chars long, rules string")
+    every = PLAIN | {x.kind: (re.compile(x.pattern, re.A), x.least, x.group) for x in secrets.RULES[3:]}
+    spans = {x.doc_id: x.spans for x in secrets.op5(docs).collect()}
+    assert spans[1] == plain_spans(text, every) and spans[1].count(",") > 30_000
+    out, at = [], 0
+    for kind, a, b in (x.split(":") for x in spans[1].split(",")):
+        if int(a) >= at:
+            out += [text[at : int(a)], f"[{kind}]"]
+        at = max(at, int(b))
+    clean = {x.doc_id: (x.text, x.n_chars) for x in secrets.redact(docs).collect()}
+    want = "".join(out) + text[at:]
+    assert clean[1] == (want, len(want)) and clean[3] == (None, None)
