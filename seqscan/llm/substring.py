@@ -1,11 +1,12 @@
 """Duplicate passages: documents are parsed against indexed reference blocks, long factors are duplicate spans.
 
 Every document's windows of WINDOW words are the reference, hashed into blocks: a block indexes, for each window that
-falls to it, the smallest document that holds it. Each document meets every block with its own windows and gets back
-those that an earlier document owns; from them its greedy relative Lempel-Ziv parse is made: a factor is taken at the
-leftmost matched word not yet parsed and follows the same earlier document as far as it matches. A window that lies
-across a factor's end is checked there by its own match, so that a passage which goes on in another document is covered
-to its last word. All factors are WINDOW words or longer; the words they cover are the duplicates.
+falls to it, the smallest document that holds it and the first place there. Each document meets every block with its own
+windows and gets back those that an earlier document owns; from them its greedy relative Lempel-Ziv parse is made: a
+factor is taken at the leftmost matched word not yet parsed and follows its reference, word by word, as far as the two
+agree. A factor is thus a piece of the reference at a stated place. A window that lies across a factor's end is checked
+there by its own match, so that a passage which goes on elsewhere is covered to its last word. All factors are WINDOW
+words or longer; the words they cover are the duplicates.
 
 Windows travel packed: one row per batch of documents and block, with the windows' hashes, 7 bytes each, and their
 places as gaps. The block is named by other bits than those; so 56 + log2(blocks) bits tell windows apart.
@@ -24,8 +25,10 @@ from .common import cut, slices
 WINDOW = 13
 #: Bytes of text whose windows are packed together.
 BATCH = 12 << 20
-BLOCKS = "block int, docs binary, counts binary, gaps binary, low binary, mid binary, high binary"
-OWNED = "answer int, docs binary, counts binary, pos binary, owner binary"
+BLOCKS = "block int, docs binary, rows binary, counts binary, gaps binary, low binary, mid binary, high binary"
+OWNED = "answer int, docs binary, rows binary, counts binary, pos binary, owner binary, place binary"
+#: Rows with duplicates whose ids all tasks are told at most (16 bytes each); beyond that all texts are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def coefficients(window: int) -> np.ndarray:
@@ -56,39 +59,40 @@ def window_hashes(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
         return total ^ (total >> np.uint64(29))
 
 
-def parse(owned: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, end, reference) from the sorted starts of matched windows and the documents that own them.
+def parse(owned: np.ndarray, owner: np.ndarray, place: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, reference, place there) from the sorted starts of matched windows, who owns them and where.
 
-    A factor goes on while the next word's window is matched in the same document; where it is matched in another one,
-    that window is checked at the boundary and opens the next factor.
+    A factor goes on while the next word's window is matched at the next place of the same document; where it is matched
+    elsewhere, that window is checked at the boundary and opens the next factor.
     """
     if not len(owned):
         return []
-    breaks = np.flatnonzero((np.diff(owned) != 1) | (np.diff(owner) != 0)) + 1
+    breaks = np.flatnonzero((np.diff(owned) != 1) | (np.diff(owner) != 0) | (np.diff(place) != 1)) + 1
     first = np.concatenate(([0], breaks))
     last = np.concatenate((breaks, [len(owned)])) - 1
-    return list(zip(owned[first].tolist(), (owned[last] + window).tolist(), owner[first].tolist(), strict=True))
+    return list(zip(owned[first].tolist(), (owned[last] + window).tolist(), owner[first].tolist(), place[first].tolist(), strict=True))
 
 
-def covered(n_words: int, factors: list[tuple[int, int, int]]) -> np.ndarray:
+def covered(n_words: int, factors: list[tuple]) -> np.ndarray:
     steps = np.zeros(n_words + 1, np.int64)
-    for a, b, _ in factors:
+    for a, b, *_ in factors:
         steps[a] += 1
         steps[b] -= 1
     return np.cumsum(steps)[:n_words] > 0
 
 
 def packed_windows(docs: DataFrame, blocks: int, window: int = WINDOW) -> DataFrame:
-    """`docs` (doc_id, text binary) -> rows of BLOCKS. Documents without doc_id or with fewer words than a window: none."""
+    """`docs` (doc_id, row, text binary) -> rows of BLOCKS. Documents without doc_id or with fewer words than a window: none."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH):
-            ids, counts, hashes = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids, rows, counts, hashes = [], [], [], []
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 words = text.split() if text and doc is not None else ()
                 if len(words) >= window:
                     ids.append(doc)
+                    rows.append(row)
                     hashes.append(window_hashes(word_hashes(words), window))
                     counts.append(len(hashes[-1]))
             if not ids:
@@ -99,25 +103,37 @@ def packed_windows(docs: DataFrame, blocks: int, window: int = WINDOW) -> DataFr
             with np.errstate(over="ignore"):
                 block = ((hashes * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(40)) % np.uint64(blocks)
             order = np.argsort(block, kind="stable")
-            ends = np.searchsorted(block[order], np.arange(blocks + 1))
-            all_ids = np.array(ids, dtype="<i8")
+            all_ids, all_rows = np.array(ids, dtype="<i8"), np.array(rows, dtype="<i8")
             out: list[tuple] = []
-            for b in range(blocks):
-                own = order[ends[b] : ends[b + 1]]
-                if len(own):
-                    present, n = np.unique(doc_of[own], return_counts=True)
-                    at = np.cumsum(n) - n
-                    gaps = np.diff(pos[own], prepend=0)
-                    gaps[at] = pos[own][at]
-                    h = hashes[own]
-                    out.append((b, all_ids[present], n.astype("<u4"), gaps.astype("<u4"), h.astype("<u4"), (h >> np.uint64(32)).astype("<u2"), (h >> np.uint64(48)).astype("u1")))
+            for b, own in runs(block[order], order):
+                present, n = np.unique(doc_of[own], return_counts=True)
+                at = np.cumsum(n) - n
+                gaps = np.diff(pos[own], prepend=0)
+                gaps[at] = pos[own][at]
+                h = hashes[own]
+                out.append((b, all_ids[present].tobytes(), packed_rows(all_rows[present]), n.astype("<u4").tobytes(), pack_gaps(gaps.astype("<u4")), h.astype("<u4").tobytes(), (h >> np.uint64(32)).astype("<u2").tobytes(), (h >> np.uint64(48)).astype("u1").tobytes()))
             fields = list(zip(*out, strict=True))
-            data = [pa.array([pack_gaps(x) for x in c] if i == 2 else [x.tobytes() for x in c], pa.binary()) for i, c in enumerate(fields[1:])]
+            data = [pa.array(c, pa.binary()) for c in fields[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), *data], [f.split()[0] for f in BLOCKS.split(", ")])
 
     return docs.mapInArrow(run, BLOCKS)
 
 
+def runs(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each key that is there; `keys` are sorted."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    yield from zip(keys[first].tolist(), np.split(values, first[1:]), strict=bool(len(first)))
+
+
+def packed_rows(rows: np.ndarray) -> bytes:
+    """Which of the rows that share a doc_id; nothing where all ids are met once only."""
+    return rows.astype("<i8").tobytes() if rows.any() else b""
+
+
+def unpacked_rows(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<i8") if data else np.zeros(n, np.int64)
+
+
 def pack_gaps(gaps: np.ndarray) -> bytes:
     """Numbers as one byte each; 255 stands for the next one of the four-byte list behind."""
     wide = gaps >= 255
@@ -145,33 +161,38 @@ def owned_windows(packed: DataFrame, answers: int) -> DataFrame:
     def answer(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         n = [len(r["high"]) for r in rows]
         hashes = np.concatenate([np.frombuffer(r["low"], "<u4").astype(np.uint64) | (np.frombuffer(r["mid"], "<u2").astype(np.uint64) << np.uint64(32)) | (np.frombuffer(r["high"], "u1").astype(np.uint64) << np.uint64(48)) for r in rows])
-        doc, pos = [], []
+        doc, row, pos = [], [], []
         for r, k in zip(rows, n, strict=True):
             counts = np.frombuffer(r["counts"], "<u4").astype(np.int64)
+            row.append(np.repeat(unpacked_rows(r["rows"], len(counts)), counts))
             doc.append(np.repeat(np.frombuffer(r["docs"], "<i8"), counts))
             places = np.cumsum(unpack_gaps(r["gaps"], k))
             at = np.cumsum(counts) - counts  # sums begin anew with each document
             base = np.where(at > 0, places[at - 1], 0)
             pos.append(places - np.repeat(base, counts))
-        doc, pos = np.concatenate(doc), np.concatenate(pos)
+        doc, row, pos = np.concatenate(doc), np.concatenate(row), np.concatenate(pos)
         order = np.argsort(hashes, kind="stable")
         sorted_hashes = hashes[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_hashes[1:] != sorted_hashes[:-1])))
-        owner = np.empty(len(doc), np.int64)
-        owner[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(doc))))
-        del hashes, sorted_hashes, order
+        size = np.diff(np.append(first, len(doc)))
+        owner, place = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+        least = np.repeat(np.minimum.reduceat(doc[order], first), size)
+        owner[order] = least
+        # The place in the owner; where several rows share its id, in that of the least row.
+        its_row = np.where(doc[order] == least, row[order], np.iinfo(np.int64).max)
+        mine = (doc[order] == least) & (its_row == np.repeat(np.minimum.reduceat(its_row, first), size))
+        place[order] = np.repeat(np.minimum.reduceat(np.where(mine, pos[order], np.iinfo(np.int64).max), first), size)
+        del hashes, sorted_hashes, order, its_row, mine, least
         found = np.flatnonzero(owner < doc)
-        found = found[np.lexsort((pos[found], doc[found]))]
-        doc, pos, owner = doc[found], pos[found].astype("<u4"), owner[found].astype("<i8")
+        found = found[np.lexsort((pos[found], row[found], doc[found]))]
+        doc, row, pos, owner, place = doc[found], row[found], pos[found].astype("<u4"), owner[found].astype("<i8"), place[found].astype("<u4")
         to = bucket_of(doc, answers)
         order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(answers + 1))
         out = []
-        for b in range(answers):
-            own = order[ends[b] : ends[b + 1]]
-            if len(own):
-                docs, n = np.unique(doc[own], return_counts=True)  # in order, as doc is
-                out.append((b, docs.astype("<i8").tobytes(), n.astype("<u4").tobytes(), pos[own].tobytes(), owner[own].tobytes()))
+        for b, own in runs(to[order], order):
+            begins = np.flatnonzero(np.concatenate(([True], (np.diff(doc[own]) != 0) | (np.diff(row[own]) != 0))))
+            counts = np.diff(np.append(begins, len(own))).astype("<u4")
+            out.append((b, doc[own][begins].astype("<i8").tobytes(), packed_rows(row[own][begins]), counts.tobytes(), pos[own].tobytes(), owner[own].tobytes(), place[own].tobytes()))
         if out:
             fields = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), *[pa.array(c, pa.binary()) for c in fields[1:]]], [f.split()[0] for f in OWNED.split(", ")])
@@ -203,72 +224,96 @@ def block_count(source: DataFrame) -> int:
     return int(max(12, size // (8 << 20)))
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, blocks: int | None = None) -> DataFrame:
-    """`docs` (doc_id, text) -> (doc_id, spans: array of (start, end, reference) in words), documents with duplicates only.
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """`docs` -> (doc_id, row, text binary): row tells texts apart that share a doc_id, and is 0 where no id is met twice."""
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    unique = source.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return source.select("doc_id", (F.lit(0) if unique else F.xxhash64("text")).cast("long").alias("row"), "text")
 
-    A span is a maximal factor of `window` words or more that a document of smaller id holds; where two references
-    meet, spans may overlap. Rows that share a doc_id are taken as one document's: none is a reference for another, and
-    a window of either counts for both; rows without doc_id are neither compared nor referred to. Null text: no words.
-    """
+
+FACTOR = "struct<start: long, end: long, reference: long, place: long>"
+
+
+def factors(source: DataFrame, window: int = WINDOW, blocks: int | None = None) -> DataFrame:
+    """`keyed_rows` -> (doc_id, row, spans: array of FACTOR), rows with duplicates only."""
     import pyarrow as pa
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     blocks = blocks or block_count(source)
     packed = packed_windows(source, blocks, window).repartition(blocks, "block").sortWithinPartitions("block")
     owned = owned_windows(packed, blocks).repartition(blocks, "answer").sortWithinPartitions("answer")
 
     def spans(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        doc = np.concatenate([np.repeat(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+        counts = [np.frombuffer(r["counts"], "<u4") for r in rows]
+        doc = np.concatenate([np.repeat(np.frombuffer(r["docs"], "<i8"), n) for r, n in zip(rows, counts, strict=True)])
+        row = np.concatenate([np.repeat(unpacked_rows(r["rows"], len(n)), n) for r, n in zip(rows, counts, strict=True)])
         at = np.concatenate([np.frombuffer(r["pos"], "<u4") for r in rows]).astype(np.int64)
         owner = np.concatenate([np.frombuffer(r["owner"], "<i8") for r in rows])
-        order = np.lexsort((owner, at, doc))
-        doc, at, owner = doc[order], at[order], owner[order]
-        once = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
-        doc, at, owner = doc[once], at[once], owner[once]
-        ids, first = np.unique(doc, return_index=True)
+        place = np.concatenate([np.frombuffer(r["place"], "<u4") for r in rows]).astype(np.int64)
+        order = np.lexsort((owner, at, row, doc))
+        doc, row, at, owner, place = doc[order], row[order], at[order], owner[order], place[order]
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
+        once = new | np.concatenate(([True], at[1:] != at[:-1]))  # equal rows have the same windows
+        doc, row, at, owner, place, new = doc[once], row[once], at[once], owner[once], place[once], new[once]
+        first = np.flatnonzero(new)
         ends = np.append(first[1:], len(doc))
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("reference", pa.int64())]))
-        for k in range(0, len(ids), 5_000):
-            found = [[{"start": a, "end": b, "reference": r} for a, b, r in parse(at[i:j], owner[i:j], window)] for i, j in zip(first[k : k + 5_000], ends[k : k + 5_000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5_000]), pa.array(found, kind)], ["doc_id", "spans"])
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "reference", "place")]))
+        for k in range(0, len(first), 5_000):
+            found = [[{"start": a, "end": b, "reference": r, "place": p} for a, b, r, p in parse(at[i:j], owner[i:j], place[i:j], window)] for i, j in zip(first[k : k + 5_000], ends[k : k + 5_000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first[k : k + 5_000]]), pa.array(row[first[k : k + 5_000]]), pa.array(found, kind)], ["doc_id", "row", "spans"])
+
+    return owned.mapInArrow(grouped("answer", spans), f"doc_id long, row long, spans array<{FACTOR}>")
+
+
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, blocks: int | None = None) -> DataFrame:
+    """`docs` (doc_id, text) -> (doc_id, row, spans: array of (start, end, reference, place) in words), rows with duplicates only.
 
-    return owned.mapInArrow(grouped("answer", spans), "doc_id long, spans array<struct<start: long, end: long, reference: long>>")
+    A span is a factor: its words stand in the reference, a document of smaller id, from word `place` on. Where two
+    references meet, spans may overlap. Rows that share a doc_id are told apart by `row`, each has the spans of its own
+    text, and none is a reference for another; rows without doc_id are neither compared nor referred to. Null text: no
+    words. An empty table gives an empty result; other columns are not looked at. A very long text takes a batch of its own.
+    """
+    return factors(keyed_rows(docs), window, blocks)
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept binary): the words outside the spans, joined by one space.
+    """(doc_id, n_words, n_removed, kept binary), row for row: the words outside the spans, joined by one space.
 
     The texts of documents without a span are not shuffled if the ids of the others can be told to all tasks.
     """
+    return cleared(keyed_rows(docs), spans)
+
+
+def cleared(source: DataFrame, spans: DataFrame) -> DataFrame:
     import pyarrow as pa
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     spans = cut(spans)
-    ids = spans.select("doc_id")
+    key = ["doc_id", "row"]
+    ids = spans.select(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             n_words, n_removed, kept = [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = (text or b"").split()
-                gone = covered(len(words), [(s["start"], min(s["end"], len(words)), 0) for s in found or () if s["start"] < len(words)])
+                gone = covered(len(words), [(s["start"], s["end"]) for s in found or ()])
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join(words[i] for i in np.flatnonzero(~gone)) if n_removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
     schema = "doc_id long, n_words long, n_removed long, kept binary"
-    few = ids.count() <= 1_000_000
-    with_spans = (source.join(F.broadcast(ids), "doc_id", "left_semi") if few else source).join(spans, "doc_id", "inner" if few else "left")
+    few = ids.count() <= BROADCAST_IDS
+    with_spans = (source.join(F.broadcast(ids), key, "left_semi") if few else source).join(spans, key, "inner" if few else "left")
     parts = [with_spans.select("doc_id", "text", "spans").mapInArrow(run, schema)]
     if few:
-        rest = source.join(F.broadcast(ids), "doc_id", "left_anti").withColumn("spans", F.lit(None).cast("array<struct<start: long, end: long, reference: long>>"))
+        rest = source.join(F.broadcast(ids), key, "left_anti").withColumn("spans", F.lit(None).cast(f"array<{FACTOR}>"))
         parts.append(rest.select("doc_id", "text", "spans").mapInArrow(run, schema))
     return parts[0].unionByName(parts[1]) if few else parts[0]
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    done = without_spans(docs, duplicate_spans(docs))
+    source = keyed_rows(docs)
+    done = cleared(source, factors(source))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -138,10 +138,46 @@ def test_substrings_of_odd_tables(spark):
 
 
 def test_parse_goes_on_across_references():
-    starts = np.array([3, 4, 5, 6, 20])
-    owners = np.array([1, 1, 2, 2, 1])
-    assert substring.parse(starts, owners) == [(3, 17, 1), (5, 19, 2), (20, 33, 1)]
-    assert substring.covered(33, substring.parse(starts, owners)).sum() == 16 + 13
+    starts = np.array([3, 4, 5, 6, 20, 21])
+    owners = np.array([1, 1, 2, 2, 1, 1])
+    places = np.array([7, 8, 0, 1, 30, 2])
+    factors = substring.parse(starts, owners, places)
+    assert factors == [(3, 17, 1, 7), (5, 19, 2, 0), (20, 33, 1, 30), (21, 34, 1, 2)]
+    assert substring.covered(34, factors).sum() == 16 + 14
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_factors_stand_in_their_references(spark, repeated):
+    rows = fixture_rows(5)
+    if repeated:  # some ids with several texts
+        rows += [(rows[k][0], rows[k + 1][1], "x", 1, "y") for k in range(0, 60, 6)]
+    words = {}
+    for i, t, *_ in rows:
+        words.setdefault(i, []).append((t or "").split())
+    found = substring.duplicate_spans(spark.createDataFrame(rows, SCHEMA).repartition(4), blocks=5).collect()
+    n = 0
+    for x in found:
+        for f in x.spans:
+            said = [w[f.place : f.place + f.end - f.start] for w in words[f.reference]]
+            assert f.reference < x.doc_id and f.end - f.start >= 13
+            assert any(w[f.start : f.end] == y for w in words[x.doc_id] for y in said if len(y) == f.end - f.start)
+            n += 1
+    assert n > 30
+
+
+def test_rows_of_one_id_lose_only_their_own_words(spark):
+    r = random.Random(14)
+    a, x, b = (" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (5, f"{x} {a}"), (5, f"{b} {b}"), (5, f"{b} {b}"), (7, b)]
+    got = substring.op8(spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], SCHEMA).repartition(3)).collect()
+    assert sorted((y.doc_id, y.n_words, y.n_removed) for y in got) == [(1, 40, 0), (5, 80, 0), (5, 80, 0), (5, 80, 40), (7, 40, 40)]
+
+
+def test_one_window_in_very_many_documents(spark):
+    line = " ".join(f"c{k}" for k in range(14))
+    rows = [(i, f"{line} own{i}", "", 0, "") for i in range(20_000)]
+    got = substring.op8(spark.createDataFrame(rows, SCHEMA)).groupBy("n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (14, 19_999)]
 
 
 def test_gaps_round_trip():
