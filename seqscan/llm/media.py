@@ -8,9 +8,13 @@ within it is carved as embedded media, outermost first.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +31,7 @@ def png(b: memoryview) -> int | None:
     at = 8
     while at + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, at)
-        if at + 12 + n > len(b) or zlib.crc32(b[at + 4 : at + 8 + n]) != struct.unpack_from(">I", b, at + 8 + n)[0] or (at == 8) != (kind == b"IHDR"):
+        if (at == 8) != (kind == b"IHDR") or (at == 8 and n != 13) or at + 12 + n > len(b) or zlib.crc32(b[at + 4 : at + 8 + n]) != struct.unpack_from(">I", b, at + 8 + n)[0]:
             return None
         at += 12 + n
         if kind == b"IEND":
@@ -108,37 +112,101 @@ def bmp(b: memoryview) -> int | None:
     return size if spare == 0 and 54 <= at <= size <= len(b) and head in (40, 52, 56, 108, 124) and struct.unpack_from("<H", b, 26)[0] == 1 else None
 
 
-def pdf(b: memoryview) -> int | None:
-    data = bytes(b)
-    end = data.rfind(b"%%EOF")
-    return end + 5 if end > 0 and data[5:6].isdigit() and b"startxref" in data[:end] else None
+class Cell:
+    """A cell's bytes and where in them the ends of containers stand, each found once however many marks ask for it."""
+
+    def __init__(self, data: bytes | memoryview):
+        self.data = bytes(data)
+        self.zero = (0, self.data.find(b"\0"))
+
+    @cached_property
+    def pdf_starts(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%PDF-", self.data)]
+
+    @cached_property
+    def pdf_ends(self) -> list[tuple[int, int]]:
+        """Where a closing part begins and ends: startxref, a number, %%EOF."""
+        return [m.span() for m in re.finditer(rb"startxref\s+\d+\s+%%EOF", self.data)]
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Of each place where an archive's end says that it begins, the first such end."""
+        found: dict[int, int] = {}
+        for m in re.finditer(re.escape(b"PK\5\6"), self.data):
+            at = m.start()
+            if at + 22 <= len(self.data):
+                size, start, note = struct.unpack_from("<IIH", self.data, at + 12)
+                if self.data[at - size : at - size + 4] == b"PK\1\2" and at - size - start >= 0 and at + 22 + note <= len(self.data):
+                    found.setdefault(at - size - start, at + 22 + note)
+        return found
+
+    def next_zero(self, at: int) -> int:
+        """The next zero byte from `at` on, -1 if none; marks ask in ascending order, so the bytes are searched once."""
+        asked, found = self.zero
+        if at < asked or 0 <= found < at:
+            self.zero = asked, found = at, self.data.find(b"\0", at)
+        return found
+
+
+def pdf_at(cell: Cell, start: int) -> int | None:
+    """A PDF to the end of its closing part, or of the last one that updates it: more objects follow at once, and no other PDF begins."""
+    if not cell.data[start + 5 : start + 6].isdigit():
+        return None
+    after = bisect_right(cell.pdf_starts, start)
+    limit = cell.pdf_starts[after] if after < len(cell.pdf_starts) else len(cell.data)
+    end = None
+    for begin, stop in islice(cell.pdf_ends, bisect_right(cell.pdf_ends, (start, 0)), None):
+        if stop > limit or (end is not None and not re.compile(rb"\s*(?:\d+ \d+ obj|xref)\b").match(cell.data, end)):
+            break
+        end = stop
+    return None if end is None else end - start
 
 
-def archive(b: memoryview) -> int | None:
+def archive_at(cell: Cell, start: int) -> int | None:
     """A zip whose central directory lies where its end says and begins with an entry's mark."""
-    data = bytes(b)
-    at = data.find(b"PK\5\6")
-    while at >= 0 and at + 22 <= len(data):
-        size, start, note = struct.unpack_from("<IIH", data, at + 12)
-        if start + size == at and data[start : start + 4] == b"PK\1\2" and at + 22 + note <= len(data):
-            return at + 22 + note
-        at = data.find(b"PK\5\6", at + 1)
-    return None
+    return cell.archives[start] - start if start in cell.archives else None
 
 
-def gzipped(b: memoryview) -> int | None:
-    inflate = zlib.decompressobj(31)
+def gzip_at(cell: Cell, start: int) -> int | None:
+    """A gzip member whose header is well formed and whose deflated bytes end with the right check sum and size."""
+    data, at = cell.data, start + 10
+    flags = data[start + 3] if start + 3 < len(data) else 255
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        at += 2 + int.from_bytes(data[at : at + 2], "little")
+    for text in (8, 16):
+        if flags & text:
+            end = cell.next_zero(at)
+            if end < 0:
+                return None
+            at = end + 1
+    at += 2 * (flags >> 1 & 1)
+    inflate, crc, size, step = zlib.decompressobj(-15), 0, 0, 64
     try:
-        for at in range(0, len(b), 1 << 16):
-            rest = bytes(b[at : at + (1 << 16)])
+        while at < len(data) and not inflate.eof:
+            rest = data[at : at + step]
+            at, step = at + len(rest), min(2 * step, 1 << 16)  # what is no gzip fails within a few bytes
             while rest and not inflate.eof:
-                inflate.decompress(rest, 1 << 20)
-                rest = inflate.unconsumed_tail
-            if inflate.eof:
-                return min(at + (1 << 16), len(b)) - len(inflate.unused_data)
+                out = inflate.decompress(rest, 1 << 20)
+                crc, size, rest = zlib.crc32(out, crc), size + len(out), inflate.unconsumed_tail
     except zlib.error:
         return None
-    return None
+    at -= len(inflate.unused_data)
+    fits = inflate.eof and at + 8 <= len(data) and struct.unpack_from("<II", data, at) == (crc, size & 0xFFFFFFFF)
+    return at + 8 - start if fits else None
+
+
+def pdf(b: memoryview) -> int | None:
+    return pdf_at(Cell(b), 0)
+
+
+def archive(b: memoryview) -> int | None:
+    return archive_at(Cell(b), 0)
+
+
+def gzipped(b: memoryview) -> int | None:
+    return gzip_at(Cell(b), 0)
 
 
 #: Magic numbers, the type that each announces, and the format's validator.
@@ -153,6 +221,8 @@ FORMATS: tuple[tuple[bytes, str | Callable[[memoryview], str], Callable[[memoryv
     (b"PK\3\4", "application/zip", archive),
     (b"\x1f\x8b\x08", "application/gzip", gzipped),
 )
+#: The validators that look for a container's end, as they go on within a cell.
+IN_CELL = {pdf: pdf_at, archive: archive_at, gzipped: gzip_at}
 _AUTOMATON: list = []
 
 
@@ -171,12 +241,12 @@ def automaton():
 
 def inspect(content: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the confirmed media in order of place; what lies in a confirmed container is not told twice."""
-    view, found, free = memoryview(content), [], 0
+    view, cell, found, free = memoryview(content), Cell(content), [], 0
     for last, (i, n) in automaton().iter(content.decode("latin-1")):
         start = last - n + 1
         if start >= free or not found:
             _, kind, validate = FORMATS[i]
-            length = validate(view[start:])
+            length = IN_CELL[validate](cell, start) if validate in IN_CELL else validate(view[start:])
             if length:
                 found.append((kind if isinstance(kind, str) else kind(view[start:]), start, length))
                 free = start + length
@@ -247,9 +317,15 @@ def padded(text: bytes) -> bytes:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text) -> (media_id, declared, content): each text as a sound, null as empty."""
-    wav = F.udf(lambda t: to_wav(padded(bytes(t) if t is not None else b"")), "binary")
-    return docs.select(F.col("doc_id").cast("long").alias("media_id"), F.lit("image/png").alias("declared"), wav(F.col("text").cast("binary")).alias("content"))
+    """`docs` (doc_id, text) -> (media_id, declared, content): each text as a sound, null as empty; other columns are left out."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            content = [to_wav(padded(t or b"")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(["image/png"] * len(content)), pa.array(content, pa.binary())], ["media_id", "declared", "content"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "media_id long, declared string, content binary")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, n_embedded long"
@@ -258,7 +334,8 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def op6(docs: DataFrame) -> DataFrame:
     """Texts stored as sound under a wrong declared type, sniffed, read back from where the sound was found, measured.
 
-    Row for row; repeated rows give the same values, an empty table an empty result.
+    Row for row; repeated rows give the same values, an empty table an empty result; other columns are not looked at. A
+    text takes a few times its own length in memory, and time in proportion to it.
     """
     import pyarrow as pa
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -76,3 +77,24 @@ def test_texts_as_sound(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_sha256 == hashlib.sha256(content[r.doc_id]).hexdigest() and r.media_bytes == len(content[r.doc_id])
         assert r.media_type == "audio/wav" and r.corrected and r.feature.startswith(f"n={len(payload)};")
+
+
+def test_two_documents_in_a_cell_and_updates_of_one():
+    update = PDF + b"\n4 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF"
+    assert media.inspect(PDF + b" and " + PDF) == [("application/pdf", 0, len(PDF)), ("application/pdf", len(PDF) + 5, len(PDF))]
+    assert media.inspect(update) == [("application/pdf", 0, len(update))]
+    assert media.inspect(PDF + b"\nsome words, startxref\n1\n%%EOF") == [("application/pdf", 0, len(PDF))]
+    zips = archive() + b"--" + archive()
+    assert media.inspect(zips) == [("application/zip", 0, len(archive())), ("application/zip", len(archive()) + 2, len(archive()))]
+    named = io.BytesIO()
+    with gzip.GzipFile("a.txt", "wb", fileobj=named) as f:
+        f.write(b"named " * 500)
+    assert media.inspect(b"x" + named.getvalue() + b"y") == [("application/gzip", 1, len(named.getvalue()))]
+    assert media.inspect(named.getvalue()[:-1] + b"?") == []  # a wrong size
+
+
+def test_many_marks_in_linear_time():
+    began = time.perf_counter()
+    for mark in (b"PK\3\4", b"%PDF-1", b"\x1f\x8b\x08", b"\x89PNG\r\n\x1a\n", b"GIF89a", b"BM", b"RIFF", b"PK\5\6", b"PK\3\4PK\5\6", b"startxref 1 %%EOF"):
+        assert media.inspect(mark * (1_000_000 // len(mark))) == []
+    assert time.perf_counter() - began < 60
