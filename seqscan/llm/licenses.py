@@ -100,6 +100,7 @@ TEXTS = (*SHORT, *((name, f"{title}\n\n{text}") for name, text in SHORT for titl
 #: Spellings that count as the same, as they stand after normalising.
 SPELLINGS = (
     ("licence", "license"),
+    ("licences", "licenses"),
     ("licenced", "licensed"),
     ("sub license", "sublicense"),
     ("non commercial", "noncommercial"),
@@ -112,14 +113,18 @@ SPELLINGS = (
     ("authorised", "authorized"),
     ("per cent", "percent"),
 )
-COPYRIGHT = "^(copyright|c) (c )?[0-9]{4}|^copyright c |^all rights reserved"
+#: A line that says who holds the rights: the word or sign, a year somewhere or a sign, and a name; sentences about copyright stay.
+COPYRIGHT = "^(portions |parts )?(copyright|copr|c) (c )?([0-9]{4}|.{1,60} [0-9]{4}$)|^(portions |parts )?copyright c |^all rights reserved|^[0-9]{4}( [0-9]{4})* (copyright|c) "
 
 
 def canonical_lines(text: Column) -> Column:
     """The text's normalised lines, none empty, without copyright lines."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    signs = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\u00a9", " c ")
+    # Each word between blanks of its own, so that spellings are replaced as whole words.
+    plain = F.concat(F.lit(" "), F.replace(F.regexp_replace(signs, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, chosen in SPELLINGS:
-        plain = F.replace(plain, F.lit(other), F.lit(chosen))
+        plain = F.replace(plain, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {chosen.replace(' ', '  ')} "))
+    plain = F.replace(plain, F.lit("  "), F.lit(" "))
     lines = F.transform(F.split(plain, "\n"), lambda line: F.trim(line))
     return F.filter(lines, lambda line: (line != "") & ~line.rlike(COPYRIGHT))
 
@@ -135,7 +140,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     license: the known licence or notice that the entire text is, null if none. notices: the known ones among the lines,
     each once, in order of name. A text without words, null included, has the digest of the empty text and no licence.
-    The broadcast table holds the fixed texts only.
+    Repeated rows are judged alike, an empty table gives an empty result, other columns are not looked at. The broadcast
+    table holds the fixed texts only.
     """
     fixed = known(docs.sparkSession)
     pairs = fixed.collect()  # the fixed texts' digests
@@ -154,9 +160,10 @@ def op10(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    plain = "regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
+    plain = "' ' || replace(regexp_replace(replace(lower(coalesce(text, '')), chr(169), ' c '), '[^\\p{L}\\p{N}\\n]+', '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
     for other, chosen in SPELLINGS:
-        plain = f"replace({plain}, {quote(other)}, {quote(chosen)})"
+        plain = f"replace({plain}, {quote(' ' + other.replace(' ', '  ') + ' ')}, {quote(' ' + chosen.replace(' ', '  ') + ' ')})"
+    plain = f"replace({plain}, '  ', ' ')"
     lines = f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT}'))"
     fixed = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in TEXTS)
     return f"""

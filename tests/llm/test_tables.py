@@ -147,3 +147,15 @@ def test_licenses_as_files_have_them(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
     got = {r.doc_id: r.license for r in licenses.op10(docs).collect()}
     assert [got[i] for i in range(len(files))] == [name for name, _ in files]
+
+
+def test_copyright_lines_and_spellings(spark):
+    isc = dict(licenses.TEXTS)["ISC"]
+    held = ["Copyright John Doe 2020", "\u00a9 2020 X Inc.", "(c) 1999-2004 Some People <a@b.c>", "Copyright \u00a9 A. Person", "Portions copyright 2011 B", "2001 (c) C"]
+    stays = ["Copyright law protects this work", "The above copyright notice"]
+    rows = [*[f"{h}\n{isc}" for h in held], *[f"{h}\n{isc}" for h in stays], isc.replace("fee is", "fee per century is"), *[isc] * 2]
+    docs = spark.createDataFrame([(i, t, "d", 1) for i, t in enumerate(rows)] + [(None, None, "d", 1)], "doc_id long, text string, digest string, hits int")
+    got = {r.doc_id: r.license for r in licenses.op10(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == ["ISC"] * len(held) + [None] * 3 + ["ISC"] * 2 and got[None] is None
+    (line,) = docs.limit(1).select(licenses.canonical_lines(licenses.F.lit("A per century Licence, per cent of LICENCES; favour"))).first()[0]
+    assert line == "a per century license percent of licenses favor"
