@@ -72,6 +72,7 @@ def run_search(spark: SparkSession, args: argparse.Namespace) -> int:
                 print(f"<= {r.upper_bound}: {r.num_sequences}", file=sys.stderr)
     if args.interactive:
         session = Session(db, config)
+        answered = False
         for line in sys.stdin:
             answer = session.command(line)
             if answer is None:
@@ -79,12 +80,14 @@ def run_search(spark: SparkSession, args: argparse.Namespace) -> int:
             if isinstance(answer, str):
                 print(answer)
             else:
-                sinks.write_file(sinks.tsv_lines(answer), args.of, titles=True)
+                sinks.write_file(sinks.tsv_lines(answer), args.of, titles=not answered, append=answered)
+                answered = True
         return 0
-    lines = None
+    lines, kept = None, []
     for k, path in enumerate(args.query):
         queries = numbered(read_sequences(spark, path))
         result = search(queries, db, config).timed()
+        kept.append(result.candidates)
         if args.verbose:
             print(result.metrics().first(), file=sys.stderr)
         if config.top:
@@ -93,6 +96,8 @@ def run_search(spark: SparkSession, args: argparse.Namespace) -> int:
             lines = found if lines is None else lines.unionByName(found)
     if lines is not None:
         sinks.write_file(lines, args.of, titles=args.tsv)
+    for candidates in kept:
+        candidates.unpersist()
     return 0
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from . import residues
 from .scoring import pair_scores
@@ -47,28 +48,36 @@ def sw_score(query: Column, subject: Column, matrix: str = "blosum62", gop: int
     return score(query, subject)
 
 
+def scoring_of(matrix: str | None, gop: int | None, gex: int | None) -> tuple:
+    """Substitution matrix and gap scores, the default or the matrix's own where null."""
+    name = matrix or "blosum62"
+    own = residues.GAPS.get(name.removesuffix("_20"), (0, 0))
+    return residues.matrix(name), own[0] if gop is None else int(gop), own[1] if gex is None else int(gex)
+
+
 @F.udtf(returnType="ref_id int, score int")
 class AlignTopK:
-    """`align_topk(TABLE(db), query, top)`: the best subjects of each part of the table that one task reads.
+    """`align_topk(TABLE(db), query, top[, matrix, gop, gex])`: the best subjects of each part of the table that a task reads.
 
-    Over the whole table the best are had by `ORDER BY score DESC, ref_id LIMIT top`.
+    A table function's tasks don't know of each other; `SELECT * FROM align_topk(...) ORDER BY score DESC, ref_id LIMIT top`
+    gives the best of the whole table from them, as a search does.
     """
 
     def __init__(self):
         self.waiting: list[tuple[int, bytes]] = []
         self.kept: list[tuple[int, int]] = []
-        self.asked: tuple[str, int] = ("", 0)
+        self.asked: tuple = ("", 0, None, None, None)
 
-    def eval(self, row, query: str, top: int):
-        self.asked = (query or "", top)
+    def eval(self, row, query: str, top: int, matrix: str = "blosum62", gop: int = None, gex: int = None):
+        self.asked = (query or "", top, matrix, gop, gex)
         self.waiting.append((row["ref_id"], bytes(row["residues"] or b"")))
         if len(self.waiting) >= 5_000:
             self.score()
 
     def score(self):
-        query, top = self.asked
+        query, top, *rule = self.asked
         codes = residues.encode(query)
-        found = pair_scores([(codes, s) for _, s in self.waiting], residues.matrix("blosum62"), *residues.GAPS["blosum62"])
+        found = pair_scores([(codes, s) for _, s in self.waiting], *scoring_of(*rule))
         self.kept += [(ref, int(n)) for (ref, _), n in zip(self.waiting, found, strict=True)]
         self.kept = sorted(self.kept, key=lambda x: (-x[1], x[0]))[:top]
         self.waiting = []
@@ -79,7 +88,7 @@ class AlignTopK:
 
 
 def register(spark: SparkSession) -> None:
-    """aa_encode, aa_decode, length_partition, sw_score and align_topk (default matrix and gaps) for SQL."""
+    """For SQL: aa_encode, aa_decode, length_partition, sw_score(query, subject[, matrix, gop, gex]) and align_topk."""
     spark.udtf.register("align_topk", AlignTopK)
     spark.udf.register("aa_encode", aa_encode)
     spark.udf.register("aa_decode", aa_decode)
@@ -91,10 +100,17 @@ def register(spark: SparkSession) -> None:
 
         return pd.Series(np.where(lengths.isna(), -1, np.searchsorted(bounds, lengths.fillna(0)))).astype("Int32").replace(-1, pd.NA)
 
-    @F.pandas_udf(T.IntegerType())
-    def score(queries: pd.Series, subjects: pd.Series) -> pd.Series:
-        pairs = [(residues.encode(q or ""), residues.encode(s or "")) for q, s in zip(queries, subjects, strict=True)]
-        return pd.Series(pair_scores(pairs, residues.matrix("blosum62"), *residues.GAPS["blosum62"]))
+    def score(*given: pd.Series) -> pd.Series:
+        rules = list(zip(*given[2:], strict=True)) or [()] * len(given[0])
+        texts = [(q, s) for q, s in zip(given[0], given[1], strict=True)]
+        out = pd.Series([None] * len(texts), dtype="Int32")
+        asked: dict[tuple, list[int]] = {}
+        for i, rule in enumerate(rules):
+            if texts[i][0] is not None and texts[i][1] is not None:
+                asked.setdefault(tuple(None if pd.isna(x) else x for x in (*rule, None, None, None)[:3]), []).append(i)
+        for rule, places in asked.items():
+            out.iloc[places] = pair_scores([(residues.encode(texts[i][0]), residues.encode(texts[i][1])) for i in places], *scoring_of(*rule))
+        return out
 
     spark.udf.register("length_partition", bucket)
-    spark.udf.register("sw_score", score)
+    spark.udf.register("sw_score", F.pandas_udf(score, T.IntegerType(), PandasUDFType.SCALAR))

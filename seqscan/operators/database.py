@@ -71,10 +71,14 @@ def load_db(spark: SparkSession, path: str) -> DataFrame:
     return table.select("ref_id", "length", "length_partition", "header", "residues")
 
 
+def pseudo_residues(length: int, seed: int = 42) -> bytes:
+    draw = random.Random(seed)
+    return bytes(draw.randrange(20) for _ in range(length))
+
+
 def pseudo_db(spark: SparkSession, num: int, length: int, seed: int = 42) -> DataFrame:
     """`num` subjects that are all the same random sequence, headed `H`."""
-    draw = random.Random(seed)
-    one = bytes(draw.randrange(20) for _ in range(length))
+    one = pseudo_residues(length, seed)
     return spark.range(num).select(F.col("id").cast("int").alias("ref_id"), F.lit(length).cast("int").alias("length"), length_partition(F.lit(length)).alias("length_partition"), F.lit("H").alias("header"), F.lit(bytearray(one)).alias("residues"))
 
 

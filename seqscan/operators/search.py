@@ -156,9 +156,11 @@ def search(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfi
     return Result(queries, db, config, candidates)
 
 
-def all_pairs(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Every score, for checking small inputs: (query_num, ref_id, score)."""
+def all_pairs(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfig(), most: int = 10_000_000) -> DataFrame:
+    """Every score, for checking small inputs: (query_num, ref_id, score). More than `most` pairs are refused."""
     from seqscan.functions.registry import aa_decode, sw_score
 
+    if (n := queries.count() * db.count()) > most:
+        raise ValueError(f"{n} pairs; all_pairs is for {most} at most")
     crossed = queries.select("query_num", F.col("sequence").alias("q")).crossJoin(db.select("ref_id", aa_decode("residues").alias("s")))
     return crossed.select("query_num", "ref_id", sw_score(F.col("q"), F.col("s"), config.matrix, *config.gaps).alias("score"))

@@ -5,7 +5,6 @@ Texts serve as sequences: their ASCII letters, in upper case.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,13 +18,19 @@ from seqscan.operators.search import search
 from seqscan.plans import oracle
 from seqscan.plans.config import SearchConfig
 from seqscan.sources import sinks
-from seqscan.sources.fasta import pairs, parsed
+from seqscan.sources.fasta import pairs, parsed, read_sequences
+from seqscan.sources.folders import shared_folder
 from seqscan.streaming.live import Session, several_files, stream_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUSTOM = SearchConfig(top=5, matrix="blosum45", gop=-5, gex=-2)
 
 
+def new_place(spark: SparkSession) -> str:
+    """A folder's name of its own, in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
+
+
 def letters(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 
@@ -196,6 +201,53 @@ def mates(spark, sf_dir):
     return pairs(p).select("pair", "header_1", "sequence_1", "header_2", "sequence_2")
 
 
+def mate_files(spark, sf_dir):
+    """Names and types of parts as two files, their records in lockstep."""
+    p = read(spark, sf_dir, "part")
+    side = lambda column: p.select(F.lit(column).alias("file"), F.col("p_partkey").cast("long").alias("ordinal"), F.col(column).alias("header"), letters(F.col(column)).alias("sequence"), F.lit(None).cast("string").alias("quality"))
+    return pairs(side("p_name"), side("p_type")).select("pair", "header_1", "sequence_1", "header_2", "sequence_2")
+
+
+def large_files(spark, sf_dir, compression: str):
+    """All documents written as files of many records each, read line by line as files too large for memory are."""
+    place = new_place(spark)
+    d = documents(spark, sf_dir)
+    text = F.concat(F.lit(">"), "header", F.lit(" of documents\n"), F.regexp_replace("sequence", "(.{70})", "$1\n"))
+    d.select(text).coalesce(3).write.option("compression", compression).text(place)
+    found = read_sequences(spark, place, large=1 << 10)
+    return found.select(F.split("header", " ")[0].cast("long").alias("doc_id"), "header", F.md5("sequence").alias("letters_md5"))
+
+
+def mixed_files(spark, sf_dir):
+    """Documents and parts as FASTA and FASTQ records of one gzipped file each key's last digit."""
+    place = new_place(spark)
+    d = documents(spark, sf_dir).select((F.col("ordinal") % 10).alias("k"), F.concat(F.lit(">d"), "header", F.lit("\n"), "sequence").alias("text"))
+    p = records(spark, sf_dir, "part", "p_partkey", "p_name").select((F.col("ordinal") % 10).alias("k"), F.concat(F.lit("@p"), "header", F.lit("\n"), "sequence", F.lit("\n+\n"), F.translate("sequence", "ABC", "@>+")).alias("text"))
+    d.unionByName(p).repartition(4, "k").select("text").write.option("compression", "gzip").text(place)
+    return read_sequences(spark, place).select("header", "sequence", "quality")
+
+
+def reloaded(spark, sf_dir):
+    """The parts' database written and loaded again."""
+    place = new_place(spark)
+    database.build_db(records(spark, sf_dir, "part", "p_partkey", "p_name"), place)
+    return database.load_db(spark, place).select("ref_id", "length", "length_partition", "header", aa_decode("residues").alias("sequence"))
+
+
+PSEUDO = residues.decode(database.pseudo_residues(600))
+
+
+def overflows(spark, sf_dir):
+    """Beginnings of a sequence against copies of it: those that score more than the 16-bit kernel holds overflow."""
+    sizes = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("query_num")).distinct()
+    asked = sizes.select("query_num", F.col("query_num").cast("string").alias("header"), F.substring(F.lit(PSEUDO), F.lit(1), (F.col("query_num") * 12).cast("int")).alias("sequence"))
+    return search(asked, database.pseudo_db(spark, 5, 600), SearchConfig(top=0)).stats()
+
+
+def run_totals(spark, sf_dir):
+    return search(nations(spark, sf_dir), part_db(spark, sf_dir)).metrics().select("cells", "num_overflows")
+
+
 def recoded(spark, sf_dir):
     again = database.recode(document_db(spark, sf_dir))
     return again.select("ref_id", F.md5(F.hex("residues")).alias("codes_md5"))
@@ -203,8 +255,7 @@ def recoded(spark, sf_dir):
 
 def streamed(spark, sf_dir):
     """Nations written as a query file, found by the stream, hits of the last micro-batch."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    place = f"{folder}/{uuid.uuid4()}"
+    place = new_place(spark)
     lines = nations(spark, sf_dir).orderBy("query_num").select(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence"))
     lines.coalesce(1).write.text(f"{place}/in")
     db = part_db(spark, sf_dir).persist()
@@ -265,6 +316,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "fasta_scan": (fasta, f"SELECT doc_id, doc_id || ' of documents' AS header, md5({oracle.letters('text')}) AS letters_md5 FROM documents"),
     "fastq_scan": (fastq, f"SELECT p_partkey::BIGINT AS p_partkey, p_partkey::VARCHAR AS header, s AS sequence, rpad(q, length(s)::INTEGER, '@') AS quality FROM (SELECT p_partkey, {oracle.letters('p_name')} AS s, {oracle.letters('p_type')} AS q FROM part)"),
     "pair_scan": (mates, f"SELECT a.p_partkey // 2 AS pair, a.p_name AS header_1, {oracle.letters('a.p_name')} AS sequence_1, b.p_name AS header_2, {oracle.letters('b.p_name')} AS sequence_2 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 2 = 0"),
+    "mate_files_scan": (mate_files, f"SELECT p_partkey::BIGINT AS pair, p_name AS header_1, {oracle.letters('p_name')} AS sequence_1, p_type AS header_2, {oracle.letters('p_type')} AS sequence_2 FROM part"),
+    **{f"large_{kind}_scan": (lambda s, d, kind=kind: large_files(s, d, kind), f"SELECT doc_id, doc_id || ' of documents' AS header, md5({oracle.letters('text')}) AS letters_md5 FROM documents") for kind in ("gzip", "none")},
+    "mixed_gzip_scan": (mixed_files, f"SELECT 'd' || doc_id AS header, {oracle.letters('text')} AS sequence, NULL::VARCHAR AS quality FROM documents UNION ALL SELECT 'p' || p_partkey, s, translate(s, 'ABC', '@>+') FROM (SELECT p_partkey, {oracle.letters('p_name')} AS s FROM part)"),
+    "database_reload": (reloaded, f"SELECT ref_id, length, length_partition, header, regexp_replace(sequence, '[^{residues.ALPHABET}]', '-', 'g') AS sequence FROM ({oracle.db('part', 'p_partkey', 'p_name')})"),
+    "overflow_counts": (overflows, f"SELECT query_num, CASE WHEN {DIAGONAL} >= 2048 THEN 5 ELSE 0 END::BIGINT AS num_overflows, (length(s) * 600 * 5)::BIGINT AS cells FROM (SELECT DISTINCT p_size::BIGINT AS query_num, substr('{PSEUDO}', 1, p_size::INTEGER * 12) AS s FROM part)"),
+    "search_run_totals": (run_totals, f"SELECT (SELECT sum(length({oracle.letters('n_name')})) FROM nation)::BIGINT * (SELECT sum(length({oracle.letters('p_name')})) FROM part)::BIGINT AS cells, 0::BIGINT AS num_overflows"),
     "stream_search": (streamed, f"WITH RECURSIVE {oracle.hits(SearchConfig(), oracle.QUERIES_SQL.replace('n_nationkey::BIGINT AS query_num', 'row_number() OVER (ORDER BY n_nationkey) - 1 AS query_num'))} SELECT query_num AS file_query_num, query_header, result_num, score, ref_id FROM hits"),
     "interactive_search": (interactive, f"WITH RECURSIVE {oracle.hits(SearchConfig(), '''SELECT -1::BIGINT AS query_num, '-' AS header, 'HREDWIDGET' AS sequence''')} SELECT {HITS} FROM hits"),
     "names_in_documents": (names_in_documents, None),

@@ -5,43 +5,95 @@ from __future__ import annotations
 import glob as paths
 import os
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .records import as_text, parse
+from .records import as_text, lines_of, parse, records_of
 
 SCHEMA = "file string, ordinal long, header string, sequence string, quality string"
 
 
+#: A larger file (bytes) is not read whole but line by line.
+LARGE = 256 << 20
+#: Residues of the records that are handed on together.
+BATCH = 8 << 20
+NAMES = ["file", "ordinal", "header", "sequence", "quality"]
+
+
+def batches_of(found: Iterator[tuple[str, int, tuple[bytes, bytes, bytes | None]]]) -> Iterator:
+    """(file, ordinal, record) as Arrow batches of bounded size."""
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
+    rows: list[tuple] = []
+    size = 0
+    for file, n, (header, sequence, quality) in found:
+        rows.append((file, n, as_text(header), sequence.decode("latin-1"), None if quality is None else quality.decode("latin-1")))
+        size += len(sequence) + len(header) + 64
+        if size > BATCH:
+            yield as_batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield as_batch(rows)
+
+
 def parsed(files: DataFrame, permissive: bool = False) -> DataFrame:
     """Rows of Spark's binaryFile source (path, content) -> records, in order within each file."""
     import pyarrow as pa
 
-    names = ["file", "ordinal", "header", "sequence", "quality"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows: list[tuple] = []
-                size = 0
-                for n, (header, sequence, quality) in enumerate(parse(content, permissive)):
-                    rows.append((path, n, as_text(header), sequence.decode("latin-1"), None if quality is None else quality.decode("latin-1")))
-                    size += len(sequence)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                records = parse(content.as_py(), permissive)
+                yield from batches_of((path.as_py(), n, r) for n, r in enumerate(records))
 
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def read_sequences(spark: SparkSession, *where: str, permissive: bool = False) -> DataFrame:
-    """FASTA and FASTQ files (paths, folders or globs in any file system Spark reads), a task for each file."""
-    return parsed(spark.read.format("binaryFile").load(list(where)), permissive)
+def parsed_lines(lines: DataFrame, permissive: bool = False) -> DataFrame:
+    """`lines` (file, value), each file's together and in order -> records. A task holds one record at a time."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = ((file, line) for batch in batches for file, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        files = groupby(told, key=lambda x: x[0])
+        yield from batches_of((file, n, r) for file, own in files for n, r in enumerate(records_of((line for _, line in own), permissive)))
+
+    return lines.select("file", F.col("value").cast("binary").alias("value")).mapInArrow(run, SCHEMA)
+
+
+def read_lines(spark: SparkSession, where: list[str], permissive: bool = False) -> DataFrame:
+    """Records of files of any size. Spark inflates those named .gz, each in one task as it reads; others are read in
+    splits, whose lines are brought together in order by a shuffle that may spill, and parsed by a task for each file."""
+    out = None
+    for packed in (True, False):
+        chosen = [p for p in where if p.endswith(".gz") == packed]
+        if not chosen:
+            continue
+        file = F.regexp_replace("_metadata.file_path", "^file:///", "file:/")
+        lines = spark.read.option("lineSep", "\n").text(chosen).select(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        if not packed:
+            placed = lines.withColumn("at", F.monotonically_increasing_id())
+            lines = placed.repartition("file").sortWithinPartitions("file", "block", "at")
+        found = parsed_lines(lines, permissive)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def read_sequences(spark: SparkSession, *where: str, permissive: bool = False, large: int = LARGE) -> DataFrame:
+    """FASTA and FASTQ files (paths, folders or globs in any file system Spark reads), gzipped or not.
+
+    A file of up to `large` bytes is read whole by one task and inflated as it is parsed. Larger ones go through
+    `read_lines`; one of them that is gzip but not named so can't be told from its lines, and gives no records.
+    """
+    files = spark.read.format("binaryFile").load(list(where))
+    long = [r["path"] for r in files.where(F.col("length") > large).select("path").toLocalIterator()]
+    small = parsed(files.where(F.col("length") <= large), permissive)
+    return small.unionByName(read_lines(spark, long, permissive)) if long else small
 
 
 def read_large_fasta(spark: SparkSession, *where: str) -> DataFrame:
@@ -75,7 +127,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.path, "rb") as source:
-            for n, (header, sequence, quality) in enumerate(parse(source.read(), self.permissive)):
+            for n, (header, sequence, quality) in enumerate(records_of(lines_of(source), self.permissive)):
                 yield partition.path, n, as_text(header), sequence.decode("latin-1"), None if quality is None else quality.decode("latin-1")
 
 

@@ -3,70 +3,64 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import nullcontext
+from io import BytesIO
+from typing import BinaryIO
 
 
 class FormatError(ValueError):
     """A quality string that does not fit its sequence, or a file that ends within a record."""
 
 
-def plain(content: bytes) -> bytes:
-    """Gzip is told by its magic number, whatever the file is called."""
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def lines_of(source: BinaryIO) -> Iterator[bytes]:
+    """Lines without their ends. Gzip is told by its magic number, whatever the file is called, and inflated as it is read."""
+    head = source.read(2)
+    source.seek(0)
+    with gzip.GzipFile(fileobj=source) if head == b"\x1f\x8b" else nullcontext(source) as data:
+        for line in data:
+            yield line[:-1] if line.endswith(b"\n") else line
 
 
-def parse(content: bytes, permissive: bool = False) -> Iterator[tuple[bytes, bytes, bytes | None]]:
-    """(header, sequence, quality or None) of each record.
+def joined(parts: bytearray, more: bytes) -> None:
+    parts += more
+    if len(parts) > 1 and parts[-1] == 13:
+        del parts[-1]
+
+
+def records_of(lines: Iterable[bytes], permissive: bool = False) -> Iterator[tuple[bytes, bytes, bytes | None]]:
+    """(header, sequence, quality or None) of each record; no more than a record is held.
 
     Bytes before the first `>` or `@` are skipped, also within a line. In a record, a line that begins with either starts
     the next record and one that begins with `+` the quality, which is read until it is as long as the sequence. A
     trailing carriage return goes unless it is all there is. Records without sequence are kept. An ill-fitting quality
     raises FormatError; if `permissive`, what follows is left out without a word.
     """
-    data, at = plain(content), 0
-
-    def line() -> bytes:
-        nonlocal at
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
-        found, at = data[at:end], end + 1
-        return found
-
-    def joined(parts: bytearray, more: bytes) -> None:
-        parts += more
-        if len(parts) > 1 and parts[-1] == 13:
-            del parts[-1]
-
-    def mark() -> int:
-        return min((p for p in (data.find(b">", at), data.find(b"@", at)) if p >= 0), default=-1)
-
-    pending = False
+    rest = iter(lines)
+    begun: bytes | None = None
     while True:
-        if not pending:
-            start = mark()
-            if start < 0:
+        while begun is None:
+            line = next(rest, None)
+            if line is None:
                 return
-            at = start + 1
-        pending = False
+            start = min((p for p in (line.find(b">"), line.find(b"@")) if p >= 0), default=-1)
+            begun = line[start + 1 :] if start >= 0 else None
         header, sequence, quality = bytearray(), bytearray(), None
-        joined(header, line())
-        while at < len(data):
-            first = data[at]
-            if first in b">@":
-                at, pending = at + 1, True
+        joined(header, begun)
+        begun = None
+        for line in rest:
+            if line[:1] in (b">", b"@"):
+                begun = line[1:]
                 break
-            if first == 43:
-                line()
+            if line[:1] == b"+":
                 quality = bytearray()
-                more = at < len(data)
-                while more:
-                    joined(quality, line())
-                    more = at < len(data) and len(quality) < len(sequence)
+                for more in rest:
+                    joined(quality, more)
+                    if len(quality) >= len(sequence):
+                        break
                 break
-            if first == 10:
-                at += 1
-            else:
-                joined(sequence, line())
+            if line:
+                joined(sequence, line)
         if quality is not None and len(quality) != len(sequence):
             if permissive:
                 return
@@ -74,6 +68,11 @@ def parse(content: bytes, permissive: bool = False) -> Iterator[tuple[bytes, byt
         yield bytes(header), bytes(sequence), None if quality is None else bytes(quality)
 
 
+def parse(content: bytes, permissive: bool = False) -> Iterator[tuple[bytes, bytes, bytes | None]]:
+    """`records_of` the lines of a file's content."""
+    return records_of(lines_of(BytesIO(content)), permissive)
+
+
 def as_text(data: bytes) -> str:
     """UTF-8 if it is, else one character for each byte."""
     try:

@@ -35,9 +35,9 @@ def write_folder(lines: DataFrame, path: str) -> None:
     in_order(lines).write.text(path)
 
 
-def write_file(lines: DataFrame, path: str, titles: bool = False) -> None:
+def write_file(lines: DataFrame, path: str, titles: bool = False, append: bool = False) -> None:
     """One local file (or /dev/stdout), row by row from a partition at a time."""
-    with open(path, "w", encoding="utf-8", newline="\n") as out:
+    with open(path, "a" if append else "w", encoding="utf-8", newline="\n") as out:
         if titles:
             out.write("\t".join(TITLES) + "\n")
         for r in in_order(lines).toLocalIterator():

@@ -172,3 +172,46 @@ def test_top_of_a_table_from_sql(spark):
     got = spark.sql(f"SELECT * FROM align_topk(TABLE(SELECT ref_id, residues FROM db), '{TWO[0]}', 2) ORDER BY score DESC, ref_id LIMIT 2").collect()
     asked = spark.createDataFrame([(0, "q", TWO[0])], "query_num long, header string, sequence string")
     assert [(r.score, r.ref_id) for r in got] == [(r.score, r.ref_id) for r in search.search(asked, db, SearchConfig(top=2)).top_scores().orderBy("result_num").collect()]
+
+
+def test_large_files_line_by_line(spark, tmp_path):
+    import gzip
+
+    content = b"junk\n>a one\r\nAC\n\nGT\n@q\nACGT\n+\n@>+I\n>empty\n>last\n" + b"M" * 5000
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gz").write_bytes(gzip.compress(content))
+    (tmp_path / "in" / "b.fa").write_bytes(content)
+    (tmp_path / "in" / "c.fa").write_bytes(gzip.compress(content))
+    (tmp_path / "in" / "d.fa").write_bytes(b"")
+    key = lambda r: tuple(map(str, r))
+    whole = sorted(map(tuple, fasta.read_sequences(spark, f"{tmp_path}/in").collect()), key=key)
+    assert len(whole) == 12
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        split = sorted(map(tuple, fasta.read_lines(spark, [f"file:{tmp_path}/in/a.gz", f"file:{tmp_path}/in/b.fa"]).collect()), key=key)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert split == [r for r in whole if r[0][-4:] in ("a.gz", "b.fa") or r[0].endswith("/a.gz")]
+    some = sorted(map(tuple, fasta.read_sequences(spark, f"{tmp_path}/in", large=4000).collect()), key=key)
+    assert some == whole
+
+
+def test_sql_scores_by_matrix_and_gaps(spark):
+    from seqscan.functions.registry import register
+
+    register(spark)
+    spark.createDataFrame([("HEAGAWGHEE", "PAWHEAE"), ("WWWWWWWW", "WWWWAWWWW"), (None, "A"), ("", "A")], "q string, s string").createOrReplaceTempView("asked")
+    plain = [r[0] for r in spark.sql("SELECT sw_score(q, s) FROM asked").collect()]
+    assert plain == [17, 77, None, 0]
+    chosen = spark.sql("SELECT sw_score(q, s, 'blosum45', -5, -2) AS n FROM asked").collect()
+    from seqscan.functions.registry import sw_score
+    want = spark.table("asked").select(sw_score(spark.table("asked").q, spark.table("asked").s, "blosum45", -5, -2)).collect()
+    assert [r[0] for r in chosen] == [r[0] for r in want]
+
+
+def test_all_pairs_is_for_small_inputs(spark):
+    from seqscan.operators import search as searching
+
+    queries = spark.range(20).selectExpr("id AS query_num", "'x' AS header", "'WW' AS sequence")
+    with pytest.raises(ValueError, match="pairs"):
+        searching.all_pairs(queries, database.pseudo_db(spark, 10, 5), most=100)
