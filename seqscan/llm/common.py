@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqscan.sources.folders import shared_folder
+
 #: Whitespace between words and a character of a word, as regular expressions for Spark.
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
@@ -18,13 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

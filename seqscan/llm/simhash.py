@@ -2,8 +2,8 @@
 
 A fingerprint pair that differs in at most three bits agrees in one of four 16-bit blocks, and the remaining 48 bits
 agree in one of four 12-bit blocks; so each distinct fingerprint goes to the 16 shards named by such a pair of blocks.
-Every shard is a BK-tree. Shards of more than SHARD fingerprints are cut into slices; each slice's tree is sent to
-(broadcast among) the shard's other slices, so that no task holds an unbounded shard. What leaves a shard are links to
+Every shard is a BK-tree. Shards of more than SHARD fingerprints are cut into slices; each slice's tree is sent to the
+shard's other slices by shuffling, so that no task holds an unbounded shard. What leaves a shard are links to
 the local component's first fingerprint, as many as it has fingerprints, never all pairs.
 """
 
