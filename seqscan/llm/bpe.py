@@ -118,8 +118,9 @@ class Codec:
         self.length_of = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.length_of[list(self.ranks.values())] = list(map(len, self.ranks))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        pairs = np.array([(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks])
-        self.load("merges", pair=pa.array(pairs[:, 0]), token=pa.array(pairs[:, 1].astype(np.int32)))
+        merges = ((self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
+        pairs = np.fromiter(merges, dtype=[("pair", np.int64), ("token", np.int32)])
+        self.load("merges", pair=pa.array(pairs["pair"]), token=pa.array(pairs["token"]))
         self.load("vocab", token=pa.array(list(self.ranks.values()), pa.int32()), piece=pa.array([t.hex() for t in self.ranks]))
         self.forget()
 
