@@ -14,8 +14,13 @@ from seqscan.functions import residues
 from seqscan.functions.scoring import all_scores
 from seqscan.plans.config import SearchConfig
 
-#: Residues of queries that are told to all tasks at once; more are searched in blocks of this size.
-QUERY_BLOCK = 4 << 20
+#: Bytes of queries that are told to all tasks at most; more are dealt with the database in cells.
+QUERY_BYTES = 1 << 20
+#: Bytes of queries and of subjects in a cell, about; a core takes some 20 minutes for it.
+QUERY_BLOCK, SLICE = 64 << 10, 4 << 20
+MOST_TASKS = 50_000
+#: A longer query is refused.
+LIMIT = 2**31 - 1 - 128 - 4
 #: Subjects' residues that a task scores at once.
 SUBJECT_BLOCK = 2 << 20
 #: Residues for a task under which a database is dealt anew.
@@ -34,54 +39,101 @@ def best(refs: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
     return rows[np.lexsort((refs[rows], -scores[rows]))][:top]
 
 
-def scored(db: DataFrame, queries: list[tuple[int, bytes]], config: SearchConfig) -> DataFrame:
-    """Each task's best candidates of each query, and rows without ref_id that count cells and overflows."""
-    import pyarrow as pa
+class Tally:
+    """The best subjects of some queries among those seen so far, and the queries' cells and overflows."""
+
+    def __init__(self, queries: list[tuple[int, bytes]], config: SearchConfig):
+        self.numbers, self.codes = [q for q, _ in queries], [residues.encode(s) for _, s in queries]
+        self.table, self.gaps, self.rules, self.top = residues.matrix(config.matrix), config.gaps, config.overflow_rules, config.top
+        self.kept = [(np.empty(0, np.int64), np.empty(0, np.int32)) for _ in queries]
+        self.residues, self.overflows = 0, np.zeros(len(queries), np.int64)
+        self.refs: list[int] = []
+        self.texts: list[bytes] = []
+        self.waiting = 0
+
+    def add(self, ref: int, codes: bytes | None) -> None:
+        self.refs.append(ref)
+        self.texts.append(codes or b"")
+        self.waiting += len(self.texts[-1])
+        if self.waiting > SUBJECT_BLOCK or len(self.refs) >= 50_000:
+            self.score()
+
+    def score(self) -> None:
+        """Score the subjects that wait."""
+        lengths = np.array([len(t) for t in self.texts])
+        bucket = np.searchsorted(residues.BOUNDS, lengths)
+        self.residues += int(lengths.sum())
+        found = all_scores(self.codes, self.texts, self.table, *self.gaps)
+        ids = np.array(self.refs, np.int64)
+        for first, last, threshold in self.rules:
+            self.overflows += ((found >= threshold) & (bucket >= first) & (bucket <= last)).sum(axis=1)
+        for k in range(len(self.codes)) if self.top else ():
+            refs, values = np.concatenate((self.kept[k][0], ids)), np.concatenate((self.kept[k][1], found[k]))
+            rows = best(refs, values, self.top)
+            self.kept[k] = refs[rows], values[rows]
+        self.refs, self.texts, self.waiting = [], [], 0
+
+    def rows(self) -> Iterator:
+        """CANDIDATES: the best subjects, then a row without ref_id for each query."""
+        import pyarrow as pa
+
+        if self.refs:
+            self.score()
+        n = [len(r) for r, _ in self.kept]
+        hits = [np.repeat(self.numbers, n), np.concatenate([r for r, _ in self.kept] or [[]]), np.concatenate([s for _, s in self.kept] or [[]])]
+        none = pa.nulls(len(self.numbers), pa.int32())
+        names = [x.split()[0] for x in CANDIDATES.split(", ")]
+        zero = pa.array(np.zeros(sum(n), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(hits[0], pa.int64()), pa.array(hits[1].astype(np.int32)), pa.array(hits[2].astype(np.int32)), zero, zero], names)
+        yield pa.RecordBatch.from_arrays([pa.array(self.numbers, pa.int64()), none, none, pa.array([self.residues * len(c) for c in self.codes], pa.int64()), pa.array(self.overflows)], names)
 
-    table, gaps, rules, top = residues.matrix(config.matrix), config.gaps, config.overflow_rules, config.top
+
+def scored(db: DataFrame, queries: list[tuple[int, bytes]], config: SearchConfig) -> DataFrame:
+    """Candidates of few queries, told to all tasks; the database is read where it lies."""
     shared = db.sparkSession.sparkContext.broadcast(queries)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, codes = [q for q, _ in shared.value], [residues.encode(s) for _, s in shared.value]
-        kept = [(np.empty(0, np.int64), np.empty(0, np.int32)) for _ in codes]
-        length_sum, overflows = 0, np.zeros(len(codes), np.int64)
-
-        def take(refs: list[int], texts: list[bytes]) -> None:
-            nonlocal length_sum
-            lengths = np.array([len(t) for t in texts])
-            bucket = np.searchsorted(residues.BOUNDS, lengths)
-            length_sum += int(lengths.sum())
-            found = all_scores(codes, texts, table, *gaps)
-            ids = np.array(refs, np.int64)
-            for first, last, threshold in rules:
-                overflows[:] += ((found >= threshold) & (bucket >= first) & (bucket <= last)).sum(axis=1)
-            for k in range(len(codes)) if top else ():
-                all_refs, values = np.concatenate((kept[k][0], ids)), np.concatenate((kept[k][1], found[k]))
-                rows = best(all_refs, values, top)
-                kept[k] = all_refs[rows], values[rows]
-
-        refs, texts, size = [], [], 0
+    def run(batches: Iterator) -> Iterator:
+        tally = Tally(shared.value, config)
         for batch in batches:
-            for ref, codes_of in zip(batch.column("ref_id").to_pylist(), batch.column("residues").to_pylist(), strict=True):
-                refs.append(ref)
-                texts.append(codes_of or b"")
-                size += len(texts[-1])
-                if size > SUBJECT_BLOCK or len(refs) >= 50_000:
-                    take(refs, texts)
-                    refs, texts, size = [], [], 0
-        if refs:
-            take(refs, texts)
-        n = [len(r) for r, _ in kept]
-        hits = [np.repeat(numbers, n), np.concatenate([r for r, _ in kept] or [[]]), np.concatenate([s for _, s in kept] or [[]])]
-        none = pa.nulls(len(numbers), pa.int32())
-        names = [x.split()[0] for x in CANDIDATES.split(", ")]
-        zero = pa.array(np.zeros(sum(n), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(hits[0], pa.int64()), pa.array(hits[1].astype(np.int32)), pa.array(hits[2].astype(np.int32)), zero, zero], names)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), none, none, pa.array([length_sum * len(c) for c in codes], pa.int64()), pa.array(overflows)], names)
+            for ref, codes in zip(batch.column("ref_id").to_pylist(), batch.column("residues").to_pylist(), strict=True):
+                tally.add(ref, codes)
+        yield from tally.rows()
 
     return db.select("ref_id", "residues").mapInArrow(run, CANDIDATES)
 
 
+def scored_in_cells(db: DataFrame, queries: DataFrame, blocks: int, slices: int, config: SearchConfig) -> DataFrame:
+    """Candidates of any number of queries: each block of queries meets each slice of the database in a cell of its own.
+
+    Blocks and slices are drawn by hash. In a cell the queries come first, then its subjects pass by one after another.
+    What is shuffled, the database once a block and the queries once a slice, is little next to the scoring: a cell's
+    cells of the recurrence are the product of what it reads.
+    """
+    drawn = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(drawn("query_num", blocks).alias("block"), every(slices).alias("slice"), F.lit(0).alias("part"), "query_num", F.encode("sequence", "utf-8").alias("data"))
+    read = db.select(every(blocks).alias("block"), drawn("ref_id", slices).alias("slice"), F.lit(1).alias("part"), F.col("ref_id").cast("long").alias("query_num"), F.col("residues").alias("data"))
+    dealt = asked.unionByName(read).repartition(min(blocks * slices, MOST_TASKS), "block", "slice").sortWithinPartitions("block", "slice", "part")
+
+    def run(batches: Iterator) -> Iterator:
+        cell, asked, tally = None, [], None
+        for batch in batches:
+            for block, slice_, part, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, slice_) != cell:
+                    if tally:
+                        yield from tally.rows()
+                    cell, asked, tally = (block, slice_), [], None
+                if part == 0:
+                    asked.append((number, data))
+                elif asked:
+                    tally = tally or Tally(asked, config)
+                    tally.add(number, data)
+        if tally:
+            yield from tally.rows()
+
+    return dealt.mapInArrow(run, CANDIDATES)
+
+
 def spread(db: DataFrame) -> DataFrame:
     """A database too small to fill all tasks is dealt anew; a large one is read as it lies, without a shuffle."""
     tasks = 2 * db.sparkSession.sparkContext.defaultParallelism
@@ -131,28 +183,22 @@ class Result:
 def search(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfig()) -> Result:
     """`queries` (query_num, header, sequence) against `db` (ref_id, length, header, residues).
 
-    The database is read once for all queries of a block, and only best candidates leave a task. Null sequences are
-    empty and score 0.
+    Up to QUERY_BYTES of queries are told to all tasks, which read the database where it lies; more are dealt with it in
+    cells (`scored_in_cells`). Only best candidates leave a task. Null sequences are empty and score 0.
     """
-    near = spread(db)
-    asked = queries.select("query_num", F.coalesce("sequence", F.lit("")).alias("sequence")).orderBy("query_num")
-    parts: list[DataFrame] = []
-    block: list[tuple[int, bytes]] = []
-    size = 0
-    for r in asked.toLocalIterator():
-        one = r["sequence"].encode()
-        if len(one) > 2**31 - 1 - 128 - 4:
-            raise ValueError(f"query {r['query_num']} is too long")
-        if block and size + len(one) > QUERY_BLOCK:
-            parts.append(scored(near, block, config))
-            block, size = [], 0
-        block.append((r["query_num"], one))
-        size += len(one) + 64
-    if block or not parts:
-        parts.append(scored(near, block, config))
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.unionByName(part)
+    asked = queries.select("query_num", F.coalesce("sequence", F.lit("")).alias("sequence"))
+    size = F.octet_length("sequence")
+    told = asked.agg(F.sum(size + 64).alias("all"), F.max(size).alias("longest"), F.max_by("query_num", size).alias("which")).first()
+    if (told["longest"] or 0) > LIMIT:
+        raise ValueError(f"query {told['which']} is too long")
+    if (told["all"] or 0) <= QUERY_BYTES:
+        few = sorted((r["query_num"], r["sequence"].encode()) for r in asked.collect())
+        return Result(queries, db, config, scored(spread(db), few, config))
+    n = db.agg(F.sum("length")).first()[0] or 0
+    blocks, slices = -(-told["all"] // QUERY_BLOCK), -(-n // SLICE) or 1
+    candidates = scored_in_cells(db, asked, blocks, slices, config)
+    # A query without any subject in sight still has a row of its own.
+    candidates = candidates.unionByName(asked.select("query_num", *[F.lit(v).cast(t).alias(c) for c, t, v in (("ref_id", "int", None), ("score", "int", None), ("cells", "long", 0), ("overflows", "long", 0))]))
     return Result(queries, db, config, candidates)
 
 

@@ -87,8 +87,11 @@ def test_dense_numbers_over_blocks(spark, monkeypatch):
     assert [r.ref_id for r in sorted(got, key=lambda r: (r.length, r.ordinal))] == list(range(300))
 
 
-def test_search_equals_plain_program(spark, monkeypatch):
+@pytest.mark.parametrize("told", [1 << 20, 0])
+def test_search_equals_plain_program(spark, monkeypatch, told):
+    monkeypatch.setattr(search, "QUERY_BYTES", told)
     monkeypatch.setattr(search, "QUERY_BLOCK", 300)
+    monkeypatch.setattr(search, "SLICE", 200)
     sequences = [*TWO, TWO[0][20:90], TWO[1][:50] + TWO[0][10:60], "", "W" * 30, TWO[0]]
     db = database.subjects(spark.createDataFrame([(i, f"h{i}", s) for i, s in enumerate(sequences)], "ordinal long, header string, sequence string")).repartition(3)
     queries = spark.createDataFrame([(i, f"q{i}", s) for i, s in enumerate([*sequences[:4], None])], "query_num long, header string, sequence string")
@@ -102,6 +105,8 @@ def test_search_equals_plain_program(spark, monkeypatch):
             want += [(q, n, -s, r) for n, (s, r) in enumerate(all_of[: config.top])]
         result = search.search(queries, db, config)
         assert sorted(map(tuple, result.top_scores().collect())) == want
+        residues_of = sum(len(x) for x in sequences)
+        assert {r.query_num: r.cells for r in result.stats().collect()} == {q: residues_of * len(sequences[q] if q < 4 else "") for q in range(5)}
     assert search.search(queries, db, SearchConfig(top=0)).hits().collect() == []
     checked = search.all_pairs(queries.na.fill(""), db).where("query_num = 0 AND ref_id = 0").first()
     assert checked.score == 0
@@ -215,3 +220,20 @@ def test_all_pairs_is_for_small_inputs(spark):
     queries = spark.range(20).selectExpr("id AS query_num", "'x' AS header", "'WW' AS sequence")
     with pytest.raises(ValueError, match="pairs"):
         searching.all_pairs(queries, database.pseudo_db(spark, 10, 5), most=100)
+
+
+def test_search_without_rows(spark, monkeypatch):
+    queries = spark.createDataFrame([(7, "q", "WW")], "query_num long, header string, sequence string")
+    db = database.pseudo_db(spark, 3, 5)
+    for told in (1 << 20, 0):
+        monkeypatch.setattr(search, "QUERY_BYTES", told)
+        nothing = search.search(queries, db.where("ref_id < 0"))
+        assert nothing.hits().collect() == [] and [tuple(r) for r in nothing.stats().collect()] == [(7, 0, 0)]
+        assert search.search(queries.where("query_num < 0"), db).hits().collect() == []
+
+
+def test_too_long_a_query_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(search, "LIMIT", 3)
+    queries = spark.createDataFrame([(7, "q", "WW"), (8, "r", "WWWW")], "query_num long, header string, sequence string")
+    with pytest.raises(ValueError, match="8"):
+        search.search(queries, database.pseudo_db(spark, 3, 5))
