@@ -2,9 +2,10 @@
 
 A fingerprint pair that differs in at most three bits agrees in one of four 16-bit blocks, and the remaining 48 bits
 agree in one of four 12-bit blocks; so each distinct fingerprint goes to the 16 shards named by such a pair of blocks.
-Every shard is a BK-tree. Shards of more than SHARD fingerprints are cut into slices; each slice's tree is sent to the
-shard's other slices by shuffling, so that no task holds an unbounded shard. What leaves a shard are links to
-the local component's first fingerprint, as many as it has fingerprints, never all pairs.
+Every shard is a BK-tree. A shard of more than SHARD fingerprints is divided by the 36 bits that it leaves open: of a
+pair's, one of four 9-bit blocks agrees, so each fingerprint goes to four parts. Parts that are too large still are cut
+into slices; each slice's tree is sent to the part's other slices by shuffling, so that no task holds an unbounded one.
+What leaves a shard are links to the local component's first fingerprint, as many as it has fingerprints, never all pairs.
 """
 
 from __future__ import annotations
@@ -59,17 +60,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def shard_keys(fp: Column) -> Column:
-    """The 16 shards of a fingerprint, each a number of 32 bits: which blocks, and what they hold."""
+    """The 16 shards of a fingerprint: key, a number of 32 bits (which blocks, and what they hold), and rest, the other 36 bits."""
     bits = lambda c, low, n: F.shiftrightunsigned(c, low).bitwiseAND((1 << n) - 1)
     keys = []
     for i in range(4):
         rest = [(j, bits(fp, 16 * j, 16)) for j in range(4) if j != i]
         wide = sum((F.shiftleft(b, 16 * k) for k, (_, b) in enumerate(rest)), F.lit(0).cast("long"))
         for j in range(4):
-            keys.append(F.lit((4 * i + j) << 28).cast("long") + F.shiftleft(bits(fp, 16 * i, 16), 12) + bits(wide, 12 * j, 12))
+            key = F.lit((4 * i + j) << 28).cast("long") + F.shiftleft(bits(fp, 16 * i, 16), 12) + bits(wide, 12 * j, 12)
+            rest = F.shiftleft(F.shiftrightunsigned(wide, 12 * (j + 1)), 12 * j) + bits(wide, 0, 12 * j)
+            keys.append(F.struct(key.alias("key"), rest.alias("rest")))
     return F.array(*keys)
 
 
+def part_keys(key: Column, rest: Column) -> Column:
+    """The four parts of a hot shard for a fingerprint whose other bits are `rest`; no part has a whole shard's number."""
+    return F.array(*[F.shiftleft(key, 12) + (1 << 11) + (m << 9) + F.shiftrightunsigned(rest, 9 * m).bitwiseAND(511) for m in range(4)])
+
+
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component labels (each the least member) after a[i] and b[i] are joined."""
     while len(a):
@@ -170,12 +178,21 @@ def shard_links(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def hot_keys(keyed: DataFrame, shard: int) -> tuple[DataFrame, int]:
+    """The keys of more than `shard` fingerprints, into how many slices each would be cut, and the number of these keys."""
+    hot = cut(keyed.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("cuts")))
+    n_hot = hot.count()
+    return (F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot), n_hot
+
+
 def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """`docs` (doc_id, text, ...) -> one row per row: doc_id, fp, component_id.
 
     component_id is the smallest doc_id reachable over fingerprints that differ in three bits or fewer, itself included.
     Rows without doc_id get their component's smallest doc_id, null if nobody there has one. Equal fingerprints are one
     node, so a group of copies costs one row however large it is; repeated rows come back as often as they went in.
+    Whole texts are read, very long ones in pieces of 65,536 hashes; null and wordless ones have fingerprint 0 and link
+    like any other. An empty table gives an empty result; other columns are not looked at, whatever their names.
     """
     return grouped(docs, shard).select("doc_id", "fp", "component_id")
 
@@ -184,11 +201,13 @@ def grouped(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """`near_duplicates` with the fingerprint that names the component, as two components may have one smallest doc_id."""
     rows = cut(fingerprints(docs))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key"))
-    hot = cut(keyed.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("cuts")))
-    n_hot = hot.count()
+    keyed = nodes.select("fp", F.inline(shard_keys(F.col("fp"))))
+    hot, n_hot = hot_keys(keyed, shard)
+    if n_hot:
+        divided = keyed.join(hot, "key", "left")
+        keyed = divided.select("fp", F.explode(F.when(F.col("cuts").isNull(), F.array(F.shiftleft("key", 12))).otherwise(part_keys(F.col("key"), F.col("rest")))).alias("key"))
+        hot, n_hot = hot_keys(keyed, shard)
     if n_hot:
-        hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
         cuts = keyed.join(hot, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
         mine = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
         met = cuts.select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from seqscan.llm import simhash, substring
 
@@ -79,6 +80,28 @@ def test_shards_link_within_radius_only():
     assert (label == near.argmax(axis=1)).all()
 
 
+@pytest.mark.parametrize("shard", [simhash.SHARD, 16])
+def test_parts_of_hot_shards_lose_no_link(spark, shard):
+    """Fingerprints that all agree in a 28-bit shard: its parts hold few each, and every near pair meets in one."""
+    r = np.random.default_rng(8)
+    common, rest = 0x5A5A << 48 | 0xABC << 36, (1 << 36) - 1
+    base = [int(x) & rest for x in r.integers(0, 1 << 62, 300)]
+    near = [x ^ sum(1 << int(b) for b in r.choice(36, n, replace=False)) for n in (1, 2, 3, 4) for x in base[:60]]
+    fps = sorted({common | x for x in base + near})
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    keyed = spark.createDataFrame(signed, "fp long").select("fp", F.inline(simhash.shard_keys(F.col("fp"))))
+    hot, n_hot = simhash.hot_keys(keyed, shard)
+    assert n_hot == (0 if shard == simhash.SHARD else n_hot) and (shard == simhash.SHARD or n_hot > 0)
+    parts = keyed.join(hot, "key").select("fp", F.explode(simhash.part_keys(F.col("key"), F.col("rest"))).alias("key"))
+    held = {}
+    for x in (parts if n_hot else keyed).collect():
+        held.setdefault(x.key, set()).add(x.fp & (1 << 64) - 1)
+    met = {(a, b) for group in held.values() for a in group for b in group if a < b and (a ^ b).bit_count() <= 3}
+    assert met == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3} and len(met) > 150
+    if n_hot:
+        assert max(map(len, held.values())) < len(fps) / 4
+
+
 def test_keep_first_keeps_one_of_each_group(spark):
     rows = fixture_rows()
     docs = spark.createDataFrame(rows, SCHEMA)
