@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import PandasUDFType
@@ -26,9 +28,36 @@ def aa_decode(codes: pd.Series) -> pd.Series:
     return codes.map(lambda c: None if c is None else residues.decode(c))
 
 
-def letters_of(sequence: Column) -> Column:
-    """What decoding an encoded ASCII sequence gives, without Python: other characters become `-`."""
-    return F.regexp_replace(sequence, f"[^{residues.ALPHABET}]", "-")
+def code_counts(df: DataFrame, column: str) -> DataFrame:
+    """How often each residue code stands in a column of sequences: a row n0 ... n20 for each batch, to be summed.
+
+    A null sequence counts as an empty one; an empty table gives no rows.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequences = batch.column(0).cast(pa.large_binary())
+            if not len(sequences):
+                continue
+            bounds = np.frombuffer(sequences.buffers()[1], np.int64)[sequences.offset : sequences.offset + len(sequences) + 1]
+            held = sequences.buffers()[2]
+            letters = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held is not None else np.empty(0, np.uint8)
+            n = np.bincount(np.frombuffer(residues.CODES, np.uint8), np.bincount(letters, minlength=256), 21).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in n], [f"n{i}" for i in range(21)])
+
+    return df.select(F.col(column).cast("binary")).mapInArrow(count, ", ".join(f"n{i} long" for i in range(21)))
+
+
+def self_score(sequence: Column | str, matrix: str = "blosum62") -> Column:
+    """Score of a sequence aligned with itself without gaps: the diagonal summed over its residues; null if it is null."""
+    diagonal = residues.matrix(matrix).diagonal().astype(np.int64)
+
+    @F.pandas_udf(T.LongType())
+    def score(sequences: pd.Series) -> pd.Series:
+        one = lambda s: None if s is None else int(np.bincount(np.frombuffer(residues.encode(s), np.uint8), minlength=21) @ diagonal)
+        return pd.Series([one(s) for s in sequences], dtype="Int64")
+
+    return score(sequence)
 
 
 def sw_score(query: Column, subject: Column, matrix: str = "blosum62", gop: int | None = None, gex: int | None = None) -> Column:

@@ -101,13 +101,14 @@ LOWER_TRIANGLES = {
 LOW = {"blosum45": -5, "blosum50": -5, "blosum62": -4, "blosum80": -6}
 GAPS = {"blosum45": (-13, -2), "blosum50": (-13, -2), "blosum62": (-11, -1), "blosum80": (-10, -1)}
 
-_CODES = bytes(ALPHABET.index(chr(b)) if chr(b) in ALPHABET else OTHER for b in range(256))
+#: The code of each byte.
+CODES = bytes(ALPHABET.index(chr(b)) if chr(b) in ALPHABET else OTHER for b in range(256))
 _LETTERS = bytes(ord(ALPHABET[b]) if b < OTHER else ord("-") for b in range(256))
 
 
 def encode(residues: str | bytes) -> bytes:
     """Residue codes, one for each byte; case counts, so lower-case letters are `other`."""
-    return (residues.encode() if isinstance(residues, str) else residues).translate(_CODES)
+    return (residues.encode() if isinstance(residues, str) else residues).translate(CODES)
 
 
 def decode(codes: bytes) -> str:

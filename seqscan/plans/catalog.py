@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqscan.functions import residues
-from seqscan.functions.registry import aa_decode, aa_encode, letters_of, sw_score
+from seqscan.functions.registry import aa_decode, aa_encode, code_counts, self_score, sw_score
 from seqscan.operators import database
 from seqscan.operators.search import search
 from seqscan.plans import oracle
@@ -75,9 +75,7 @@ def decoded(spark, sf_dir):
 
 def composition(spark, sf_dir):
     """Counts of the 21 codes over all documents."""
-    known = documents(spark, sf_dir).select(letters_of(F.col("sequence")).alias("s"))
-    count = lambda c: F.sum(F.length("s") - F.length(F.replace("s", F.lit(c), F.lit("")))).cast("long")
-    counted = known.agg(*[count(c).alias(f"n{i}") for i, c in enumerate(residues.ALPHABET + "-")])
+    counted = code_counts(documents(spark, sf_dir), "sequence").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(21)])
     pairs_of = F.array(*[F.struct(F.lit(i).alias("code"), F.lit(c).alias("residue"), F.col(f"n{i}").alias("n")) for i, c in enumerate(residues.ALPHABET + "-")])
     return counted.select(F.inline(pairs_of))
 
@@ -94,10 +92,7 @@ def matrices(spark, sf_dir):
 
 def self_scores(spark, sf_dir):
     """Sum of the diagonal over a document's residues."""
-    diagonal = residues.matrix("blosum62").diagonal()
-    s = letters_of(F.col("sequence"))
-    total = sum((int(diagonal[i]) * (F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))) for i, c in enumerate(residues.ALPHABET + "-")), F.lit(0))
-    return documents(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), total.cast("long").alias("self_score"))
+    return documents(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), self_score("sequence").alias("self_score"))
 
 
 def part_pairs(spark, sf_dir, config: SearchConfig, left: str = "p_name", right: str = "p_type") -> DataFrame:

@@ -237,3 +237,15 @@ def test_too_long_a_query_is_refused(spark, monkeypatch):
     queries = spark.createDataFrame([(7, "q", "WW"), (8, "r", "WWWW")], "query_num long, header string, sequence string")
     with pytest.raises(ValueError, match="8"):
         search.search(queries, database.pseudo_db(spark, 3, 5))
+
+
+def test_counts_and_self_scores(spark):
+    rows = [("",), (None,), ("ARN",), ("arW*é",), ("V" * 300_000,)]
+    df = spark.createDataFrame(rows, "sequence string").repartition(2)
+    counted = registry.code_counts(df, "sequence").agg(*[F.sum(f"n{i}") for i in range(21)]).first()
+    codes = [c for (s,) in rows for c in residues.encode(s or "")]
+    assert list(counted) == [codes.count(i) for i in range(21)]
+    assert registry.code_counts(df.where("sequence = 'none'"), "sequence").collect() == []
+    table = residues.matrix("blosum80")
+    got = {r.sequence: r.score for r in df.select("sequence", registry.self_score("sequence", "blosum80").alias("score")).collect()}
+    assert got == {s: None if s is None else sum(int(table[c, c]) for c in residues.encode(s)) for (s,) in rows}
