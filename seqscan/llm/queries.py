@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, disclosure, html, licenses, media, mixing, quality, repair, secrets, simhash, substring
+from . import bpe, chat, collocations, disclosure, html, licenses, media, mixing, quality, repair, secrets, simhash, substring
 from .common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": on("documents", substring.op8),
         "op9_byte_level_bpe": on("documents", bpe.op9),
         "op10_license_scans": on("documents", licenses.op10),
+        "op11_phrase_collocations": on("documents", collocations.op11),
         "op12_pii_sanitisation": on("documents", disclosure.op12),
         "op13_conversation_repair": on("conversations", repair.op13),
     }
@@ -39,5 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality.ORACLE,
         "op8_substring_dedup": substring.ORACLE,
         "op10_license_scans": licenses.oracle(),
+        "op11_phrase_collocations": collocations.ORACLE,
         "op13_conversation_repair": repair.ORACLE,
     }
