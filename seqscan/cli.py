@@ -13,7 +13,7 @@ from seqscan.operators.search import search
 from seqscan.plans.config import KERNELS, SearchConfig, parse_size
 from seqscan.sources import sinks
 from seqscan.sources.fasta import read_sequences
-from seqscan.streaming.live import Session, numbered
+from seqscan.streaming.live import Answer, Dialogue, Session, numbered
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,6 +55,25 @@ def config_of(args: argparse.Namespace) -> SearchConfig:
     return SearchConfig.dpx(**rest) if args.dpx else SearchConfig(**rest, **{k: v for k, v in kinds.items() if v})
 
 
+def converse(talk: Dialogue, path: str) -> None:
+    """Answers the lines of standard input: what is said goes to standard output, results to one file."""
+    written = False
+
+    def give(answer: Answer | None) -> None:
+        nonlocal written
+        if answer:
+            print("\n".join(answer.said), flush=True)
+            if answer.lines is not None:
+                sinks.write_file(answer.lines, path, titles=talk.tsv and not written, append=written)
+                written = True
+
+    for line in sys.stdin:
+        give(talk.take(line))
+        if talk.over:
+            return
+    give(talk.end())
+
+
 def run_search(spark: SparkSession, args: argparse.Namespace) -> int:
     config = config_of(args)
     if not (args.db or args.pseudodb) or not (args.query or args.interactive):
@@ -71,17 +90,7 @@ def run_search(spark: SparkSession, args: argparse.Namespace) -> int:
             for r in database.length_histogram(db).orderBy("length_partition").toLocalIterator():
                 print(f"<= {r.upper_bound}: {r.num_sequences}", file=sys.stderr)
     if args.interactive:
-        session = Session(db, config)
-        answered = False
-        for line in sys.stdin:
-            answer = session.command(line)
-            if answer is None:
-                break
-            if isinstance(answer, str):
-                print(answer)
-            else:
-                sinks.write_file(sinks.tsv_lines(answer), args.of, titles=not answered, append=answered)
-                answered = True
+        converse(Dialogue(Session(db, config), args.tsv), args.of)
         return 0
     lines, kept = None, []
     for k, path in enumerate(args.query):
@@ -92,7 +101,7 @@ def run_search(spark: SparkSession, args: argparse.Namespace) -> int:
             print(result.metrics().first(), file=sys.stderr)
         if config.top:
             found = sinks.tsv_lines(result.hits()) if args.tsv else sinks.plain_lines(result.hits(), queries, result.stats())
-            found = found.withColumn("query_num", F.col("query_num") + F.lit(k << 40))
+            found = found.withColumn("place", F.lit(k))
             lines = found if lines is None else lines.unionByName(found)
     if lines is not None:
         sinks.write_file(lines, args.of, titles=args.tsv)

@@ -119,7 +119,7 @@ class AlignTopK:
 def register(spark: SparkSession) -> None:
     """For SQL: aa_encode, aa_decode, length_partition, sw_score(query, subject[, matrix, gop, gex]) and align_topk.
 
-    A null sequence counts as an empty one in SQL's sw_score, which gives 0; the column function of that name gives null.
+    sw_score of a null sequence is null, as the column function has it.
     """
     spark.udtf.register("align_topk", AlignTopK)
     spark.udf.register("aa_encode", aa_encode)
@@ -134,10 +134,12 @@ def register(spark: SparkSession) -> None:
 
     def score(*given: pd.Series) -> pd.Series:
         rules = list(zip(*given[2:], strict=True)) or [()] * len(given[0])
-        texts = [(q or "", s or "") for q, s in zip(given[0], given[1], strict=True)]
-        out = pd.Series([0] * len(texts), dtype="Int32")
+        texts = list(zip(given[0], given[1], strict=True))
+        out = pd.Series([None] * len(texts), dtype="Int32")
         asked: dict[tuple, list[int]] = {}
         for i, rule in enumerate(rules):
+            if texts[i][0] is None or texts[i][1] is None:
+                continue
             asked.setdefault(tuple(None if pd.isna(x) else x for x in (*rule, None, None, None)[:3]), []).append(i)
         for rule, places in asked.items():
             out.iloc[places] = pair_scores([(residues.encode(texts[i][0]), residues.encode(texts[i][1])) for i in places], *scoring_of(*rule))

@@ -4,6 +4,9 @@ With H the best score of an alignment ending at a pair of positions, a gap of le
 one query residue at a time, all subjects' rows are made: gaps in the subject (F) from the row before, then gaps in the
 query (E) as a running maximum along the subjects. Values are kept less gex times their position, so that extending a
 gap along a subject changes nothing and needs no step of its own.
+
+A long subject is worked off in tiles of positions; what a tile leaves at its right edge, a value of H and of E for each
+query residue, is where the next one begins. So the arrays are those of a tile, however long the subject is.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import numpy as np
 
 #: Elements of one working array: small enough for a core's cache.
 BLOCK_CELLS = 1 << 16
+#: Positions of a subject that are worked off at once.
+TILE = 1 << 18
 
 
 def number_type(table: np.ndarray, gop: int, gex: int, m: int, n: int) -> type:
@@ -38,12 +43,22 @@ class Block:
         return self.layers[key]
 
 
-def block_scores(query: np.ndarray, block: Block, gop: int, gex: int) -> np.ndarray:
-    """Scores of one query (codes) against the subjects of a block, padded with `other`."""
+class Edge:
+    """The right edge of a tile: H before the first and after each query residue, E after each, for all subjects."""
+
+    def __init__(self, m: int, count: int):
+        self.h, self.e = np.zeros((m + 1, count), np.int32), np.full((m, count), -1_000_000_000, np.int32)
+
+
+def block_scores(query: np.ndarray, block: Block, gop: int, gex: int, edge: Edge | None = None) -> np.ndarray:
+    """Scores of one query (codes) against the subjects of a block, padded with `other`.
+
+    With `edge` the block is a tile: it begins at that edge and leaves its own one there.
+    """
     n, count = block.subjects.shape
     if not len(query) or not n or not count:
         return np.zeros(count, np.int32)
-    kind = number_type(block.table, gop, gex, len(query), n)
+    kind = number_type(block.table, gop, gex, len(query), n) if edge is None else np.int32
     floor = kind(-10_000 if kind is np.int16 else -1_000_000_000)
     gop, gex = kind(gop), kind(gex)
     f = np.full((n, count), floor)
@@ -53,7 +68,10 @@ def block_scores(query: np.ndarray, block: Block, gop: int, gex: int) -> np.ndar
         h = np.zeros((n + 1, count), kind) - ramp  # row 0 is the border before the first position
         none, step = -ramp[1:], kind(gop - gex)
         best += none
-        for code in query.tolist():
+        left = edge.h.copy() if edge else None
+        for i, code in enumerate(query.tolist()):
+            if edge:
+                h[0] = left[i] - ramp[0]
             np.add(f, gex, out=f)
             np.add(h[1:], gop, out=x)
             np.maximum(f, x, out=f)
@@ -64,19 +82,29 @@ def block_scores(query: np.ndarray, block: Block, gop: int, gex: int) -> np.ndar
             np.add(x[:-1], step, out=x[:-1])
             h[1] = t[0]
             np.maximum(t[1:], x[:-1], out=h[2:])
+            if edge:
+                entering = np.maximum(edge.e[i] + gex, left[i + 1] + gop)
+                np.maximum(h[1:], entering, out=h[1:])
+                edge.e[i] = np.maximum(entering, x[n - 2] if n > 1 else floor) + ramp[n]
+                edge.h[i + 1] = h[n] + ramp[n]
             np.maximum(best, h[1:], out=best)
         return (best + ramp[1:]).max(axis=0).astype(np.int32)
     # Opening costs less than extending: gaps of both kinds may follow each other, so positions go one by one.
     h = np.zeros((n + 1, count), kind)
-    for code in query.tolist():
+    left = edge.h.copy() if edge else None
+    for i, code in enumerate(query.tolist()):
+        if edge:
+            h[0] = left[i]
         np.maximum(f + gex, h[1:] + gop, out=f)
         np.add(h[:-1], block.layer(kind, code), out=t)
         np.maximum(t, f, out=t)
         np.maximum(t, 0, out=t)
-        gap = np.full(count, floor)
+        gap = edge.e[i] if edge else np.full(count, floor)
         for j in range(n):
-            gap = np.maximum(np.maximum(gap + gex, h[j] + gop if j else gop), floor)
+            gap = np.maximum(np.maximum(gap + gex, h[j] + gop if j else left[i + 1] + gop if edge else gop), floor)
             h[j + 1] = np.maximum(t[j], gap)
+        if edge:
+            edge.e[i], edge.h[i + 1] = gap, h[n]
         np.maximum(best, h[1:], out=best)
     return best.max(axis=0).astype(np.int32)
 
@@ -110,8 +138,17 @@ def all_scores(queries: Sequence[bytes], subjects: Sequence[bytes], table: np.nd
     out = np.zeros((len(queries), len(subjects)), np.int32)
     if subjects:
         for rows in grouped(np.array([len(s) for s in subjects])):
-            block = Block(stacked(subjects, rows), table)
-            found = {q: block_scores(codes, block, gop, gex) for q, codes in distinct.items()}
+            whole = stacked(subjects, rows)
+            if len(whole) <= TILE:
+                block = Block(whole, table)
+                found = {q: block_scores(codes, block, gop, gex) for q, codes in distinct.items()}
+            else:
+                found = {q: np.zeros(len(rows), np.int32) for q in distinct}
+                edges = {q: Edge(len(q), len(rows)) for q in distinct}
+                for at in range(0, len(whole), TILE):
+                    block = Block(whole[at : at + TILE], table)
+                    for q, codes in distinct.items():
+                        np.maximum(found[q], block_scores(codes, block, gop, gex, edges[q]), out=found[q])
             for k, q in enumerate(queries):
                 out[k, rows] = found[q]
     return out

@@ -18,37 +18,40 @@ LIMIT = 2**31 - 1 - 128 - 4
 
 
 def with_ref_ids(records: DataFrame, length: str = "length", ordinal: str = "ordinal") -> DataFrame:
-    """Dense numbers from 0 in order of (length, ordinal), as `ref_id`.
+    """Dense numbers from 0 in order of (length, file, ordinal), as `ref_id`; of (length, ordinal) for records without `file`.
 
-    Numbers within a block of input positions of one length are added to the count of what comes before the block; so
-    neither the table nor the records of one length meet in a task.
+    Numbers within a block of input positions of one length and file are added to the count of what comes before the block;
+    so neither the table nor the records of one length meet in a task. More than 2^31 records are refused.
     """
-    blocked = records.withColumn("__block", F.expr(f"{ordinal} div {ORDINALS}"))
-    counts = blocked.groupBy(F.col(length).alias("__l"), F.col("__block").alias("__b")).agg(F.count("*").alias("__n"))
+    file = F.coalesce("file", F.lit("")) if "file" in records.columns else F.lit("")
+    blocked = records.withColumn("__file", file).withColumn("__block", F.expr(f"{ordinal} div {ORDINALS}"))
+    counts = blocked.groupBy(F.col(length).alias("__l"), F.col("__file").alias("__f"), F.col("__block").alias("__b")).agg(F.count("*").alias("__n"))
     lengths = counts.groupBy("__l").agg(F.sum("__n").alias("__n"))
     before_length = lengths.select(F.col("__l").alias("__k"), (F.sum("__n").over(Window.orderBy("__l")) - F.col("__n")).alias("__shorter"))
-    before_block = counts.select("__l", "__b", (F.sum("__n").over(Window.partitionBy("__l").orderBy("__b")) - F.col("__n")).alias("__earlier"))
-    offsets = before_block.join(before_length, F.col("__l") == F.col("__k")).select("__l", "__b", (F.col("__shorter") + F.col("__earlier")).alias("__offset"))
-    numbered = blocked.withColumn("__at", F.row_number().over(Window.partitionBy(length, "__block").orderBy(ordinal)))
-    joined = numbered.join(offsets, (F.col(length) == F.col("__l")) & (F.col("__block") == F.col("__b")))
-    return joined.select(*records.columns, (F.col("__offset") + F.col("__at") - 1).cast("int").alias("ref_id"))
+    before_block = counts.select("__l", "__f", "__b", (F.sum("__n").over(Window.partitionBy("__l").orderBy("__f", "__b")) - F.col("__n")).alias("__earlier"))
+    offsets = before_block.join(before_length, F.col("__l") == F.col("__k")).select("__l", "__f", "__b", (F.col("__shorter") + F.col("__earlier")).alias("__offset"))
+    numbered = blocked.withColumn("__at", F.row_number().over(Window.partitionBy(length, "__file", "__block").orderBy(ordinal)))
+    joined = numbered.join(offsets, (F.col(length) == F.col("__l")) & (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    place = F.col("__offset") + F.col("__at") - 1
+    few = F.when(place < 2**31, place).otherwise(F.raise_error(F.lit("more than 2^31 sequences")).cast("long"))
+    return joined.select(*records.columns, few.cast("int").alias("ref_id"))
 
 
 def sized(records: DataFrame) -> DataFrame:
-    """(ordinal, header, sequence) with length and length_partition, enough for statistics. Null sequences are empty."""
-    whole = records.select("ordinal", "header", F.coalesce("sequence", F.lit("")).alias("sequence"))
+    """([file,] ordinal, header, sequence) with length and length_partition, enough for statistics. Null sequences are empty."""
+    whole = records.select(*[c for c in ("file",) if c in records.columns], "ordinal", "header", F.coalesce("sequence", F.lit("")).alias("sequence"))
     whole = whole.withColumn("length", F.octet_length("sequence").cast("int"))
     return whole.withColumn("length_partition", length_partition(F.col("length")))
 
 
 def subjects(records: DataFrame) -> DataFrame:
-    """(ordinal, header, sequence) -> (ref_id, length, length_partition, header, residues)."""
+    """([file,] ordinal, header, sequence) -> (ref_id, length, length_partition, header, residues)."""
     numbered = with_ref_ids(sized(records))
     return numbered.select("ref_id", "length", "length_partition", "header", aa_encode("sequence").alias("residues"))
 
 
 def build_db(records: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write the database of `records` (ordinal, header, sequence) to a new folder, with a manifest beside the table."""
+    """Write the database of `records` ([file,] ordinal, header, sequence) to a new folder, with a manifest beside the table."""
     table = subjects(records)
     dealt = table.repartitionByRange(*([partitions] if partitions else []), "length", "ref_id").sortWithinPartitions("length", "ref_id")
     dealt.write.partitionBy("length_partition").parquet(f"{path}/subjects")

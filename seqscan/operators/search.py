@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from seqscan.functions import residues
 from seqscan.functions.scoring import all_scores
 from seqscan.plans.config import SearchConfig
+from seqscan.sources.folders import shared_folder
 
 #: Bytes of queries that are told to all tasks at most; more are dealt with the database in cells.
 QUERY_BYTES = 1 << 20
@@ -25,7 +28,7 @@ LIMIT = 2**31 - 1 - 128 - 4
 SUBJECT_BLOCK = 2 << 20
 #: Residues for a task under which a database is dealt anew.
 SMALL_TASK = 8 << 20
-CANDIDATES = "query_num long, ref_id int, score int, cells long, overflows long"
+CANDIDATES = "file string, query_num long, ref_id int, score int, cells long, overflows long"
 HITS = ["query_num", "query_length", "query_header", "result_num", "score", "reference_length", "reference_header", "ref_id"]
 
 
@@ -42,8 +45,8 @@ def best(refs: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
 class Tally:
     """The best subjects of some queries among those seen so far, and the queries' cells and overflows."""
 
-    def __init__(self, queries: list[tuple[int, bytes]], config: SearchConfig):
-        self.numbers, self.codes = [q for q, _ in queries], [residues.encode(s) for _, s in queries]
+    def __init__(self, queries: list[tuple[str | None, int, bytes]], config: SearchConfig):
+        self.files, self.numbers, self.codes = [f for f, _, _ in queries], [n for _, n, _ in queries], [residues.encode(s) for _, _, s in queries]
         self.table, self.gaps, self.rules, self.top = residues.matrix(config.matrix), config.gaps, config.overflow_rules, config.top
         self.kept = [(np.empty(0, np.int64), np.empty(0, np.int32)) for _ in queries]
         self.residues, self.overflows = 0, np.zeros(len(queries), np.int64)
@@ -80,15 +83,17 @@ class Tally:
         if self.refs:
             self.score()
         n = [len(r) for r, _ in self.kept]
-        hits = [np.repeat(self.numbers, n), np.concatenate([r for r, _ in self.kept] or [[]]), np.concatenate([s for _, s in self.kept] or [[]])]
+        which = pa.array(np.repeat(np.arange(len(n)), n))
+        hits = [np.concatenate([r for r, _ in self.kept] or [[]]), np.concatenate([s for _, s in self.kept] or [[]])]
         none = pa.nulls(len(self.numbers), pa.int32())
         names = [x.split()[0] for x in CANDIDATES.split(", ")]
         zero = pa.array(np.zeros(sum(n), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(hits[0], pa.int64()), pa.array(hits[1].astype(np.int32)), pa.array(hits[2].astype(np.int32)), zero, zero], names)
-        yield pa.RecordBatch.from_arrays([pa.array(self.numbers, pa.int64()), none, none, pa.array([self.residues * len(c) for c in self.codes], pa.int64()), pa.array(self.overflows)], names)
+        files, numbers = pa.array(self.files, pa.string()), pa.array(self.numbers, pa.int64())
+        yield pa.RecordBatch.from_arrays([files.take(which), numbers.take(which), pa.array(hits[0].astype(np.int32)), pa.array(hits[1].astype(np.int32)), zero, zero], names)
+        yield pa.RecordBatch.from_arrays([files, numbers, none, none, pa.array([self.residues * len(c) for c in self.codes], pa.int64()), pa.array(self.overflows)], names)
 
 
-def scored(db: DataFrame, queries: list[tuple[int, bytes]], config: SearchConfig) -> DataFrame:
+def scored(db: DataFrame, queries: list[tuple[str | None, int, bytes]], config: SearchConfig) -> DataFrame:
     """Candidates of few queries, told to all tasks; the database is read where it lies."""
     shared = db.sparkSession.sparkContext.broadcast(queries)
 
@@ -109,22 +114,22 @@ def scored_in_cells(db: DataFrame, queries: DataFrame, blocks: int, slices: int,
     What is shuffled, the database once a block and the queries once a slice, is little next to the scoring: a cell's
     cells of the recurrence are the product of what it reads.
     """
-    drawn = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    drawn = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(drawn("query_num", blocks).alias("block"), every(slices).alias("slice"), F.lit(0).alias("part"), "query_num", F.encode("sequence", "utf-8").alias("data"))
-    read = db.select(every(blocks).alias("block"), drawn("ref_id", slices).alias("slice"), F.lit(1).alias("part"), F.col("ref_id").cast("long").alias("query_num"), F.col("residues").alias("data"))
+    asked = queries.select(drawn(blocks, "file", "query_num").alias("block"), every(slices).alias("slice"), F.lit(0).alias("part"), "file", "query_num", F.encode("sequence", "utf-8").alias("data"))
+    read = db.select(every(blocks).alias("block"), drawn(slices, "ref_id").alias("slice"), F.lit(1).alias("part"), F.lit(None).cast("string").alias("file"), F.col("ref_id").cast("long").alias("query_num"), F.col("residues").alias("data"))
     dealt = asked.unionByName(read).repartition(min(blocks * slices, MOST_TASKS), "block", "slice").sortWithinPartitions("block", "slice", "part")
 
     def run(batches: Iterator) -> Iterator:
         cell, asked, tally = None, [], None
         for batch in batches:
-            for block, slice_, part, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, slice_, part, file, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, slice_) != cell:
                     if tally:
                         yield from tally.rows()
                     cell, asked, tally = (block, slice_), [], None
                 if part == 0:
-                    asked.append((number, data))
+                    asked.append((file, number, data))
                 elif asked:
                     tally = tally or Tally(asked, config)
                     tally.add(number, data)
@@ -141,9 +146,32 @@ def spread(db: DataFrame) -> DataFrame:
     return db.select("ref_id", "residues").repartition(max(1, min(tasks, r["rows"]))) if (r["n"] or 0) < tasks * SMALL_TASK else db
 
 
+#: Steps that a database which is read as it lies does not have.
+MADE = re.compile(r"^\W*(Join|Window|Aggregate|Repartition|RebalancePartitions|MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython|Sort|Generate|FlatMapGroups|Expand|Distinct)", re.M)
+
+
+def kept(db: DataFrame) -> DataFrame:
+    """A database that is worked out (numbered, encoded, joined) is written once, as a search reads it several times; one
+    that is a table, or persisted, is taken as it lies."""
+    level = db.storageLevel
+    if level.useMemory or level.useDisk or not MADE.search(db._jdf.queryExecution().optimizedPlan().toString()):
+        return db
+    path = f"{shared_folder(db.sparkSession)}/{uuid.uuid4()}"
+    db.write.parquet(path)
+    return db.sparkSession.read.schema(db.schema).parquet(path)
+
+
+def identity(queries: DataFrame) -> list[str]:
+    """The columns that tell queries apart: their number, and their file if they have one."""
+    return ["file", "query_num"] if "file" in queries.columns else ["query_num"]
+
+
 @dataclass
 class Result:
-    """Hits and statistics of a search. Both come from `candidates`; persist that to use both."""
+    """Hits and statistics of a search. Both come from `candidates`; persist that to use both.
+
+    Where queries have a `file`, so have hits and statistics, and numbers may be the same in several files.
+    """
 
     queries: DataFrame
     db: DataFrame
@@ -152,20 +180,22 @@ class Result:
     seconds: float | None = None
 
     def top_scores(self) -> DataFrame:
-        """(query_num, result_num, score, ref_id)."""
-        order = Window.partitionBy("query_num").orderBy(F.desc("score"), "ref_id")
+        """([file,] query_num, result_num, score, ref_id)."""
+        own = identity(self.queries)
+        order = Window.partitionBy(own).orderBy(F.desc("score"), "ref_id")
         ranked = self.candidates.where("ref_id is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.config.top)
-        return ranked.select("query_num", (F.col("n") - 1).cast("int").alias("result_num"), "score", "ref_id")
+        return ranked.select(*own, (F.col("n") - 1).cast("int").alias("result_num"), "score", "ref_id")
 
     def hits(self) -> DataFrame:
         """Hits with what the database and the queries tell; headers are looked up for hits only."""
         named = self.db.select("ref_id", F.col("length").alias("reference_length"), F.col("header").alias("reference_header"))
-        asked = self.queries.select("query_num", F.octet_length("sequence").cast("int").alias("query_length"), F.col("header").alias("query_header"))
-        return self.top_scores().join(named, "ref_id").join(asked, "query_num").select(HITS)
+        own = identity(self.queries)
+        asked = self.queries.select(*own, F.octet_length("sequence").cast("int").alias("query_length"), F.col("header").alias("query_header"))
+        return self.top_scores().join(named, "ref_id").join(asked, own).select(*own[:-1], *HITS)
 
     def stats(self) -> DataFrame:
-        """(query_num, num_overflows, cells) of each query."""
-        return self.candidates.where("ref_id is null").groupBy("query_num").agg(F.sum("overflows").cast("long").alias("num_overflows"), F.sum("cells").cast("long").alias("cells"))
+        """([file,] query_num, num_overflows, cells) of each query."""
+        return self.candidates.where("ref_id is null").groupBy(identity(self.queries)).agg(F.sum("overflows").cast("long").alias("num_overflows"), F.sum("cells").cast("long").alias("cells"))
 
     def metrics(self) -> DataFrame:
         """One row: cells, overflows, seconds and billions of cells a second of the whole run; `timed` measures it."""
@@ -181,24 +211,31 @@ class Result:
 
 
 def search(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfig()) -> Result:
-    """`queries` (query_num, header, sequence) against `db` (ref_id, length, header, residues).
+    """`queries` ([file,] query_num, header, sequence) against `db` (ref_id, length, header, residues).
 
-    Up to QUERY_BYTES of queries are told to all tasks, which read the database where it lies; more are dealt with it in
+    Queries are told apart by their number, or by file and number where they have a `file`; others of the same are refused.
+    A database that is not at rest is written once (`kept`). Up to QUERY_BYTES of queries are told to all tasks, which read the database where it lies; more are dealt with it in
     cells (`scored_in_cells`). Only best candidates leave a task. Null sequences are empty and score 0.
     """
-    asked = queries.select("query_num", F.coalesce("sequence", F.lit("")).alias("sequence"))
+    if "file" in queries.columns:
+        queries = queries.withColumn("file", F.coalesce("file", F.lit("")))
+    file = F.col("file") if "file" in queries.columns else F.lit(None).cast("string").alias("file")
+    asked = queries.select(file, "query_num", F.coalesce("sequence", F.lit("")).alias("sequence"))
     size = F.octet_length("sequence")
+    if twice := asked.groupBy("file", "query_num").count().where("count > 1").first():
+        raise ValueError(f"several queries are number {twice['query_num']}" + (f" of {twice['file']}" if twice["file"] else "; queries of several files need a column `file`"))
+    db = kept(db)
     told = asked.agg(F.sum(size + 64).alias("all"), F.max(size).alias("longest"), F.max_by("query_num", size).alias("which")).first()
     if (told["longest"] or 0) > LIMIT:
         raise ValueError(f"query {told['which']} is too long")
     if (told["all"] or 0) <= QUERY_BYTES:
-        few = sorted((r["query_num"], r["sequence"].encode()) for r in asked.collect())
+        few = sorted(((r["file"], r["query_num"], r["sequence"].encode()) for r in asked.collect()), key=lambda q: (q[0] or "", q[1]))
         return Result(queries, db, config, scored(spread(db), few, config))
     n = db.agg(F.sum("length")).first()[0] or 0
     blocks, slices = -(-told["all"] // QUERY_BLOCK), -(-n // SLICE) or 1
     candidates = scored_in_cells(db, asked, blocks, slices, config)
     # A query without any subject in sight still has a row of its own.
-    candidates = candidates.unionByName(asked.select("query_num", *[F.lit(v).cast(t).alias(c) for c, t, v in (("ref_id", "int", None), ("score", "int", None), ("cells", "long", 0), ("overflows", "long", 0))]))
+    candidates = candidates.unionByName(asked.select("file", "query_num", *[F.lit(v).cast(t).alias(c) for c, t, v in (("ref_id", "int", None), ("score", "int", None), ("cells", "long", 0), ("overflows", "long", 0))]))
     return Result(queries, db, config, candidates)
 
 

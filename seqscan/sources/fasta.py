@@ -5,13 +5,15 @@ from __future__ import annotations
 import glob as paths
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .records import as_text, lines_of, parse, records_of
+from .records import as_text, inflated_lines, lines_of, parse, records_of
+from .splits import read_split
 
 SCHEMA = "file string, ordinal long, header string, sequence string, quality string"
 
@@ -66,29 +68,84 @@ def parsed_lines(lines: DataFrame, permissive: bool = False) -> DataFrame:
     return lines.select("file", F.col("value").cast("binary").alias("value")).mapInArrow(run, SCHEMA)
 
 
+#: Suffixes by which Spark would take a file for compressed.
+PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
+
+
+def is_gzip(spark: SparkSession, path: str) -> bool:
+    """By the first two bytes, read through Spark's file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return (stream.read(), stream.read()) == (0x1F, 0x8B)
+    finally:
+        stream.close()
+
+
+def as_they_are(spark: SparkSession, where: list[str], suffix: str | None = None) -> DataFrame:
+    """(file, size, value): lines of files. Those that end in `suffix` are read in one task each, in order, and not inflated
+    whatever their names say. Files without a suffix may be split; their lines are brought in order by a shuffle that spills."""
+    reader = spark.read.option("lineSep", "\n")
+    if suffix:
+        codec = spark._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+        reader = reader.option("io.compression.codecs", codec.CLASSNAME).option(codec.OPT_EXTENSION, suffix)
+    file = F.regexp_replace("_metadata.file_path", "^file:///", "file:/")
+    lines = reader.text(where).select(file.alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), "value")
+    if suffix == "":
+        lines = lines.withColumn("at", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "block", "at")
+    return lines.select("file", "size", "value")
+
+
+def parsed_packed(lines: DataFrame, permissive: bool = False) -> DataFrame:
+    """Lines (file, size, value) of gzip files taken as they are -> records, inflated by a task for each file as it reads."""
+    import pyarrow as pa
+
+    def content(lines: Iterator[tuple[int, bytes]]) -> Iterator[bytes]:
+        read, first = 0, True
+        for size, line in lines:
+            piece = line if first else b"\n" + line
+            read, first = read + len(piece), False
+            yield piece
+        if not first and read < size:
+            yield b"\n"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("file", "size", "value")), strict=True))
+        for file, own in groupby(told, key=lambda x: x[0]):
+            lines = inflated_lines(content((size, line) for _, size, line in own))
+            yield from batches_of((file, n, r) for n, r in enumerate(records_of(lines, permissive)))
+
+    return lines.select("file", "size", F.col("value").cast("binary").alias("value")).mapInArrow(run, SCHEMA)
+
+
 def read_lines(spark: SparkSession, where: list[str], permissive: bool = False) -> DataFrame:
-    """Records of files of any size. Spark inflates those named .gz, each in one task as it reads; others are read in
-    splits, whose lines are brought together in order by a shuffle that may spill, and parsed by a task for each file."""
-    out = None
-    for packed in (True, False):
-        chosen = [p for p in where if p.endswith(".gz") == packed]
-        if not chosen:
-            continue
-        file = F.regexp_replace("_metadata.file_path", "^file:///", "file:/")
-        lines = spark.read.option("lineSep", "\n").text(chosen).select(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-        if not packed:
-            placed = lines.withColumn("at", F.monotonically_increasing_id())
-            lines = placed.repartition("file").sortWithinPartitions("file", "block", "at")
-        found = parsed_lines(lines, permissive)
-        out = found if out is None else out.unionByName(found)
+    """Records of files of any size, gzipped or not as their first bytes say, whatever they are called.
+
+    Plain files are parsed split by split. Gzip can't be split: a task reads a file, inflates as it reads and holds a
+    record. So does the task of a plain file with a compressed one's name, which Spark does not split.
+    """
+    with ThreadPoolExecutor(16) as pool:
+        packed = dict(zip(where, pool.map(lambda p: is_gzip(spark, p), where), strict=True))
+    last = lambda p: os.path.splitext(p)[1]
+    found = []
+    if named := [p for p in where if packed[p] and p.endswith(".gz")]:
+        found.append(parsed_lines(as_they_are(spark, named), permissive))
+    for suffix in sorted({last(p) for p in where if packed[p] and not p.endswith(".gz")}):
+        found.append(parsed_packed(as_they_are(spark, [p for p in where if packed[p] and last(p) == suffix], suffix), permissive))
+    for suffix in sorted({last(p) for p in where if not packed[p] and p.endswith(PACKED)}):
+        found.append(parsed_lines(as_they_are(spark, [p for p in where if not packed[p] and last(p) == suffix], suffix), permissive))
+    if plain := [p for p in where if not packed[p] and not p.endswith(PACKED)]:
+        found.append(read_split(spark, plain, permissive))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
 def read_sequences(spark: SparkSession, *where: str, permissive: bool = False, large: int = LARGE) -> DataFrame:
-    """FASTA and FASTQ files (paths, folders or globs in any file system Spark reads), gzipped or not.
+    """FASTA and FASTQ files (paths, folders or globs in any file system Spark reads), gzipped or not by their content.
 
-    A file of up to `large` bytes is read whole by one task and inflated as it is parsed. Larger ones go through
-    `read_lines`; one of them that is gzip but not named so can't be told from its lines, and gives no records.
+    A file of up to `large` bytes is read whole by one task and inflated as it is parsed. Larger ones go through `read_lines`.
     """
     files = spark.read.format("binaryFile").load(list(where))
     long = [r["path"] for r in files.where(F.col("length") > large).select("path").toLocalIterator()]
@@ -150,17 +207,27 @@ def register(spark: SparkSession) -> None:
 
 
 def pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """Mates in lockstep: records of two scans with the same ordinal, or neighbours of one scan."""
+    """Mates in lockstep: neighbours of one scan, file by file, or records with the same ordinal of two scans.
+
+    The files of two scans are mates in order of their names: the first of the one with the first of the other. Files
+    without a mate have no pairs, nor have records beyond the end of the shorter file.
+    """
     if right is None:
         first = left.where("ordinal % 2 = 0").withColumn("pair", F.expr("ordinal div 2"))
         second = left.where("ordinal % 2 = 1").withColumn("pair", F.expr("ordinal div 2"))
         on = ["file", "pair"]
     else:
-        first, second, on = left.withColumn("pair", F.col("ordinal")), right.withColumn("pair", F.col("ordinal")), ["pair"]
+        first, second, on = in_file_order(left), in_file_order(right), ["file_idx", "pair"]
     named = lambda df, n: df.select(*on, *[F.col(c).alias(f"{c}_{n}") for c in ("header", "sequence", "quality")])
     return named(first, 1).join(named(second, 2), on)
 
 
+def in_file_order(records: DataFrame) -> DataFrame:
+    """With `file_idx`, the place of a record's file in order of names, and `pair`, its ordinal there."""
+    files = records.select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("file_idx"))
+    return records.join(F.broadcast(files) if files.limit(100_001).count() <= 100_000 else files, "file").withColumn("pair", F.col("ordinal"))
+
+
 def skip(records: DataFrame, n: int) -> DataFrame:
     """Records after the first `n` of each file."""
     return records.where(F.col("ordinal") >= n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterable, Iterator
 from contextlib import nullcontext
 from io import BytesIO
@@ -22,6 +23,30 @@ def lines_of(source: BinaryIO) -> Iterator[bytes]:
             yield line[:-1] if line.endswith(b"\n") else line
 
 
+def inflated_lines(pieces: Iterable[bytes], step: int = 1 << 20) -> Iterator[bytes]:
+    """Lines, without their ends, of gzip content that comes in pieces; members follow each other. Content that ends within
+    a member raises FormatError."""
+    packed, rest, begun = zlib.decompressobj(31), b"", False
+    for piece in pieces:
+        while piece:
+            if packed.eof:
+                piece = piece.lstrip(b"\0")
+                packed = zlib.decompressobj(31) if piece else packed
+                continue
+            begun = True
+            *whole, rest = (rest + packed.decompress(piece, step)).split(b"\n")
+            yield from whole
+            piece = packed.unused_data if packed.eof else packed.unconsumed_tail
+    while begun and not packed.eof:
+        more = packed.decompress(packed.unconsumed_tail, step)
+        if not more:
+            raise FormatError("gzip content that ends within a member")
+        *whole, rest = (rest + more).split(b"\n")
+        yield from whole
+    if rest:
+        yield rest
+
+
 def joined(parts: bytearray, more: bytes) -> None:
     parts += more
     if len(parts) > 1 and parts[-1] == 13:

@@ -13,21 +13,41 @@ def cell(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def tsv_lines(hits: DataFrame) -> DataFrame:
-    """(query_num, result_num, line): tab-separated fields, neither quoted nor escaped, without the titles."""
-    return hits.select("query_num", "result_num", F.concat_ws("\t", *map(cell, FIELDS)).alias("line"))
+def own_file(table: DataFrame) -> list[str]:
+    return ["file"] if "file" in table.columns else []
 
 
-def plain_lines(hits: DataFrame, queries: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_num, result_num, line): for each query a line about it, numbered -1, then one for each hit."""
-    about = queries.join(stats, "query_num", "left")
+def tsv_lines(hits: DataFrame, anonymous: bool = False) -> DataFrame:
+    """([file,] query_num, result_num, line): tab-separated fields, neither quoted nor escaped, without the titles.
+
+    `anonymous` lines have the number -1 and the header `-` instead of the query's.
+    """
+    fields = [F.lit({"query_num": "-1", "query_header": "-"}[c]) if anonymous and c in ("query_num", "query_header") else cell(c) for c in FIELDS]
+    return hits.select(*own_file(hits), "query_num", "result_num", F.concat_ws("\t", *fields).alias("line"))
+
+
+def query_lines(queries: DataFrame, stats: DataFrame) -> DataFrame:
+    """([file,] query_num, result_num, line): a line about each query, its result number -1."""
+    file = own_file(queries)
+    about = queries.join(stats, [*file, "query_num"], "left")
     head = F.concat(F.lit("Query "), cell("query_num"), F.lit(", header"), cell("header"), F.lit(", length "), F.octet_length(F.coalesce("sequence", F.lit(""))).cast("string"), F.lit(", num overflows "), F.coalesce(F.col("num_overflows"), F.lit(0)).cast("string"))
+    return about.select(*file, "query_num", F.lit(-1).alias("result_num"), head.alias("line"))
+
+
+def result_lines(hits: DataFrame) -> DataFrame:
+    """([file,] query_num, result_num, line): a line for each hit."""
     line = F.concat(F.lit("Result "), cell("result_num"), F.lit(". Score: "), cell("score"), F.lit(". Length: "), cell("reference_length"), F.lit(". Header "), cell("reference_header"), F.lit(". referenceId "), cell("ref_id"))
-    return about.select("query_num", F.lit(-1).alias("result_num"), head.alias("line")).unionByName(hits.select("query_num", "result_num", line.alias("line")))
+    return hits.select(*own_file(hits), "query_num", "result_num", line.alias("line"))
+
+
+def plain_lines(hits: DataFrame, queries: DataFrame, stats: DataFrame) -> DataFrame:
+    """([file,] query_num, result_num, line): for each query a line about it, numbered -1, then one for each hit."""
+    return query_lines(queries, stats).unionByName(result_lines(hits))
 
 
 def in_order(lines: DataFrame) -> DataFrame:
-    return lines.orderBy("query_num", "result_num").select("line")
+    """By `place` and file where there are such, then by query and result."""
+    return lines.orderBy(*[c for c in ("place", "file", "query_num", "result_num") if c in lines.columns]).select("line")
 
 
 def write_folder(lines: DataFrame, path: str) -> None:

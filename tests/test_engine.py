@@ -162,7 +162,7 @@ def test_sinks_and_command_line(spark, files, tmp_path, monkeypatch, capsys):
     text = out.read_text()
     assert text.startswith("Query 0, headerw, length 60, num overflows 0\nResult 0. Score: 11. Length: 5. Header one the first. referenceId 2\n")
     assert cli.main(["search", "--query", "x"], spark) == 2
-    monkeypatch.setattr("sys.stdin", io.StringIO("s WW\nbad\nexit\n"))
+    monkeypatch.setattr("sys.stdin", io.StringIO("s WW\n\nbad\nexit\n"))
     assert cli.main(["search", "--interactive", "--db", f"{tmp_path}/db", "--of", str(out)], spark) == 0
     assert cli.main(["info", f"{tmp_path}/db"], spark) == 0
     assert "Unrecognized" in capsys.readouterr().out
@@ -249,3 +249,76 @@ def test_counts_and_self_scores(spark):
     table = residues.matrix("blosum80")
     got = {r.sequence: r.score for r in df.select("sequence", registry.self_score("sequence", "blosum80").alias("score")).collect()}
     assert got == {s: None if s is None else sum(int(table[c, c]) for c in residues.encode(s)) for (s,) in rows}
+
+
+def test_queries_of_several_files_keep_their_own_hits(spark, tmp_path, monkeypatch):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.fa").write_text(">w\nWWWWWWWW\n>x\nMKV\n")
+    (tmp_path / "q" / "b.fa").write_text(">h\nHEAGAWGHEE\n")
+    db = database.subjects(spark.createDataFrame([(0, "ww", "WWWWAWWWW"), (1, "p", "PAWHEAE"), (2, "v", "VVV")], "ordinal long, header string, sequence string"))
+    queries = live.numbered(fasta.read_sequences(spark, f"{tmp_path}/q"))
+    for told in (1 << 20, 0):
+        monkeypatch.setattr(search, "QUERY_BYTES", told)
+        result = search.search(queries, db, SearchConfig(top=1))
+        best = {(r.file[-4:], r.query_num): (r.query_header, r.score, r.reference_header) for r in result.hits().collect()}
+        assert best == {("a.fa", 0): ("w", 77, "ww"), ("a.fa", 1): ("x", 4, "v"), ("b.fa", 0): ("h", 17, "p")}
+        assert {(r.file[-4:], r.query_num): r.cells for r in result.stats().collect()} == {("a.fa", 0): 152, ("a.fa", 1): 57, ("b.fa", 0): 190}
+    with pytest.raises(ValueError, match="column `file`"):
+        search.search(queries.drop("file"), db)
+    out = tmp_path / "hits.txt"
+    database.build_db(spark.createDataFrame([(0, "ww", "WWWWAWWWW"), (1, "p", "PAWHEAE")], "ordinal long, header string, sequence string"), f"{tmp_path}/db")
+    assert cli.main(["search", "--query", f"{tmp_path}/q/*.fa", "--db", f"{tmp_path}/db", "--top", "1", "--of", str(out)], spark) == 0
+    assert [x.split(",")[1].strip() if x.startswith("Query") else x.split(": ")[1] for x in out.read_text().splitlines()] == ["headerw", "77. Length", "headerx", "1. Length", "headerh", "17. Length"]
+
+
+def test_numbers_of_a_database_of_several_files(spark, monkeypatch):
+    monkeypatch.setattr(database, "ORDINALS", 4)
+    rows = [(f, i, f"{f}{i}", "A" * (i % 3)) for f in ("b", "a", "c") for i in range(20)]
+    df = spark.createDataFrame(rows, "file string, ordinal long, header string, sequence string")
+    want = [r[2] for r in sorted(rows, key=lambda r: (len(r[3]), r[0], r[1]))]
+    for parts in (1, 5):
+        assert [r.header for r in database.subjects(df.repartition(parts)).orderBy("ref_id").collect()] == want
+
+
+def test_derived_databases_are_worked_out_once(spark, sf_dir):
+    from seqscan.plans import catalog
+
+    derived = catalog.document_db(spark, sf_dir)
+    hits = catalog.names_in_documents(spark, sf_dir)
+    assert "documents.parquet" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("documents.parquet" in f for f in hits.inputFiles())
+    stored = search.kept(derived)
+    assert stored is not derived and search.kept(stored) is stored
+    held = derived.persist()
+    assert search.kept(held) is held
+    held.unpersist()
+
+
+def test_a_repeated_micro_batch_replaces_itself(spark, tmp_path):
+    sink = live.in_batches(f"{tmp_path}/hits")
+    hits = spark.range(5).selectExpr("id AS query_num")
+    for number in (0, 1, 0, 1, 1):
+        sink(hits, number)
+    assert spark.read.parquet(f"{tmp_path}/hits").count() == 10
+
+
+def test_dialogue(spark, tmp_path):
+    db = database.subjects(spark.createDataFrame([(0, "ww", "WWWWAWWWW"), (1, "p", "PAWHEAE")], "ordinal long, header string, sequence string"))
+    (tmp_path / "q.fa").write_text(">one\nHEAGAWGHEE\n>two\nWW\n")
+
+    def talk(tsv, *lines):
+        session = live.Session(db, SearchConfig(top=1))
+        dialogue = live.Dialogue(session, tsv)
+        answers = [a for a in [*map(dialogue.take, lines), dialogue.end()] if a]
+        out = [(a.said, [r.line for r in sinks.in_order(a.lines).collect()] if a.lines else None) for a in answers]
+        session.close()
+        return out, dialogue.over
+
+    one = "Result 0. Score: 77. Length: 9. Header ww. referenceId 1"
+    assert talk(False, "s WWWW more\n", "WWWW\n", "\n", "exit\n") == ([(["sequence: WWWWWWWW"], [one])], True)
+    assert talk(True, "s WWWW", "WW", "WW") == ([(["sequence: WWWWWWWW"], ["-1\t8\t-\t0\t77\t9\tww\t1"])], False)
+    said = ["Query 0, headerone, length 10, num overflows 0", "Query 1, headertwo, length 2, num overflows 0"]
+    assert talk(False, f"f {tmp_path}/q.fa")[0] == [(said, ["Result 0. Score: 17. Length: 7. Header p. referenceId 0", "Result 0. Score: 22. Length: 9. Header ww. referenceId 1"])]
+    assert talk(True, f"f {tmp_path}/q.fa")[0][0][1] == ["-1\t10\t-\t0\t17\t7\tp\t0", "-1\t2\t-\t0\t22\t9\tww\t1"]
+    got, over = talk(True, "", "s", "f ", "what now", "f /nowhere.fa")
+    assert [a[0][0][:12] for a in got] == ["Missing argu", "Missing argu", "Unrecognized", "Error: [PATH"] and not over

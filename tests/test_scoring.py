@@ -63,6 +63,34 @@ def test_long_scores_leave_16_bits():
     assert scoring.all_scores([w], [w, w[:10]], residues.matrix("blosum62"), -11, -1)[0].tolist() == [44000, 110]
 
 
+@settings(max_examples=40, deadline=None)
+@given(codes, st.lists(codes, min_size=1, max_size=6), st.sampled_from(GAPS), st.integers(1, 9))
+def test_tiles_equal_whole_subjects(q, subjects, gaps, tile):
+    table = residues.matrix("blosum62")
+    whole = scoring.all_scores([q, q[:5]], subjects, table, *gaps).tolist()
+    kept, scoring.TILE = scoring.TILE, tile
+    try:
+        assert scoring.all_scores([q, q[:5]], subjects, table, *gaps).tolist() == whole
+    finally:
+        scoring.TILE = kept
+
+
+def test_fifty_million_residues_in_bounded_memory():
+    import tracemalloc
+
+    subject = bytearray(np.tile(np.frombuffer(residues.encode("ARNDCQEGHILKMFPSTYV"), np.uint8), 50_000_000 // 19 + 1).tobytes()[:50_000_000])
+    query = residues.encode("WWWWHEAGAWGHEEWWWW")
+    border = 190 * scoring.TILE
+    subject[border - 9 : border + 9] = query
+    tracemalloc.start()
+    try:
+        got = scoring.all_scores([query], [bytes(subject)], residues.matrix("blosum62"), -11, -1)
+        assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == [[one("WWWWHEAGAWGHEEWWWW", "WWWWHEAGAWGHEEWWWW")]]
+
+
 def test_blocks_hold_every_row_once():
     lengths = np.array([0, 5, 9000, 1, 300, 301, 5, 20000, 16] * 700)
     groups = scoring.grouped(lengths)
@@ -83,7 +111,7 @@ def test_functions_from_sql(spark):
     register(spark)
     spark.createDataFrame([("WW", "WWA"), (None, "A"), ("", "A")], "q string, s string").createOrReplaceTempView("some")
     rows = spark.sql("SELECT sw_score(q, s) AS n, aa_decode(aa_encode(s)) AS d, length_partition(octet_length(s)) AS p FROM some").collect()
-    assert [(r.n, r.d, r.p) for r in rows] == [(22, "WWA", 0), (0, "A", 0), (0, "A", 0)]
+    assert [(r.n, r.d, r.p) for r in rows] == [(22, "WWA", 0), (None, "A", 0), (0, "A", 0)]
     some = spark.table("some")
     assert [r[0] for r in some.select(sw_score(some.q, some.s)).collect()] == [22, None, 0]
     edges = spark.createDataFrame([(x + d,) for x in residues.BOUNDS[:-1] for d in (0, 1)] + [(0,)], "n int")
