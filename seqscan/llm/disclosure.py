@@ -14,6 +14,7 @@ data, the second counts the terms in question everywhere, the third writes the s
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -136,23 +137,47 @@ def cases(texts: DataFrame) -> DataFrame:
 
 def holding(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """`texts` (key, text), `wanted` (term) -> (key, term): which texts hold which of the terms, outside personal data."""
-    terms = few(wanted)
-    shared = texts.sparkSession.sparkContext.broadcast(frozenset(terms)) if terms is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, told in texts_of(batches):
             keys, found = [], []
             for key, text in zip(batch.column("key").to_pylist(), told, strict=True):
-                if shared is not None and terms_in(text).isdisjoint(shared.value):
-                    continue
-                own = {w for w, *_ in words_outside(text, base_spans(text))}
-                own = own & shared.value if shared is not None else own
+                own = sorted({w for w, *_ in words_outside(text, base_spans(text))})
                 keys += [key] * len(own)
-                found += sorted(own)
+                found += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], ["key", "term"])
 
-    held = texts.mapInArrow(run, "key string, term string")
-    return held if terms is not None else held.join(wanted, "term", "left_semi").select("key", "term")
+    return texts.mapInArrow(run, "key string, term string").join(wanted, "term", "left_semi").select("key", "term")
+
+
+def counted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): how many of the texts, each a different one, hold each of the terms outside personal data.
+
+    A task sums up for all its texts before anything leaves it, for the wanted terms where they are few; else it sums up
+    for the terms of some texts at a time, and those not wanted go after the sums.
+    """
+    terms = few(wanted)
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(terms)) if terms is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
+            sums.clear()
+            return made
+
+        for _, some in texts_of(batches):
+            for text in some:
+                spans = base_spans(text)
+                own = {w for w, *_ in words_outside(text, spans)} if spans else terms_in(text)
+                sums.update(own if shared is None else own & shared.value)
+            if len(sums) > MOST_TOLD:
+                yield told()
+        yield told()
+
+    found = texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return found if terms is not None else found.join(wanted, "term", "left_semi")
 
 
 def few(terms: DataFrame) -> list | None:
@@ -179,8 +204,11 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, remove: int = REMOVE, ge
     if together.isEmpty():
         return together.select("term", F.lit("").alias("kind"))
     wanted = cut(together.select("term").distinct())
-    everywhere = holding(texts.select("key", "text"), wanted).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    every = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key")).distinct().count()
+    copies = cut(texts.groupBy("key").agg(F.count("*").alias("copies")))
+    every, again = copies.count(), small_or_not(copies.where("copies > 1").select("key"), 500_000)
+    # Only texts that have copies are shuffled, to leave one of each.
+    different = texts.join(again, "key", "left_anti").unionByName(texts.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    everywhere = counted(different, wanted)
     judged = together.join(everywhere, "term").where(F.col("n_te").cast("double") * F.col("n_te") * every >= F.col("n_e").cast("double") * F.col("n_t") * F.col("n_t"))
     share = judged.groupBy("term").agg(F.max(F.col("n_te") * 10 >= F.col("n_t") * remove).alias("gone"), F.max(F.col("n_te") * 10 >= F.col("n_t") * generalise).alias("vague"))
     return cut(share.where("gone or vague").select("term", F.when(F.col("gone"), ADDED[0]).otherwise(ADDED[1]).alias("kind")))
