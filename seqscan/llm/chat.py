@@ -8,7 +8,7 @@ its places and offsets are sums over blocks of turns, added to sums within a blo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turn numbers that one task puts in order.
@@ -16,17 +16,23 @@ BLOCK_TURNS = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def unmarked(text: Column) -> Column:
+    """Text in which no mark can be forged: `<|` is parted by a blank."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, perspective, place, turn, speaker, chunk, start, end, mask_start, mask_end.
 
     Offsets are in code points, ends exclusive; the mask holds an assistant turn's words and its closing mark, and is
     null for other turns. Turns go by number, rows of the same turn by speaker and the text's digest, missing numbers
     first. Null text is empty, a null role the speaker "unknown"; rows without conv_id make one conversation. Repeated
-    rows are turns of their own. A conversation in which only the system speaks has no participant and no rows.
+    rows are turns of their own. Marks in what is said, or in a speaker's name, are parted (`<|` becomes `< |`) and line ends
+    in a name become blanks, so that nobody's words pass for another's turn. A conversation in which only the system speaks has no participant and no rows.
 
     Places and offsets need lengths only; texts are shuffled once, each different row's, and joined at the end.
     """
-    speaker, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    speaker, text = F.coalesce("role", F.lit("unknown")), unmarked(F.coalesce("text", F.lit("")))
     rows = conversations.select("conv_id", "turn", speaker.alias("speaker"), text.alias("text"), F.md5(text).alias("digest"))
     written = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     rows = rows.withColumn("key", F.md5(F.concat_ws(":", written("conv_id"), written("turn"), "digest", "speaker")))
@@ -36,7 +42,7 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
     seats = lengths.where("speaker != 'system'").select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     seen = lengths.join(seats, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     own = F.col("speaker") == F.col("perspective")
-    tag = F.when(own, "assistant").when(F.col("speaker") == "system", "system").otherwise(F.concat(F.lit("user name="), "speaker"))
+    tag = F.when(own, "assistant").when(F.col("speaker") == "system", "system").otherwise(F.concat(F.lit("user name="), unmarked(F.regexp_replace("speaker", "[\r\n]", " "))))
     head = F.concat(F.lit(OPEN), tag, F.lit("\n"))
     sized = seen.withColumn("size", F.length(head) + F.col("length") + len(CLOSE) + 1)
     sums = sized.groupBy("conv_id", "perspective", "block").agg(F.sum("size").alias("block_size"), F.count("*").alias("block_turns"))
@@ -66,10 +72,10 @@ def op4(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-WITH rows AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH rows AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 seats AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM rows WHERE speaker <> 'system'),
 heads AS (
-  SELECT *, '{OPEN}' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
+  SELECT *, '{OPEN}' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || replace(regexp_replace(speaker, '[\r\n]', ' ', 'g'), '<|', '< |') END || chr(10) AS head
   FROM rows JOIN seats ON conv_id IS NOT DISTINCT FROM c),
 chunks AS (SELECT *, head || text || '{CLOSE}' || chr(10) AS chunk FROM heads),
 placed AS (
