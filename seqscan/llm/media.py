@@ -39,17 +39,27 @@ def png(b: memoryview) -> int | None:
     return None
 
 
-def gif(b: memoryview) -> int | None:
+def gif(b: memoryview, failed: set[int] | None = None, start: int = 0) -> int | None:
+    """`failed` are the states (twice the place in the cell, odd within blocks) from which an earlier walk came to nothing:
+    a walk that gets into one ends there, and leaves those it went through if it fails itself."""
     if len(b) < 14:
         return None
     at = 13 + (3 << (b[10] & 7) + 1 if b[10] & 128 else 0)
+    failed = set() if failed is None else failed
+    gone: list[int] = []
+
+    def new(state: int) -> bool:
+        gone.append(state)
+        return state not in failed
 
     def blocks(at: int) -> int:
         while at < len(b) and b[at]:
+            if not new(2 * (start + at) + 1):
+                return len(b)
             at += 1 + b[at]
         return at + 1
 
-    while at < len(b):
+    while at < len(b) and new(2 * (start + at)):
         if b[at] == 0x3B:
             return at + 1
         if b[at] == 0x21:
@@ -57,32 +67,43 @@ def gif(b: memoryview) -> int | None:
         elif b[at] == 0x2C and at + 10 < len(b):
             at = blocks(at + 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 128 else 0))
         else:
-            return None
+            break
+    failed.update(gone)
     return None
 
 
-def jpeg(b: memoryview) -> int | None:
+def jpeg(b: memoryview, failed: set[int] | None = None, start: int = 0) -> int | None:
+    """`failed` as in `gif`: twice the place of a mark in the cell, odd within a scan."""
     at, scan = 2, False
+    failed = set() if failed is None else failed
+    gone: list[int] = []
     while at + 2 <= len(b):
         if b[at] != 0xFF:
             if not scan:
-                return None
+                break
             at += 1
             continue
+        state = 2 * (start + at) + scan
+        if state in failed:
+            break
+        gone.append(state)
         mark = b[at + 1]
         if mark == 0xD9:
-            return at + 2 if scan else None
+            if scan:
+                return at + 2
+            break
         if mark == 0xFF:
             at += 1
         elif mark == 0 or 0xD0 <= mark <= 0xD7:
             if not scan:
-                return None
+                break
             at += 2
         elif at + 4 <= len(b) and mark >= 0xC0 and (n := struct.unpack_from(">H", b, at + 2)[0]) >= 2:
             scan |= mark == 0xDA
             at += 2 + n
         else:
-            return None
+            break
+    failed.update(gone)
     return None
 
 
@@ -242,11 +263,15 @@ def automaton():
 def inspect(content: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the confirmed media in order of place; what lies in a confirmed container is not told twice."""
     view, cell, found, free = memoryview(content), Cell(content), [], 0
+    failed: dict[Callable, set[int]] = {gif: set(), jpeg: set()}
     for last, (i, n) in automaton().iter(content.decode("latin-1")):
         start = last - n + 1
         if start >= free or not found:
             _, kind, validate = FORMATS[i]
-            length = IN_CELL[validate](cell, start) if validate in IN_CELL else validate(view[start:])
+            if validate in IN_CELL:
+                length = IN_CELL[validate](cell, start)
+            else:
+                length = validate(view[start:], failed[validate], start) if validate in failed else validate(view[start:])
             if length:
                 found.append((kind if isinstance(kind, str) else kind(view[start:]), start, length))
                 free = start + length

@@ -98,3 +98,20 @@ def test_many_marks_in_linear_time():
     for mark in (b"PK\3\4", b"%PDF-1", b"\x1f\x8b\x08", b"\x89PNG\r\n\x1a\n", b"GIF89a", b"BM", b"RIFF", b"PK\5\6", b"PK\3\4PK\5\6", b"startxref 1 %%EOF"):
         assert media.inspect(mark * (1_000_000 // len(mark))) == []
     assert time.perf_counter() - began < 60
+
+
+def test_marks_whose_blocks_run_to_the_end_in_linear_time():
+    import time
+
+    mark = b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"\x21\xf9"
+    shapes = [(mark + bytes([4]) + b"abcd") * 52_000, (mark + bytes([200])) * 60_000, (b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd" + b"e" * 8) * 45_000, b"\xff\xd8\xff\xda\x00\x02" * 170_000]
+    for data in shapes:
+        began = time.perf_counter()
+        assert media.inspect(data) == []
+        assert time.perf_counter() - began < 15
+
+
+def test_walks_that_failed_do_not_hide_media():
+    picture = b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"\x21\xf9\x04abcd\0" + b"\x3b"
+    broken = b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"\x21\xf9\x03abc\0\x55"
+    assert [(a, n) for _, a, n in media.inspect(broken + broken + picture + picture)] == [(2 * len(broken), len(picture)), (2 * len(broken) + len(picture), len(picture))]
