@@ -72,6 +72,13 @@ def duplicate_lines(lines: Column) -> Column:
     return let(worded, lambda w: (F.size(w) - F.size(F.array_distinct(w))).cast("long"))
 
 
+def among(ranked: Column, value: Column) -> Column:
+    """Whether an array in ascending order holds a value, by halving: an array of boilerplate may be long, and lines many."""
+    steps = F.reverse(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(ranked) + 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int")))
+    reach = lambda v: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ranked, at + step - 1) <= v, at + step).otherwise(at))
+    return let(value, lambda v: v.isNotNull() & F.coalesce(F.get(ranked, reach(v) - 1) == v, F.lit(False)))
+
+
 def boilerplate(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """`docs` (text, source) -> (host, line): hashed lines above the limit on their host. Null source is a host of its own."""
     text = F.coalesce("text", F.lit(""))
@@ -94,17 +101,17 @@ def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE
     lines = F.split(text, "\n")
     base = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("\0")).alias("host"))
     if bad.count() <= broadcast_lines:
-        per_host = bad.groupBy("host").agg(F.collect_list("line").alias("bad"))
+        per_host = bad.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("bad"))
         base = base.join(F.broadcast(per_host), "host", "left")
     else:
         keyed = base.withColumn("digest", F.md5(text))
         held = keyed.select("host", "digest", F.explode(F.array_distinct(F.transform(lines, line_hash))).alias("line"))
-        per_text = held.distinct().join(bad, ["host", "line"]).groupBy("host", "digest").agg(F.collect_list("line").alias("bad"))
+        per_text = held.distinct().join(bad, ["host", "line"]).groupBy("host", "digest").agg(F.sort_array(F.collect_list("line")).alias("bad"))
         base = keyed.join(per_text, ["host", "digest"], "left")
 
     def removal(bad: Column) -> Column:
         """Which lines go: nothing is hashed where the host has no boilerplate."""
-        return F.when(bad.isNull(), F.lit(None).cast("array<boolean>")).otherwise(F.transform(lines, lambda line: F.coalesce(F.array_contains(bad, line_hash(line)), F.lit(False))))
+        return F.when(bad.isNull(), F.lit(None).cast("array<boolean>")).otherwise(F.transform(lines, lambda line: among(bad, line_hash(line))))
 
     def clean(gone: Column) -> Column:
         any_gone = F.coalesce(F.exists(gone, lambda g: g), F.lit(False))

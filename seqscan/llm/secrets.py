@@ -27,11 +27,20 @@ class Rule:
     least: int = 1
     group: int = 0
 
-
-#: What follows a private key's first line: all up to its last line, or where that is missing header lines and base64 as
-#: far as it goes, in lines or set apart by blanks; line ends may be written as \\n. All that Java, RE2 and Python share.
-TO_END = r"[^-]*(?:-[^-]+){0,12}-----END [A-Z ]*PRIVATE KEY-----"
-BODY = r"(?:[\r\n\t\x20]*[A-Za-z-]+:[^\r\n\\]*){0,8}[\r\n\t\x20\\]*[A-Za-z0-9+/=]{16,}(?:[A-Za-z0-9+/=\r\n\\]*[A-Za-z0-9+/=])?(?:[\t\x20\r\n\\]+[A-Za-z0-9+/=]{16,}){0,60}(?:[\t\x20\r\n\\]+[A-Za-z0-9+/=]{16,}){0,60}(?:[\r\n\\]+[\t\x20]*[A-Za-z0-9+/=]+)?"
+    @property
+    def plain(self) -> str:
+        """The expression with its possessive repetitions greedy."""
+        return re.sub(r"([*+}])\+(?![^\[\]]*\])", r"\1", self.pattern)
+
+
+#: What follows a private key's first line: all up to its last line if no other key begins (or ends) before it; where that is
+#: missing header lines and base64 as far as it goes, in lines or set apart by blanks; line ends may be written as \\n.
+#: Repetitions are possessive, so that Java goes through them in a loop whatever their number; as nothing in these expressions
+#: could be matched by giving back, `Rule.plain` has them greedy for engines without such, with the same matches.
+OTHER = r"-{1,4}[^-]++|-{5,}+(?:[^-BE]|B[^E-]|BE[^G-]|E[^N-]|EN[^D-])[^-]*+"
+TO_END = rf"[^-]*+(?:{OTHER})*+-----+END [A-Z ]*PRIVATE KEY-----"
+HEADERS = r"(?:[\r\n\\]++[\t\x20]*+[A-Za-z-]++:[^\r\n\\]*+)*+"
+BODY = rf"{HEADERS}(?:[\r\n\t\x20\\]*[A-Za-z0-9+/=]{{16,}}(?:[A-Za-z0-9+/=\r\n\\]*[A-Za-z0-9+/=])?(?:[\t\x20\r\n\\]++[A-Za-z0-9+/=]{{16,}}+)*+(?:[\r\n\\]+[\t\x20]*[A-Za-z0-9+/=]+)?)?"
 #: The three base rules come first, in the order that breaks ties; the others are the method's own.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
@@ -45,9 +54,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
-#: Candidates that all tasks are told at most; beyond that each row answers the trigram queries by its own text again,
-#: as a join would shuffle every text.
-BROADCAST_CANDIDATES = 100_000
+#: Candidates that all tasks are told at most; more are joined with the texts by shuffling both.
+BROADCAST_CANDIDATES = 500_000
 #: Characters of the pieces that a text is cut into to be put together anew.
 REBUILT_BLOCK = 1024
 #: Strings that an expression is expanded to at most before it is cut into parts.
@@ -184,10 +192,8 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_candidates:
     base = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = base.withColumn("digest", F.md5("text"))
     met = cut(candidates(keyed.select("digest", "text"), rules))
-    if met.count() <= broadcast_candidates:
-        keyed = keyed.join(F.broadcast(met), "digest", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
-    else:
-        keyed = base.withColumn("rules", let(F.lower("text"), lambda low: rules_met(rules, lambda grams: all_of([F.contains(low, F.lit(g)) for g in grams]))))
+    met = F.broadcast(met) if met.count() <= broadcast_candidates else met
+    keyed = keyed.join(met, "digest", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
     parts = []
     for i, rule in enumerate(rules):
         spans = spans_of(F.col("text"), scan_pattern(rule), i)
@@ -242,7 +248,7 @@ def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     """`op5` in DuckDB, every rule scanning every text."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     scans = " UNION ALL ".join(
-        f"SELECT n, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quote(r.pattern)}) AS gaps, regexp_extract_all(t, {quote(r.pattern)}, 0) AS whole, regexp_extract_all(t, {quote(r.pattern)}, {r.group}) AS judged FROM docs"
+        f"SELECT n, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quote(r.plain)}) AS gaps, regexp_extract_all(t, {quote(r.plain)}, 0) AS whole, regexp_extract_all(t, {quote(r.plain)}, {r.group}) AS judged FROM docs"
         for i, r in enumerate((scan_pattern(r) for r in rules))
     )
     listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
