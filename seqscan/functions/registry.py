@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn
 
 from . import residues
 from .scoring import pair_scores
@@ -88,8 +89,7 @@ def scoring_of(matrix: str | None, gop: int | None, gex: int | None) -> tuple:
 class AlignTopK:
     """`align_topk(TABLE(db), query, top[, matrix, gop, gex])`: the best subjects of each part of the table that a task reads.
 
-    A table function's tasks don't know of each other; `SELECT * FROM align_topk(...) ORDER BY score DESC, ref_id LIMIT top`
-    gives the best of the whole table from them, as a search does.
+    A table function's tasks don't know of each other; `align_best` makes the whole table's of theirs.
     """
 
     def __init__(self):
@@ -116,12 +116,33 @@ class AlignTopK:
         yield from self.kept
 
 
+@F.udtf
+class AlignBest:
+    """`align_best(TABLE(SELECT * FROM align_topk(...)), top)`: (ref_id, score, result_num) of the best subjects of the whole
+    table, as a search has them, from those of each task. What comes together in one task is `top` rows for each of them,
+    in order, and one is held at a time."""
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, top: AnalyzeArgument) -> AnalyzeResult:
+        fields = [T.StructField("ref_id", T.IntegerType()), T.StructField("score", T.IntegerType()), T.StructField("result_num", T.IntegerType())]
+        return AnalyzeResult(T.StructType(fields), withSinglePartition=True, orderBy=[OrderingColumn("score", ascending=False), OrderingColumn("ref_id")])
+
+    def __init__(self):
+        self.given = 0
+
+    def eval(self, row, top: int):
+        if self.given < top:
+            yield row["ref_id"], row["score"], self.given
+            self.given += 1
+
+
 def register(spark: SparkSession) -> None:
-    """For SQL: aa_encode, aa_decode, length_partition, sw_score(query, subject[, matrix, gop, gex]) and align_topk.
+    """For SQL: aa_encode, aa_decode, length_partition, sw_score(query, subject[, matrix, gop, gex]), align_topk, align_best.
 
     sw_score of a null sequence is null, as the column function has it.
     """
     spark.udtf.register("align_topk", AlignTopK)
+    spark.udtf.register("align_best", AlignBest)
     spark.udf.register("aa_encode", aa_encode)
     spark.udf.register("aa_decode", aa_decode)
     bounds = residues.BOUNDS

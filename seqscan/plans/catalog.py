@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqscan.functions import residues
+from seqscan.functions import registry
 from seqscan.functions.registry import aa_decode, aa_encode, code_counts, self_score, sw_score
 from seqscan.operators import database
 from seqscan.operators.search import search
@@ -20,7 +21,7 @@ from seqscan.plans.config import SearchConfig
 from seqscan.sources import sinks
 from seqscan.sources.fasta import pairs, parsed, read_sequences
 from seqscan.sources.folders import shared_folder
-from seqscan.streaming.live import Session, several_files, stream_search
+from seqscan.streaming.live import Dialogue, Session, in_batches, numbered, several_files, stream_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUSTOM = SearchConfig(top=5, matrix="blosum45", gop=-5, gex=-2)
@@ -140,6 +141,51 @@ SELECT (query_num // 1000)::BIGINT AS file_idx, query_num % 1000 AS file_query_n
   UNION ALL SELECT 999 + row_number() OVER (ORDER BY r_regionkey), r_name, {oracle.letters("r_name")} FROM region''')} SELECT * FROM hits)"""
 
 
+def query_folder(spark, sf_dir):
+    """Nations and regions as two FASTA files in one folder: a number stands in both."""
+    place = new_place(spark)
+    for table, key, name in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")):
+        lines = read(spark, sf_dir, table).orderBy(key).select(F.concat(F.lit(">"), name, F.lit("\n"), letters(F.col(name))))
+        lines.coalesce(1).write.text(f"{place}/{table}")
+    hits = search(numbered(read_sequences(spark, f"{place}/*/*.txt")), part_db(spark, sf_dir), SearchConfig(top=2)).hits()
+    return hits.select(F.regexp_extract("file", "/(nation|region)/[^/]*$", 1).alias("file"), "query_num", "query_header", "result_num", "score", "ref_id")
+
+
+QUERY_FOLDER = f"""
+SELECT CASE WHEN query_num < 1000 THEN 'nation' ELSE 'region' END AS file, query_num % 1000 AS query_num, query_header, result_num, score, ref_id FROM (WITH RECURSIVE {oracle.hits(SearchConfig(top=2), f'''
+  SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS query_num, n_name AS header, {oracle.letters("n_name")} AS sequence FROM nation
+  UNION ALL SELECT 999 + row_number() OVER (ORDER BY r_regionkey), r_name, {oracle.letters("r_name")} FROM region''')} SELECT * FROM hits)"""
+
+
+def ids_of_files(spark, sf_dir):
+    """One database of two files, parts and nations, whose records have the same positions and often the same length."""
+    p = records(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("file", F.lit("part"))
+    n = records(spark, sf_dir, "nation", "n_nationkey", "n_name").withColumn("file", F.lit("nation"))
+    return database.subjects(p.unionByName(n)).select("ref_id", "length", "header", aa_decode("residues").alias("sequence"))
+
+
+IDS_OF_FILES = f"""
+SELECT (row_number() OVER (ORDER BY length(s), file, k) - 1)::INTEGER AS ref_id, length(s)::INTEGER AS length, k::VARCHAR AS header, regexp_replace(s, '[^{residues.ALPHABET}]', '-', 'g') AS sequence
+FROM (SELECT 'part' AS file, p_partkey::BIGINT AS k, {oracle.letters('p_name')} AS s FROM part UNION ALL SELECT 'nation', n_nationkey::BIGINT, {oracle.letters('n_name')} FROM nation)"""
+
+
+def best_from_sql(spark, sf_dir):
+    """The best of a whole table by the SQL functions alone."""
+    registry.register(spark)
+    # SQL knows tables by name; one for each call.
+    view = f"subjects_{uuid.uuid4().hex}"
+    part_db(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT * FROM align_best(TABLE(SELECT * FROM align_topk(TABLE(SELECT ref_id, residues FROM {view}), 'HREDWIDGET', 10)), 10)")
+
+
+def talked(spark, sf_dir):
+    """A dialogue in which a sequence goes on over several lines, answered in plain lines."""
+    talk = Dialogue(Session(part_db(spark, sf_dir)), tsv=False)
+    for line in ("s HRED", "WID", "GET"):
+        talk.take(line)
+    return talk.take("").lines.select("line")
+
+
 def tsv(spark, sf_dir):
     return sinks.tsv_lines(name_hits(spark, sf_dir)).select("line")
 
@@ -190,6 +236,34 @@ def fastq(spark, sf_dir):
     return parsed(files).select(F.col("file").cast("long").alias("p_partkey"), "header", "sequence", "quality")
 
 
+def content_told(spark, sf_dir):
+    """Documents as gzip files that are not called so and parts as plain files that are, of a size that is not read whole."""
+    place = new_place(spark)
+    d = documents(spark, sf_dir).select(F.concat(F.lit(">d"), "header", F.lit("\n"), F.regexp_replace("sequence", "(.{70})", "$1\n")))
+    d.repartition(3).write.option("compression", "gzip").text(f"{place}/documents")
+    p = records(spark, sf_dir, "part", "p_partkey", "p_name").select(F.concat(F.lit("@p"), "header", F.lit("\n"), "sequence", F.lit("\n+\n"), F.translate("sequence", "ABC", "@>+")))
+    p.repartition(3).write.text(f"{place}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder, suffix in (("documents", ".fa"), ("parts", ".gz")):
+        for n, found in enumerate(files.globStatus(path(f"{place}/{folder}/part-*"))):
+            files.rename(found.getPath(), path(f"{place}/{folder}/{n}{suffix}"))
+    got = read_sequences(spark, f"{place}/documents/*.fa", f"{place}/parts/*.gz", large=1 << 10)
+    return got.select("header", F.md5("sequence").alias("letters_md5"), F.md5("quality").alias("quality_md5"))
+
+
+CONTENT_TOLD = f"""
+SELECT 'd' || doc_id AS header, md5({oracle.letters('text')}) AS letters_md5, NULL::VARCHAR AS quality_md5 FROM documents
+UNION ALL SELECT 'p' || p_partkey, md5(s), md5(translate(s, 'ABC', '@>+')) FROM (SELECT p_partkey, {oracle.letters('p_name')} AS s FROM part)"""
+
+
+def mates_of_folders(spark, sf_dir):
+    """Names and types of parts, each in two files; files are mates in order of their names."""
+    p = read(spark, sf_dir, "part")
+    side = lambda column: p.select(F.concat(F.lit(f"{column}/"), F.col("p_partkey") % 2).alias("file"), F.col("p_partkey").cast("long").alias("ordinal"), F.col(column).alias("header"), letters(F.col(column)).alias("sequence"), F.lit(None).cast("string").alias("quality"))
+    return pairs(side("p_name"), side("p_type")).select("file_idx", "pair", "header_1", "sequence_1", "header_2", "sequence_2")
+
+
 def mates(spark, sf_dir):
     """Neighbouring parts, in order of their keys, as pairs of one file."""
     p = read(spark, sf_dir, "part").select(F.lit("parts").alias("file"), F.col("p_partkey").cast("long").alias("ordinal"), F.col("p_name").alias("header"), letters(F.col("p_name")).alias("sequence"), F.lit(None).cast("string").alias("quality"))
@@ -253,12 +327,7 @@ def streamed(spark, sf_dir):
     place = new_place(spark)
     lines = nations(spark, sf_dir).orderBy("query_num").select(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence"))
     lines.coalesce(1).write.text(f"{place}/in")
-    db = part_db(spark, sf_dir).persist()
-
-    def keep(hits: DataFrame, number: int) -> None:
-        hits.write.mode("append").parquet(f"{place}/hits")
-
-    stream_search(spark, f"{place}/in", db, keep, f"{place}/state").awaitTermination()
+    stream_search(spark, f"{place}/in", part_db(spark, sf_dir), in_batches(f"{place}/hits"), f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/hits").select("file_query_num", "query_header", "result_num", "score", "ref_id")
 
 
@@ -276,6 +345,12 @@ def names_in_documents(spark, sf_dir):
     return search(nations(spark, sf_dir), document_db(spark, sf_dir)).hits()
 
 
+def twentieth_names(spark, sf_dir):
+    """Every nation whose number is divisible by 20 against all documents."""
+    return search(nations(spark, sf_dir).where("query_num % 20 = 0"), document_db(spark, sf_dir)).hits()
+
+
+TWENTIETH_NAMES = f"WITH RECURSIVE {oracle.hits_by_rows(SearchConfig(), oracle.QUERIES_SQL + ' WHERE n_nationkey % 20 = 0', oracle.db('documents', 'doc_id', 'text'))} SELECT * FROM hits"
 DOCS = oracle.db("documents", "doc_id", "text")
 HITS = "query_num, query_length, query_header, result_num, score, reference_length, reference_header, ref_id"
 DIAGONAL = " + ".join(f"{int(residues.matrix('blosum62')[i, i])} * (length(s) - length(replace(s, '{c}', '')))" for i, c in enumerate(residues.ALPHABET + "-"))
@@ -319,6 +394,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "search_run_totals": (run_totals, f"SELECT (SELECT sum(length({oracle.letters('n_name')})) FROM nation)::BIGINT * (SELECT sum(length({oracle.letters('p_name')})) FROM part)::BIGINT AS cells, 0::BIGINT AS num_overflows"),
     "stream_search": (streamed, f"WITH RECURSIVE {oracle.hits(SearchConfig(), oracle.QUERIES_SQL.replace('n_nationkey::BIGINT AS query_num', 'row_number() OVER (ORDER BY n_nationkey) - 1 AS query_num'))} SELECT query_num AS file_query_num, query_header, result_num, score, ref_id FROM hits"),
     "interactive_search": (interactive, f"WITH RECURSIVE {oracle.hits(SearchConfig(), '''SELECT -1::BIGINT AS query_num, '-' AS header, 'HREDWIDGET' AS sequence''')} SELECT {HITS} FROM hits"),
+    "query_folder_search": (query_folder, QUERY_FOLDER),
+    "ids_of_several_files": (ids_of_files, IDS_OF_FILES),
+    "align_best_sql": (best_from_sql, f"WITH RECURSIVE {oracle.hits(SearchConfig(), '''SELECT -1::BIGINT AS query_num, '-' AS header, 'HREDWIDGET' AS sequence''')} SELECT ref_id, score, result_num FROM hits"),
+    "dialogue_plain_lines": (talked, f"WITH RECURSIVE {oracle.hits(SearchConfig(), '''SELECT -1::BIGINT AS query_num, '-' AS header, 'HREDWIDGET' AS sequence''')} SELECT format('Result {{}}. Score: {{}}. Length: {{}}. Header {{}}. referenceId {{}}', result_num, score, reference_length, reference_header, ref_id) AS line FROM hits"),
+    "content_told_scan": (content_told, CONTENT_TOLD),
+    "mate_folders_scan": (mates_of_folders, f"SELECT p_partkey % 2 AS file_idx, p_partkey::BIGINT AS pair, p_name AS header_1, {oracle.letters('p_name')} AS sequence_1, p_type AS header_2, {oracle.letters('p_type')} AS sequence_2 FROM part"),
+    "twentieth_names_in_documents": (twentieth_names, TWENTIETH_NAMES),
     "names_in_documents": (names_in_documents, None),
     "benchmark_in_documents": (benchmark_in_documents, None),
 }

@@ -69,3 +69,31 @@ ranked AS (
          (row_number() OVER (PARTITION BY query_num ORDER BY score DESC, ref_id) - 1)::INTEGER AS result_num
   FROM queries CROSS JOIN db JOIN scores ON q = queries.sequence AND s = db.sequence),
 hits AS (SELECT query_num, query_length, query_header, result_num, score, reference_length, reference_header, ref_id FROM ranked WHERE result_num < {config.top})"""
+
+
+def hits_by_rows(config: SearchConfig, queries: str, subjects: str) -> str:
+    """`hits` as above, for few short queries and long subjects: a step for each query residue, all positions at once.
+
+    Gaps along a subject are a running maximum, which needs that opening a gap costs no less than extending one.
+    """
+    gop, gex = config.gaps
+    left = "PARTITION BY query_num, ref_id ORDER BY j"
+    scored = f"coalesce(lag(h) OVER ({left}), 0) + ({matrix_list(config.matrix)})[21 * qc + sc + 1]"
+    return f"""
+queries AS ({queries}),
+db AS ({subjects}),
+letters AS (SELECT ref_id, j, {code("substr(sequence, j::INTEGER, 1)")} AS sc FROM (SELECT ref_id, sequence, unnest(range(1, length(sequence) + 1)) AS j FROM db)),
+asked AS (SELECT query_num, i, {code("substr(sequence, i::INTEGER, 1)")} AS qc FROM (SELECT query_num, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM queries)),
+rows AS (
+  SELECT query_num, ref_id, j, sc, 0::BIGINT AS i, 0 AS h, -10000 AS f, 0 AS best FROM letters, queries
+  UNION ALL
+  SELECT query_num, ref_id, j, sc, i, h, f, greatest(best, h) FROM (
+    SELECT *, greatest(t, coalesce(max(t - {gex} * j) OVER (PARTITION BY query_num, ref_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gop - gex} + {gex} * j, -10000))::INTEGER AS h FROM (
+      SELECT query_num, ref_id, j, sc, i, best, greatest(f + {gex}, h + {gop}) AS f, greatest(0, f + {gex}, h + {gop}, {scored}) AS t
+      FROM (SELECT rows.query_num, rows.ref_id, j, sc, asked.i, h, f, best, qc FROM rows JOIN asked ON asked.query_num = rows.query_num AND asked.i = rows.i + 1)))),
+scores AS (SELECT query_num, ref_id, max(best)::INTEGER AS score FROM rows GROUP BY ALL),
+ranked AS (
+  SELECT query_num, length(queries.sequence)::INTEGER AS query_length, queries.header AS query_header, coalesce(score, 0) AS score, db.length AS reference_length, db.header AS reference_header, ref_id,
+         (row_number() OVER (PARTITION BY query_num ORDER BY coalesce(score, 0) DESC, ref_id) - 1)::INTEGER AS result_num
+  FROM queries CROSS JOIN db LEFT JOIN scores USING (query_num, ref_id)),
+hits AS (SELECT query_num, query_length, query_header, result_num, score, reference_length, reference_header, ref_id FROM ranked WHERE result_num < {config.top})"""

@@ -322,3 +322,15 @@ def test_dialogue(spark, tmp_path):
     assert talk(True, f"f {tmp_path}/q.fa")[0][0][1] == ["-1\t10\t-\t0\t17\t7\tp\t0", "-1\t2\t-\t0\t22\t9\tww\t1"]
     got, over = talk(True, "", "s", "f ", "what now", "f /nowhere.fa")
     assert [a[0][0][:12] for a in got] == ["Missing argu", "Missing argu", "Unrecognized", "Error: [PATH"] and not over
+
+
+def test_best_of_a_whole_table_from_sql(spark):
+    registry.register(spark)
+    sequences = [TWO[0], TWO[1], "", "WW", TWO[0][:60], TWO[0][5:]]
+    db = database.subjects(spark.createDataFrame([(i, "h", s) for i, s in enumerate(sequences)], "ordinal long, header string, sequence string"))
+    db.repartition(4).createOrReplaceTempView("many")
+    asked = spark.createDataFrame([(0, "q", TWO[0])], "query_num long, header string, sequence string")
+    for top, rule, config in ((3, "", SearchConfig(top=3)), (9, ", 'blosum45', -5, -2", SearchConfig(top=9, matrix="blosum45", gop=-5, gex=-2)), (0, "", SearchConfig(top=0))):
+        got = spark.sql(f"SELECT * FROM align_best(TABLE(SELECT * FROM align_topk(TABLE(SELECT ref_id, residues FROM many), '{TWO[0]}', {top}{rule})), {top})").collect()
+        want = search.search(asked, db, config).top_scores().collect()
+        assert sorted((r.result_num, r.score, r.ref_id) for r in got) == sorted((r.result_num, r.score, r.ref_id) for r in want)
