@@ -3,8 +3,8 @@
 The weight of a source is its token share to the power of an exponent, normalised. The exponent is bisected on [0, 1]:
 for the largest one whose weights still have the target entropy, then, if some source would be repeated more often than
 allowed, for the least one that keeps to the limit. The mixture is realised within a token budget: a source gives whole
-epochs of its documents, then the beginning of one more epoch's permutation, and the schedule's blocks take each
-source's documents in proportion, permuted within the block.
+epochs of its documents, each in an order of its own, then those of one more epoch that fit into what is left, first come
+first served, and the schedule's blocks take each source's documents in proportion, permuted within the block.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def order_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(SEED)), *parts))
 
 
-def running_tokens(docs: DataFrame, by: str, key: str, n_buckets: Column) -> DataFrame:
+def running_tokens(docs: DataFrame, by: list[str], key: str, n_buckets: Column) -> DataFrame:
     """`docs` with before: the tokens ahead of a row within its group in order of `key` (32 hex digits).
 
     Groups are cut into buckets by the key's first digits; sums over buckets are added to sums within one, so that no
@@ -95,21 +95,35 @@ def running_tokens(docs: DataFrame, by: str, key: str, n_buckets: Column) -> Dat
     """
     at = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     cutted = docs.withColumn("bucket", F.floor(at * n_buckets / F.lit(float(1 << 32))).cast("long"))
-    sums = cutted.groupBy(by, "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
-    ahead = sums.select(by, "bucket", (F.sum("bucket_tokens").over(Window.partitionBy(by).orderBy("bucket")) - F.col("bucket_tokens")).alias("ahead"))
-    within = Window.partitionBy(by, "bucket").orderBy(key, "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    sums = cutted.groupBy(*by, "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
+    ahead = sums.select(*by, "bucket", (F.sum("bucket_tokens").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("bucket_tokens")).alias("ahead"))
+    within = Window.partitionBy(*by, "bucket").orderBy(key, "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     summed = cutted.withColumn("upto", F.sum("tokens").over(within))
-    return summed.join(ahead, [by, "bucket"]).withColumn("before", F.col("ahead") + F.col("upto") - F.col("tokens")).drop("bucket", "upto", "ahead")
+    return summed.join(ahead, [*by, "bucket"]).withColumn("before", F.col("ahead") + F.col("upto") - F.col("tokens")).drop("bucket", "upto", "ahead")
 
 
-def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: float = REPETITIONS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """`docs` (doc_id, text, source) -> (doc_id, source, tokens, copy, block, place): the realised schedule.
+def first_fit(rows: DataFrame) -> DataFrame:
+    """`rows` (source, tokens, key, rest, n_buckets, ...): those that fit when a source's rows come in order of `key` and each is
+    taken if it has no more tokens than are left of `rest`.
 
-    budget: tokens of the mixture, by default as many as there are. A document takes part once for each whole epoch of
-    its source and once more if it comes before the source's quota is used up; `copy` counts its occurrences from 0.
-    Documents without words weigh nothing and stay out; rows without doc_id take part by their text. Repeated rows take
-    part each. `place` is the position within the block.
+    All rows up to the first that does not fit are taken at once; of those after it only the ones that are no larger than
+    what is left then can ever fit, and with them it goes on. What is left falls below the first one's size each time.
     """
+    taken = None
+    while True:
+        placed = cut(running_tokens(rows, ["source"], "key", F.col("n_buckets")).withColumn("fits", F.col("before") + F.col("tokens") <= F.col("rest")).drop("before"))
+        fitting = placed.where("fits").drop("fits")
+        taken = fitting if taken is None else taken.unionByName(fitting)
+        given = fitting.groupBy("source").agg(F.sum("tokens").alias("given"))
+        given = small_or_not(given, 100_000)
+        left = placed.where("not fits").drop("fits").join(given, "source", "left").withColumn("rest", F.col("rest") - F.coalesce("given", F.lit(0))).drop("given")
+        rows = cut(left.where("tokens <= rest"))
+        if rows.isEmpty():
+            return taken
+
+
+def schedule(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: float = REPETITIONS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """`mix`, and `name`: the digest of the text of rows without doc_id."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("tokens"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).otherwise("").alias("name"))
     rows = cut(rows.where("tokens > 0"))
     sources = cut(source_tokens(rows))
@@ -119,33 +133,45 @@ def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: floa
     quota = F.floor(F.col("weight") * F.lit(float(budget))).cast("long")
     plan = weighed.select("source", F.col("tokens").alias("source_tokens"), "documents", quota.alias("quota"), F.floor(quota / F.col("tokens")).cast("long").alias("epochs"))
     plan = small_or_not(cut(plan), 100_000)
-    planned = rows.join(plan, "source")
-    keyed = planned.withColumn("key", order_key(F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.col("name"))))
-    placed = running_tokens(keyed, "source", "key", F.ceil(F.col("documents") / BUCKET_DOCUMENTS))
-    rest = F.col("quota") - F.col("epochs") * F.col("source_tokens")
-    once_more = (F.col("before") + F.col("tokens") <= rest).cast("long")
-    times = placed.withColumn("times", F.col("epochs") + once_more).where("times > 0")
-    copies = times.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    planned = rows.join(plan, "source").withColumn("n_buckets", F.ceil(F.col("documents") / BUCKET_DOCUMENTS)).drop("documents")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col("name"))
+    keyed = lambda df: df.withColumn("key", order_key(F.col("copy").cast("string"), name))
+    whole = keyed(planned.where("epochs > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))))
+    partial = keyed(planned.withColumn("copy", F.col("epochs"))).withColumn("rest", F.col("quota") - F.col("epochs") * F.col("source_tokens"))
+    copies = running_tokens(whole.unionByName(first_fit(partial.where("tokens <= rest")).drop("rest")), ["source", "copy"], "key", F.col("n_buckets"))
     n_blocks = max(1, -(-budget // block_tokens))
     # Epochs follow each other in the schedule; a place in the source's quota is a place in the schedule.
     done = F.col("copy") * F.col("source_tokens") + F.col("before")
     block = F.least(F.floor(done * n_blocks / F.col("quota")), F.lit(n_blocks - 1)).cast("long")
-    blocked = copies.withColumn("block", block).withColumn("shuffled", order_key(F.col("block").cast("string"), F.col("copy").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.col("name"))))
+    blocked = copies.withColumn("block", block).withColumn("shuffled", order_key(F.col("block").cast("string"), F.col("copy").cast("string"), name))
     place = F.row_number().over(Window.partitionBy("block").orderBy("shuffled", "doc_id", "tokens", "copy")) - 1
-    return blocked.withColumn("place", place.cast("long")).select("doc_id", "source", "tokens", "copy", "block", "place")
+    return blocked.withColumn("place", place.cast("long")).select("doc_id", "name", "source", "tokens", "copy", "block", "place")
+
+
+def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: float = REPETITIONS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """`docs` (doc_id, text, source) -> (doc_id, source, tokens, copy, block, place): the realised schedule.
+
+    budget: tokens of the mixture, by default as many as there are. A document takes part once for each whole epoch of
+    its source and once more if it is among those of one more epoch that fit into the rest of the quota (`first_fit`): what
+    a source falls short of its quota is less than the least of its documents that stay out of that epoch. `copy` counts a
+    document's epochs from 0; each epoch has an order of its own. Documents without words weigh nothing and stay out; rows
+    without doc_id take part by their text. Repeated rows take part each. `place` is the position within the block. Texts
+    of any length count whole; other columns are not looked at; an empty table gives no rows.
+    """
+    return schedule(docs, entropy_share, repetitions, budget, block_tokens).drop("name")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """`docs` in the mixture: each row as often as it occurs there, columns as they are; rows without words stay out.
 
-    The schedule's order is not kept, as a table has none. Rows that share a doc_id are repeated alike; rows without one
-    stay once, as they can't be told apart.
+    The schedule's order is not kept, as a table has none. Rows that share a doc_id are repeated alike, as are rows without
+    one that share their text. Texts go along whole whatever their length; an empty table stays empty.
     """
-    times = mix(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("c"))
-    times = cut(times.select(F.col("doc_id").alias("__id"), F.least(F.col("n"), F.col("c") + 1).cast("int").alias("__n")))
-    right = small_or_not(times.where("__id is not null"), 500_000)
-    found = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id")).join(right, "__id", "left")
-    found = found.withColumn("__n", F.coalesce("__n", F.when(F.col("__id").isNull(), 1).otherwise(0))).where("__n > 0")
+    own = F.coalesce(F.concat(F.lit("#"), F.col("doc_id").cast("string")), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))))
+    name = F.when(F.col("doc_id").isNull(), F.col("name")).otherwise(F.concat(F.lit("#"), F.col("doc_id").cast("string")))
+    times = schedule(docs).groupBy(name.alias("__id")).agg(F.count("*").alias("n"), F.countDistinct("copy").alias("c"))
+    right = small_or_not(cut(times.select("__id", F.least("n", "c").cast("int").alias("__n"))), 500_000)
+    found = docs.select(F.struct("*").alias("__row"), own.alias("__id")).join(right, "__id")
     return found.select("__row", F.explode(F.sequence(F.lit(1), "__n"))).select("__row.*")
 
 
@@ -174,9 +200,14 @@ first AS (SELECT CASE WHEN n < 2 OR {entropy("1.0::DOUBLE")} >= target THEN 1.0
 chosen AS (SELECT CASE WHEN {most("a")} <= {REPETITIONS} THEN a WHEN {most("1.0::DOUBLE")} <= {REPETITIONS} THEN greatest(a, (SELECT high FROM limits WHERE k = {LEVELS * PASSES})) ELSE 1.0 END AS a FROM first),
 weighed AS (SELECT source, tokens, round(pow(tokens::DOUBLE, a) / sum(pow(tokens::DOUBLE, a)) OVER (), 9) AS weight FROM sources, chosen),
 plan AS (SELECT source, tokens AS source_tokens, floor(weight * total::DOUBLE)::BIGINT AS quota, floor(weight * total::DOUBLE)::BIGINT // tokens AS epochs, total, greatest(1, (total + {BLOCK_TOKENS - 1}) // {BLOCK_TOKENS}) AS n_blocks FROM weighed, known),
-placed AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, tokens ROWS UNBOUNDED PRECEDING)::BIGINT - tokens AS before
-  FROM (SELECT *, md5('{SEED}:' || epochs || ':' || {name}) AS key FROM docs JOIN plan USING (source))),
-copies AS (SELECT *, unnest(range(epochs + CASE WHEN before + tokens <= quota - epochs * source_tokens THEN 1 ELSE 0 END)) AS copy FROM placed),
+keyed AS (SELECT *, md5('{SEED}:' || copy || ':' || {name}) AS key FROM (SELECT *, unnest(range(epochs + 1)) AS copy FROM docs JOIN plan USING (source))),
+queued AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, tokens) AS n FROM keyed WHERE copy = epochs),
+fitted AS (
+  SELECT source, n, tokens <= rest AS taken, rest - CASE WHEN tokens <= rest THEN tokens ELSE 0 END AS rest FROM (SELECT source, n, tokens, quota - epochs * source_tokens AS rest FROM queued WHERE n = 1)
+  UNION ALL
+  SELECT q.source, q.n, q.tokens <= f.rest, f.rest - CASE WHEN q.tokens <= f.rest THEN q.tokens ELSE 0 END FROM fitted f JOIN queued q ON q.source = f.source AND q.n = f.n + 1),
+chosen_copies AS (SELECT * FROM keyed WHERE copy < epochs UNION ALL SELECT queued.* EXCLUDE (n) FROM queued JOIN fitted USING (source, n) WHERE taken),
+copies AS (SELECT *, sum(tokens) OVER (PARTITION BY source, copy ORDER BY key, doc_id NULLS FIRST, tokens ROWS UNBOUNDED PRECEDING)::BIGINT - tokens AS before FROM chosen_copies),
 blocked AS (SELECT *, least(floor((copy * source_tokens + before) * n_blocks / quota), n_blocks - 1)::BIGINT AS block FROM copies)
 SELECT doc_id, source, tokens, copy, block,
   row_number() OVER (PARTITION BY block ORDER BY md5('{SEED}:' || block || ':' || copy || ':' || {name}), doc_id NULLS FIRST, tokens, copy) - 1 AS place

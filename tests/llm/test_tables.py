@@ -57,8 +57,9 @@ def test_mixture_equals_plain_version(spark, monkeypatch, share, repetitions):
         order = sorted((hashlib.md5(f"{mixing.SEED}:{epochs}:{i if i is not None else x}".encode()).hexdigest(), n, i) for i, n, t, x in worded if t == s)
         left = quota - epochs * tokens[s]
         for _, n, i in order:
-            left -= n
-            want[s, i, n] += epochs + (left >= 0)
+            fits = n <= left
+            left -= n * fits
+            want[s, i, n] += epochs + fits
     got = Counter((r.source, r.doc_id, r.tokens) for r in mixture)
     assert got == +want
     assert sum(r.tokens for r in mixture) <= budget
@@ -170,3 +171,25 @@ def test_no_turn_is_forged(spark):
         whole = "".join(r.chunk for r in own)
         assert whole.count("<|im_start|>") == whole.count("<|im_end|>") == 3 and all(whole[r.start : r.end] == r.chunk for r in own)
         assert whole.count("<|im_start|>assistant\n") == 1
+
+
+def test_quotas_are_filled_and_epochs_have_orders_of_their_own(spark):
+    docs = [(0, "w " * 900, "few")] + [(i, "w " * (1 + i % 9), "few") for i in range(1, 200)] + [(1000 + i, "v " * 40, "many") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix(df, entropy_share=1.0, repetitions=9.0, budget=17_000, block_tokens=1000).collect()
+    size = {i: len(t.split()) for i, t, _ in docs}
+    for s, own in (("few", [d for d in docs if d[2] == "few"]), ("many", [d for d in docs if d[2] == "many"])):
+        mine = [r for r in got if r.source == s]
+        last = max(r.copy for r in mine)
+        out = [size[i] for i, *_ in own if i not in {r.doc_id for r in mine if r.copy == last}]
+        assert 0 <= 8500 - sum(r.tokens for r in mine) < min(out)
+    orders = [[r.doc_id for r in sorted((r for r in got if r.source == "few" and r.copy == c), key=lambda r: (r.block, r.place))] for c in (0, 1)]
+    assert sorted(orders[0]) == sorted(orders[1]) and orders[0] != orders[1]
+
+
+def test_rows_without_id_have_their_copies(spark):
+    rows = [(None, f"only this {'word ' * 30}{i}", "small") for i in range(3)] + [(i, "plenty of words here " * 20, "large") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    schedule = Counter(r.name for r in mixing.schedule(df).where("doc_id is null").collect())
+    got = Counter(hashlib.md5(r.text.encode()).hexdigest() for r in mixing.mixed(df).where("doc_id is null").collect())
+    assert got == schedule and max(got.values()) > 1
