@@ -87,8 +87,11 @@ def buckets(spark, sf_dir):
 
 
 def matrices(spark, sf_dir):
+    """Scores of all pairs of the residues that documents hold, by each matrix."""
     rows = [(m, a, b, int(residues.matrix(m)[a, b])) for m in sorted(residues.LOWER_TRIANGLES) for a in range(21) for b in range(21)]
-    return spark.createDataFrame(rows, "matrix string, a int, b int, score int")
+    held = F.broadcast(composition(spark, sf_dir).where("n > 0").select("code"))  # 21 at most
+    table = spark.createDataFrame(rows, "matrix string, a int, b int, score int")
+    return table.join(held.withColumnRenamed("code", "a"), "a", "left_semi").join(held.withColumnRenamed("code", "b"), "b", "left_semi").select("matrix", "a", "b", "score")
 
 
 def self_scores(spark, sf_dir):
@@ -368,7 +371,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "padded_offsets": (lambda s, d: database.residue_offsets(document_db(s, d)), f"SELECT ref_id, (sum((length + 3) // 4 * 4) OVER (ORDER BY ref_id) - (length + 3) // 4 * 4)::BIGINT AS start FROM ({DOCS})"),
     "lengths_as_bigint": (lambda s, d: database.lengths_as(document_db(s, d), "bigint"), f"SELECT ref_id, length::BIGINT AS length FROM ({DOCS})"),
     "recode_database": (recoded, f"SELECT ref_id, md5(repeat('14', length)) AS codes_md5 FROM ({DOCS})"),
-    "matrix_table": (matrices, " UNION ALL ".join(f"SELECT '{m}' AS matrix, (k // 21)::INTEGER AS a, (k % 21)::INTEGER AS b, ({oracle.matrix_list(m)})[k + 1]::INTEGER AS score FROM (SELECT unnest(range(441)) AS k)" for m in sorted(residues.LOWER_TRIANGLES))),
+    "matrix_table": (matrices, f"WITH held AS (SELECT unnest(range(21)) AS code, unnest([{', '.join(f'''bool_or(contains(s, '{c}'))''' for c in residues.ALPHABET + '-')}]) AS there FROM (SELECT {KNOWN} AS s FROM documents)), tables AS (" + " UNION ALL ".join(f"SELECT '{m}' AS matrix, (k // 21)::INTEGER AS a, (k % 21)::INTEGER AS b, ({oracle.matrix_list(m)})[k + 1]::INTEGER AS score FROM (SELECT unnest(range(441)) AS k)" for m in sorted(residues.LOWER_TRIANGLES)) + ") SELECT * FROM tables WHERE a IN (SELECT code FROM held WHERE there) AND b IN (SELECT code FROM held WHERE there)"),
     "ungapped_self_score": (self_scores, f"SELECT doc_id, ({DIAGONAL})::BIGINT AS self_score FROM (SELECT doc_id, {KNOWN} AS s FROM documents)"),
     **{f"sw_score_{m}": (lambda s, d, m=m: part_pairs(s, d, SearchConfig(matrix=m)), pair_sql(SearchConfig(matrix=m))) for m in sorted(residues.LOWER_TRIANGLES)},
     "sw_custom_gaps": (lambda s, d: part_pairs(s, d, CUSTOM), pair_sql(CUSTOM)),
