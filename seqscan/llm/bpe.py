@@ -326,7 +326,11 @@ def parameters(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`docs` (doc_id, text) -> (doc_id, token_ids array<int>). Null or empty text: no ids. One row for each row."""
+    """`docs` (doc_id, text) -> (doc_id, token_ids array<int>). Null or empty text: no ids. One row for each row.
+
+    Repeated rows are encoded alike, other columns left out; a text of any length is worked off in chunks, its ids are one
+    cell. An empty table gives an empty result.
+    """
     import pyarrow as pa
 
     at = parameters(vocabulary, pattern)
@@ -342,7 +346,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
 
 
 def decode(tokens: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, token_ids) -> (doc_id, decoded binary). Null or no ids: no bytes."""
+    """(doc_id, token_ids) -> (doc_id, decoded binary). Null or no ids: no bytes.
+
+    Row for row, repeated ones too; long lists are decoded IDS at a time; an empty table gives an empty result.
+    """
     import pyarrow as pa
 
     at = parameters(vocabulary, pattern)

@@ -30,6 +30,8 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
     rows are turns of their own. Marks in what is said, or in a speaker's name, are parted (`<|` becomes `< |`) and line ends
     in a name become blanks, so that nobody's words pass for another's turn. A conversation in which only the system speaks has no participant and no rows.
 
+    Other columns are not looked at; texts may be of any length; an empty table gives no rows.
+
     Places and offsets need lengths only; texts are shuffled once, each different row's, and joined at the end.
     """
     speaker, text = F.coalesce("role", F.lit("unknown")), unmarked(F.coalesce("text", F.lit("")))

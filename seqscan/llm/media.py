@@ -293,7 +293,8 @@ def sniff(media: DataFrame) -> DataFrame:
     """`media` (media_id, declared, content binary) -> rows of SNIFFED, row for row.
 
     A declared type of a known format that the bytes don't bear out becomes unknown; one of no known format stays. Null
-    content is empty: nothing is found in it. To carve, take `substring(content, offset + 1, length)`.
+    content is empty: nothing is found in it. Repeated rows are told alike, other columns left out; a cell of any length is
+    gone through once, and no walk goes twice where one has failed. An empty table gives an empty result. To carve, take `substring(content, offset + 1, length)`.
     """
     import pyarrow as pa
 
@@ -359,7 +360,8 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def op6(docs: DataFrame) -> DataFrame:
     """Texts stored as sound under a wrong declared type, sniffed, read back from where the sound was found, measured.
 
-    Row for row; repeated rows give the same values, an empty table an empty result; other columns are not looked at. A
+    Null text is an empty one, stored as padding alone. Row for row; repeated rows give the same values, an empty table an
+    empty result; other columns are not looked at. A
     text takes a few times its own length in memory, and time in proportion to it.
     """
     import pyarrow as pa

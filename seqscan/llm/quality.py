@@ -94,6 +94,8 @@ def assess(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE
     """`docs` (doc_id, text, source, ...) -> (row struct of all columns, the measures, kept, clean_text), row for row.
 
     Null text has no words and fails; a null source is a host of its own; repeated rows are judged alike, as one document;
+    a text of any length is judged whole, its work growing with its words and lines (and the logarithm of its host's
+    boilerplate);
     an empty table gives an empty result; other columns go along in `row`, whatever their names.
     """
     bad = cut(boilerplate(docs, documents, share))
