@@ -288,3 +288,40 @@ def op12(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return find(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), *[count(k) for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def oracle() -> str:
+    """`op12` in DuckDB, from the expressions as they are stated."""
+    forms = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and(list_transform(string_split(said, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) <= 255))"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", "length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i::INTEGER, 1)::INTEGER ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse(digits), i::INTEGER, 1)::INTEGER + 1] END)) % 10 = 0"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15"),
+    )
+    word = r"[\p{L}\p{N}_]+"
+    at = lambda p, rest: f"SELECT n, {rest}, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS whole FROM texts"
+    placed = "(list_sum(list_transform(gaps[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:k - 1], lambda x: length(x))), 0))::BIGINT AS start, whole[k] AS said"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+texts AS (SELECT row_number() OVER () AS n, t FROM (SELECT DISTINCT t FROM docs)),
+matches AS (SELECT n, rank, kind, {placed} FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM ({" UNION ALL ".join(at(p, f"{i} AS rank, '{k}' AS kind") for i, (k, p, _) in enumerate(forms))}))),
+spans AS (SELECT *, start + length(said) AS stop FROM (SELECT *, regexp_replace(said, '[^0-9]', '', 'g') AS digits FROM matches) WHERE CASE kind {" ".join(f"WHEN '{k}' THEN {fits}" for k, _, fits in forms)} END),
+entities AS (SELECT DISTINCT n, kind || ':' || CASE WHEN kind IN ('email', 'ip') THEN lower(said) ELSE digits END AS entity FROM spans),
+words AS (SELECT n, start, start + length(said) AS stop, lower(said) AS term FROM (SELECT n, {placed} FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM ({at(word, "0 AS rank")})))),
+clear AS (SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.n = w.n AND s.start < w.stop AND w.start < s.stop)),
+terms AS (SELECT DISTINCT n, term FROM clear),
+n_t AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term),
+n_e AS (SELECT entity, count(*) AS n_e FROM entities GROUP BY entity),
+pairs AS (SELECT entity, term, count(*) AS n_te FROM entities JOIN terms USING (n) GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+judged AS (SELECT term, max(10 * n_te >= {REMOVE} * n_t) AS gone FROM pairs JOIN n_t USING (term) JOIN n_e USING (entity)
+           WHERE n_te::DOUBLE * n_te * (SELECT count(*) FROM texts) >= n_e::DOUBLE * n_t * n_t AND 10 * n_te >= {GENERALISE} * n_t GROUP BY term),
+added AS (SELECT n, CASE WHEN gone THEN '{ADDED[0]}' ELSE '{ADDED[1]}' END AS kind, start, stop FROM clear JOIN judged USING (term)),
+every AS (SELECT n, rank, kind, start, stop FROM spans UNION ALL SELECT n, CASE WHEN kind = '{ADDED[0]}' THEN 4 ELSE 5 END, kind, start, stop FROM added),
+told AS (SELECT n, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) FILTER (rank < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) AS spans FROM every GROUP BY n)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs JOIN texts USING (t) LEFT JOIN told USING (n)
+"""
+
+
+ORACLE = oracle()

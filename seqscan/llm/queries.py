@@ -41,5 +41,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": substring.ORACLE,
         "op10_license_scans": licenses.oracle(),
         "op11_phrase_collocations": collocations.ORACLE,
+        "op12_pii_sanitisation": disclosure.ORACLE,
         "op13_conversation_repair": repair.ORACLE,
     }

@@ -6,6 +6,7 @@ import re
 import time
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from seqscan.llm import disclosure
@@ -118,3 +119,16 @@ def test_whole_table_equals_plain_version(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((tuple(x) for x in disclosure.op12(docs).collect()), key=str) == plain(rows, disclosure.SUPPORT, disclosure.REMOVE, disclosure.GENERALISE)
+
+
+def test_equals_sql(spark, sf_dir, tmp_path):
+    spark.createDataFrame(documents(3), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    for where in (f"{sf_dir}/documents.parquet", f"{tmp_path}/made/*.parquet"):
+        got = disclosure.op12(spark.read.parquet(where))
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS FROM '{where}'")
+        want = con.sql(disclosure.ORACLE)
+        assert sorted(want.columns) == sorted(got.columns)
+        rows = sorted(want.fetchall(), key=str)
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == rows
+    assert any("hinting" in str(r) for r in rows) and any("disclosing" in str(r) for r in rows)
