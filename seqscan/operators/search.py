@@ -151,8 +151,8 @@ MADE = re.compile(r"^\W*(Join|Window|Aggregate|Repartition|RebalancePartitions|M
 
 
 def kept(db: DataFrame) -> DataFrame:
-    """A database that is worked out (numbered, encoded, joined) is written once, as a search reads it several times; one
-    that is a table, or persisted, is taken as it lies."""
+    """A database (or queries) that is worked out (parsed, numbered, encoded, joined) is written once, as a search reads it
+    several times; one that is a table, or persisted, is taken as it lies."""
     level = db.storageLevel
     if level.useMemory or level.useDisk or not MADE.search(db._jdf.queryExecution().optimizedPlan().toString()):
         return db
@@ -214,9 +214,10 @@ def search(queries: DataFrame, db: DataFrame, config: SearchConfig = SearchConfi
     """`queries` ([file,] query_num, header, sequence) against `db` (ref_id, length, header, residues).
 
     Queries are told apart by their number, or by file and number where they have a `file`; others of the same are refused.
-    A database that is not at rest is written once (`kept`). Up to QUERY_BYTES of queries are told to all tasks, which read the database where it lies; more are dealt with it in
+    What is not at rest is written once (`kept`). Up to QUERY_BYTES of queries are told to all tasks, which read the database where it lies; more are dealt with it in
     cells (`scored_in_cells`). Only best candidates leave a task. Null sequences are empty and score 0.
     """
+    queries = kept(queries)
     if "file" in queries.columns:
         queries = queries.withColumn("file", F.coalesce("file", F.lit("")))
     file = F.col("file") if "file" in queries.columns else F.lit(None).cast("string").alias("file")

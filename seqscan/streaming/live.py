@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seqscan.operators.database import ORDINALS
 from seqscan.operators.search import Result, kept, search
 from seqscan.sources import sinks
 from seqscan.plans.config import SearchConfig
@@ -118,9 +119,16 @@ class Dialogue:
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """Records as queries; numbers begin at 0 in each file. `file` stays, to tell the files apart."""
-    order = Window.partitionBy("file").orderBy("ordinal")
-    return records.select("file", (F.row_number().over(order) - 1).cast("long").alias("query_num"), "header", "sequence")
+    """Records as queries; numbers begin at 0 in each file. `file` stays, to tell the files apart.
+
+    Numbers within a block of positions are added to the count of what comes before it, so that no task has all of a file.
+    """
+    blocked = records.select("file", "ordinal", "header", "sequence", F.expr(f"ordinal div {ORDINALS}").alias("block"))
+    counts = blocked.groupBy("file", "block").agg(F.count("*").alias("n"))
+    ahead = counts.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("ordinal"))
+    placed = blocked.withColumn("at", within).join(ahead, ["file", "block"])
+    return placed.select("file", (F.col("ahead") + F.col("at") - 1).cast("long").alias("query_num"), "header", "sequence")
 
 
 def several_files(records: DataFrame) -> DataFrame:

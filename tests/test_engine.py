@@ -334,3 +334,10 @@ def test_best_of_a_whole_table_from_sql(spark):
         got = spark.sql(f"SELECT * FROM align_best(TABLE(SELECT * FROM align_topk(TABLE(SELECT ref_id, residues FROM many), '{TWO[0]}', {top}{rule})), {top})").collect()
         want = search.search(asked, db, config).top_scores().collect()
         assert sorted((r.result_num, r.score, r.ref_id) for r in got) == sorted((r.result_num, r.score, r.ref_id) for r in want)
+
+
+def test_queries_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(live, "ORDINALS", 8)
+    rows = [(f, 3 * i + 5, f"{f}{i}", "A") for f in ("x", "y") for i in range(40)]
+    got = live.numbered(spark.createDataFrame(rows, "file string, ordinal long, header string, sequence string").repartition(4)).collect()
+    assert sorted((r.file, r.query_num, r.header) for r in got) == sorted((f, i, f"{f}{i}") for f in ("x", "y") for i in range(40))
