@@ -29,7 +29,7 @@ from .common import cut, slices
 #: Least frequency of a phrase, most words of one, and rows of a language in the report.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text of a block, about; of all blocks that a task fills at the same time.
-BLOCK, FILLING = 4 << 20, 16 << 20
+BLOCK, FILLING = 1 << 20, 8 << 20
 #: Frequent words or phrases that all tasks are told at most, and bytes of words.
 MOST_TOLD, MOST_BYTES = 2_000_000, 32 << 20
 #: By byte: 0 in a word, 1 between words, 2 between pieces.
@@ -40,13 +40,24 @@ STATE = "block long, at binary, which binary, ids binary, word_at binary, word_w
 ASKED = "block long, number int, parent long, word long, n long"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, as blocks lie in memory in all steps between the ones that unpack them."""
+    data = np.ascontiguousarray(numbers).tobytes()
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
 def places(numbers: np.ndarray) -> bytes:
     """Ascending positions as differences, which compress well."""
-    return np.diff(numbers, prepend=0).astype(np.int32).tobytes()
+    return packed(np.diff(numbers, prepend=0).astype(np.int32))
 
 
 def from_places(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.int32), dtype=np.int64)
+    return np.cumsum(unpacked(data, np.int32), dtype=np.int64)
 
 
 def words_of_text(data: bytes) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -78,7 +89,7 @@ def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             which = words.indices.to_numpy(zero_copy_only=False)
             listed = words.dictionary.cast(pa.large_string()).cast(pa.string())
             counts = np.bincount(which, minlength=len(listed))
-            columns = [[made], [lang], [len(at)], [places(at)], [which.astype(np.int32).tobytes()]]
+            columns = [[made], [lang], [len(at)], [places(at)], [packed(which.astype(np.int32))]]
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), v) for v in (listed, pa.array(counts, pa.int64()))]
             return pa.RecordBatch.from_arrays([*arrays, *lists], ["block", "lang", "size", "at", "which", "words", "counts"])
@@ -135,10 +146,8 @@ class Joined:
 
     @classmethod
     def read(cls, k: int, row: list[bytes]) -> Joined:
-        at, which, ids, word_at, word_which, word_ids = row
-        number = lambda b: np.frombuffer(b, np.int32)
-        long = lambda b: np.frombuffer(b, np.int64)
-        return cls(k, from_places(at), number(which), long(ids), from_places(word_at), number(word_which), long(word_ids))
+        lists = [f(b) for f, b in zip([from_places, lambda b: unpacked(b, np.int32), lambda b: unpacked(b, np.int64)] * 2, row, strict=True)]
+        return cls(k, *(lists[3:] * 2 if k == 1 else lists))
 
     def advanced(self, gids: np.ndarray) -> list[bytes]:
         """The state at k + 1: extensions with a number, and the postings that may extend them."""
@@ -147,7 +156,7 @@ class Joined:
         ids, which = np.unique(own, return_inverse=True)
         used = self.among(np.searchsorted(begins, self.word_at - self.k - 1), begins, self.word_at - self.k - 1)
         left, renamed = np.unique(self.word_which[used], return_inverse=True)
-        return [places(begins), which.astype(np.int32).tobytes(), ids.astype(np.int64).tobytes(), places(self.word_at[used]), renamed.astype(np.int32).tobytes(), self.word_ids[left].tobytes()]
+        return [places(begins), packed(which.astype(np.int32)), packed(ids.astype(np.int64)), places(self.word_at[used]), packed(renamed.astype(np.int32)), packed(self.word_ids[left])]
 
 
 def asked(state: DataFrame, k: int) -> DataFrame:
@@ -215,7 +224,7 @@ def as_array(answers: list[dict] | None, n: int) -> np.ndarray:
 
 
 def first_state(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """The blocks' postings of frequent words (lang, word, gid), which are also their phrases of one word."""
+    """The blocks' postings of frequent words (lang, word, gid); as they are also the phrases of one word, those are left empty."""
     tell = None
     n, size = words.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
     if n <= MOST_TOLD and (size or 0) <= MOST_BYTES:
@@ -237,11 +246,11 @@ def first_state(blocks: DataFrame, words: DataFrame) -> DataFrame:
                     gids = np.array([own.get(w, -1) for w in words], np.int64)
                 else:
                     gids = as_array(batch.column("answers")[i].as_py(), len(words))
-                codes = np.frombuffer(which, np.int32)
+                codes = unpacked(which, np.int32)
                 found = gids[codes] >= 0 if len(codes) else np.empty(0, bool)
                 ids, number = np.unique(gids[codes[found]], return_inverse=True)
-                lists = [places(from_places(at)[found]), number.astype(np.int32).tobytes(), ids.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in lists * 2]], [c.split()[0] for c in STATE.split(", ")])
+                lists = [packed(np.empty(0))] * 3 + [places(from_places(at)[found]), packed(number.astype(np.int32)), packed(ids)]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in lists]], [c.split()[0] for c in STATE.split(", ")])
 
     return stored(state.mapInArrow(run, STATE))
 
