@@ -32,12 +32,14 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BLOCK, FILLING = 1 << 20, 8 << 20
 #: Frequent words or phrases that all tasks are told at most, and bytes of words.
 MOST_TOLD, MOST_BYTES = 2_000_000, 32 << 20
+#: Pairs that a task holds before it merges them, about; blocks to a bucket of pairs.
+PAIRS, BUCKET_BLOCKS = 2_000_000, 4
 #: By byte: 0 in a word, 1 between words, 2 between pieces.
 KINDS = np.zeros(256, np.uint8)
 KINDS[list(b" \t")] = 1
 KINDS[list(b".,;:!?\n\v\f\r")] = 2
 STATE = "block long, at binary, which binary, ids binary, word_at binary, word_which binary, word_ids binary"
-ASKED = "block long, number int, parent long, word long, n long"
+ASKED = "block long, number int, parent long, word long"
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -118,8 +120,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def numbered(counts: DataFrame) -> DataFrame:
-    """With a number `gid` for each row."""
-    return cut(cut(counts).withColumn("gid", F.monotonically_increasing_id()))
+    """With a number `gid` for each row, from 0 without gaps: those of a partition after those of the ones before it."""
+    placed = cut(counts).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    ahead = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("ahead"))
+    # A row for each partition, as the driver has one for each task.
+    return cut(placed.join(F.broadcast(ahead), "part").withColumn("gid", F.col("ahead") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at", "part", "ahead"))
 
 
 class Joined:
@@ -160,7 +166,7 @@ class Joined:
 
 
 def asked(state: DataFrame, k: int) -> DataFrame:
-    """Each block's extensions of its phrases of k words, numbered as in `Joined`, with the lengths of their lists."""
+    """Each block's extensions of its phrases of k words, numbered as in `Joined`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +174,95 @@ def asked(state: DataFrame, k: int) -> DataFrame:
                 block, *row = (c[i].as_py() for c in batch.columns)
                 made = Joined.read(k, row)
                 n = len(made.lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(made.parents), pa.array(made.words), pa.array(made.lengths.astype(np.int64))], [c.split()[0] for c in ASKED.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(made.parents), pa.array(made.words)], [c.split()[0] for c in ASKED.split(", ")])
 
     return state.mapInArrow(run, ASKED)
 
 
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order with the sums of their counts."""
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.diff(every, prepend=every[0] - 1)) if len(every) else np.empty(0, np.int64)
+    return every[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Sums:
+    """Counts by key, merged whenever PAIRS of them have come together."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting, self.held = 0, 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > PAIRS + self.held:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = merged(self.keys, self.counts) if self.keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+        self.keys, self.counts, self.waiting, self.held = [keys], [counts], len(keys), len(keys)
+        return keys, counts
+
+
+def frequent_pairs(state: DataFrame, k: int, n_words: int, least: int, buckets: int) -> DataFrame:
+    """(parent, word, f): the extensions of phrases of k words that stand `least` times or more in all blocks.
+
+    A pair is one number, parent * n_words + word. A task sums up what its blocks have, and hands it on in buckets by hash,
+    each a list of numbers in order, by their differences, compressed; a bucket's lists are merged as they come.
+    """
+    many = max(1, n_words)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            keys, counts = sums.merge()
+            drawn = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % buckets
+            order = np.argsort(drawn, kind="stable")
+            keys, counts, drawn = keys[order], counts[order], drawn[order]
+            bounds = np.flatnonzero(np.diff(drawn, prepend=-1, append=-1)) if len(drawn) else np.empty(0, np.int64)
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array([drawn[a]], pa.int64()), pa.array([packed(np.diff(keys[a:b], prepend=0))]), pa.array([packed(counts[a:b])])], ["bucket", "pairs", "counts"])
+            sums.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = Joined.read(k, [c[i].as_py() for c in batch.columns[1:]])
+                sums.add(made.parents * many + made.words, made.lengths.astype(np.int64))
+                if sums.held > PAIRS:
+                    yield from dealt()
+        yield from dealt()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, Sums()
+
+        def done() -> pa.RecordBatch:
+            keys, counts = sums.merge()
+            keys, counts = keys[counts >= least], counts[counts >= least]
+            return pa.RecordBatch.from_arrays([pa.array(keys // many), pa.array(keys % many), pa.array(counts)], ["parent", "word", "f"])
+
+        for batch in batches:
+            for bucket, pairs, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield done()
+                    now, sums = bucket, Sums()
+                sums.add(np.cumsum(unpacked(pairs, np.int64)), unpacked(counts, np.int64))
+        if now is not None:
+            yield done()
+
+    lists = state.mapInArrow(told, "bucket long, pairs binary, counts binary")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "parent long, word long, f long")
+
+
 def pair_numbers(parents: np.ndarray, words: np.ndarray, gids: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Tells the numbers of pairs (parent, word), -1 where there is none."""
     by_parent, by_word = np.unique(parents), np.unique(words)
@@ -195,14 +285,14 @@ def answered(asks: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
     return asks.join(frequent.select(*on, "gid"), on).groupBy(F.col("block").alias("__block")).agg(F.collect_list(F.struct("number", "gid")).alias("answers"))
 
 
-def advance(state: DataFrame, k: int, asks: DataFrame, frequent: DataFrame) -> DataFrame:
+def advance(state: DataFrame, k: int, frequent: DataFrame) -> DataFrame:
     """The blocks' states at k + 1, given the frequent (parent, word, gid)."""
     tell = None
     if frequent.count() <= MOST_TOLD:
         told = frequent.select("parent", "word", "gid").toArrow()
         tell = state.sparkSession.sparkContext.broadcast([told.column(c).to_numpy() for c in ("parent", "word", "gid")])
     else:
-        state = state.join(answered(asks, frequent, ["parent", "word"]), F.col("block") == F.col("__block"), "left").drop("__block")
+        state = state.join(answered(asked(state, k), frequent, ["parent", "word"]), F.col("block") == F.col("__block"), "left").drop("__block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = pair_numbers(*tell.value) if tell is not None else None
@@ -261,20 +351,20 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     totals = blocks.groupBy("lang").agg(F.sum("size").alias("n"))
     counted = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
     words = numbered(counted.where(F.col("f") >= least))
+    n_words, buckets = words.count(), max(8, -(-blocks.count() // BUCKET_BLOCKS))
     state = first_state(blocks, words)
     known = words.select("gid", "lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
     every = [known]
     last = words.select(F.col("gid").alias("word"), F.col("word").alias("letters"))
     for k in range(1, longest):
-        asks = asked(state, k)
-        frequent = numbered(asks.groupBy("parent", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        frequent = numbered(frequent_pairs(state, k, n_words, least, buckets))
         if frequent.isEmpty():
             break
         named = frequent.join(known.select(F.col("gid").alias("parent"), "lang", "phrase"), "parent").join(last, "word")
         known = cut(named.select("gid", "lang", F.concat_ws(" ", "phrase", "letters").alias("phrase"), F.lit(k + 1).alias("words"), "f"))
         every.append(known)
         if k + 1 < longest:
-            state = advance(state, k, asks, frequent)
+            state = advance(state, k, frequent)
     found = every[0]
     for more in every[1:]:
         found = found.unionByName(more)
