@@ -131,3 +131,12 @@ def test_pairs_of_several_files(spark, tmp_path):
             (tmp_path / side / name).write_text("".join(f"@{side}{name}{i}\nA\n+\nI\n" for i in range(2)))
     got = fasta.pairs(fasta.read_sequences(spark, f"{tmp_path}/l"), fasta.read_sequences(spark, f"{tmp_path}/r"))
     assert sorted((r.header_1, r.header_2) for r in got.collect()) == [(f"l{n}{i}", f"r{n}{i}") for n in ("one.fq", "two.fq") for i in range(2)]
+
+
+def test_gzip_without_any_suffix_comes_in_order(spark, tmp_path, cut_small):
+    content = reads(random.Random(11), 250)
+    raw = zlib.compressobj(wbits=31, level=0)
+    (tmp_path / "raw").write_bytes(raw.compress(content) + raw.flush())
+    assert splits.lines_of_splits(spark, [str(tmp_path)]).select("block").distinct().count() > 3
+    got = fasta.read_sequences(spark, str(tmp_path), large=10).collect()
+    assert [tuple(r)[1:] for r in sorted(got, key=lambda r: r.ordinal)] == plain(content)
