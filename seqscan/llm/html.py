@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -234,81 +235,116 @@ def width_of(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-#: A table of more places (columns taken by cells above, or padding) than this for each cell and character is not laid out.
-PLACES = 16
+#: A line wider than this runs over its column; a cell further than this from what is before it is moved next to that.
+WIDEST, FURTHEST = 80, 320
+#: Beyond all columns and rows.
+FAR = 1 << 62
 
 
-def placed(rows: list[list[tuple[str, tuple[int, int]]]]) -> list[dict[int, tuple[list[str], int]]] | None:
-    """Of each row the cells (lines, columns spanned) by column; cells from rows above push later ones to the right.
+def mark(borders: list[int], a: int, b: int, member: bool) -> None:
+    """Put a to b in or out of a set of numbers, kept as the sorted borders of its runs."""
+    i, j = bisect_left(borders, a), bisect_right(borders, b)
+    borders[i:j] = [x for x, at in ((a, i), (b, j)) if at % 2 != member]
 
-    None where so many columns are taken from above that the table is mostly holes.
+
+def placed(rows: list[list[tuple[str, tuple[int, int]]]]) -> list[dict[int, tuple[str, int]]]:
+    """Of each row the cells (text, columns spanned) by column; cells from rows above push later ones to the right.
+
+    What cells above take is kept in runs of columns, so that a row costs by its own cells, whatever hangs down over it.
     """
-    taken: dict[int, int] = {}  # columns and the rows from here on that a cell above takes; 0 rows: to the table's end
-    out, held, cells = [], 0, 64
-    for row in rows:
-        held, cells = held + len(taken), cells + len(row)
-        if held > PLACES * cells:
-            return None
-        here, at = {}, 0
-        over = dict(taken)
+    free = [0, FAR]
+    starts, until = [0], [0]  # from each of these columns to the next: the first row that cells above leave free
+    ends: list[tuple[int, int, int]] = []
+    out = []
+    for r, row in enumerate(rows):
+        while ends and ends[0][0] <= r:
+            _, a, b = heappop(ends)
+            i = bisect_right(starts, a) - 1
+            while i < len(starts) and starts[i] < b:
+                if until[i] <= r:
+                    mark(free, max(a, starts[i]), min([b, *starts[i + 1 : i + 2]]), True)
+                i += 1
+        here, at, down = {}, 0, []
         for text, (wide, high) in row:
-            while at in over:
-                at += 1
-            here[at] = (text.split("\n"), wide)
+            i = bisect_right(free, at)
+            if i % 2 == 0:
+                at = free[i]
+            here[at] = (text, wide)
             if high != 1:
-                taken |= dict.fromkeys(range(at, at + wide), high or 1 << 30)
+                down.append((r + high if high else FAR, at, at + wide))
             at += wide
         out.append(here)
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        for last, a, b in down:
+            mark(free, a, b, False)
+            heappush(ends, (last, a, b))
+            i, j = bisect_right(starts, a) - 1, bisect_left(starts, b)
+            runs = [(a, max(until[i], last)), *((s, max(u, last)) for s, u in zip(starts[i + 1 : j], until[i + 1 : j], strict=True))]
+            if j == len(starts) or starts[j] > b:
+                runs.append((b, until[j - 1]))
+            i += starts[i] < a
+            before = until[i - 1] if i else None
+            runs = [(s, u) for (s, u), (_, v) in zip(runs, [(0, before), *runs], strict=False) if u != v]
+            starts[i:j], until[i:j] = [s for s, _ in runs], [u for _, u in runs]
     return out
 
 
-def unaligned(row: list[tuple[str, tuple[int, int]]]) -> list[list[str]]:
-    """A row's lines as the parts of its cells that have some, without padding."""
-    cells = [text.split("\n") for text, _ in row]
-    lines: list[list[str]] = [[] for _ in range(max(map(len, cells), default=0))]
-    for c in cells:
-        for i, part in enumerate(c):
-            if part.strip():
-                lines[i].append(part)
-    return [x for x in lines if x]
-
-
 def aligned(rows: list[list[tuple[str, tuple[int, int]]]]) -> list[str]:
-    """Rows of cells (text, columns and rows spanned) as lines, columns as wide as their widest line.
+    """Rows of cells (text, columns and rows spanned) as lines, columns as wide as their widest line of up to WIDEST.
 
-    A table that would be PLACES times as large as its text is written without columns, cells set apart by bars.
+    One rule for tables of any size: a cell stands at its column, or right behind a line that has run over it. Columns are
+    passed by blanks and a bar each, but for ways of over FURTHEST: without blanks or, past too many columns, by one bar, the
+    rest of the line moved along. So lines take room by the cells on them, not by the table. Columns taken from above are
+    left out where no two rows have text in one column.
     """
-    found = placed(rows)
-    plain = lambda: [" | ".join(part) for row in rows for part in unaligned(row)]
-    if found is None:
-        return plain()
-    grid = [here for row, here in zip(rows, found, strict=True) if any(text.strip() for text, _ in row)]
-    width = [0] * max((k + n for here in grid for k, (_, n) in here.items()), default=0)
+    found = [here for here in placed(rows) if any(text.strip() for text, _ in here.values())]
+    columns = sorted({k for here in found for k in here})  # others take no room
+    number = {k: c for c, k in enumerate(columns)}
+    grid, filled = [], Counter()
+    for here in found:
+        row = [(number[k], bisect_left(columns, k + n), [(line, width_of(line)) for line in text.split("\n")]) for k, (text, n) in here.items()]
+        grid.append(row)
+        filled.update(c for c, _, lines in row if any(w for _, w in lines))
+    lined = max(filled.values(), default=0) > 1
+    width = [0] * len(columns)
     for spanned in (False, True):
-        for here in grid:
-            for k, (lines, n) in here.items():
-                need = max(map(width_of, lines)) - sum(width[k : k + n]) - 3 * (n - 1)
-                if (n > 1) == spanned and need > 0:
-                    width[k + n - 1] += need
-    written = sum(len(text) + 3 for row in rows for text, _ in row)
-    reach = [0]
+        for row in grid:
+            for c, end, lines in row:
+                if (end - c > 1) == spanned:
+                    need = max((w for _, w in lines if w <= WIDEST), default=0) - sum(width[c:end]) - 3 * (end - c - 1)
+                    width[end - 1] += max(need, 0)
+    place = [0]
     for w in width:
-        reach.append(reach[-1] + w + 3)
-    if sum(reach[max((k + n for k, (_, n) in here.items()), default=0)] * max(len(lines) for lines, _ in here.values()) for here in grid) > PLACES * (written + 4096):
-        return plain()
+        place.append(place[-1] + w + 3)
     out = []
-    for here in grid:
-        for i in range(max(len(lines) for lines, _ in here.values())):
-            line, at, filled = [], 0, 0
-            for k in sorted(here):
-                line += [" " * width[c] for c in range(at, k)]
-                lines, n = here[k]
-                text = lines[i] if i < len(lines) else ""
-                line.append(text + " " * (sum(width[k : k + n]) + 3 * (n - 1) - width_of(text)))
-                at = k + n
-                filled = len(line) if text else filled
-            out.append(" | ".join(line[:filled]).rstrip())
+    for row in grid:
+        own = {c: end for c, end, _ in row}
+        parts: defaultdict[int, list[tuple[int, str, int]]] = defaultdict(list)
+        for c, _, lines in row:
+            for i, (text, wide) in enumerate(lines):
+                if text.strip():
+                    parts[i].append((c, text, wide))
+        for i in sorted(parts):
+            line, at, x = [], 0, 0  # what is written, where in the table that is, the column it has got to
+            for c, text, wide in parts[i]:
+                bars = [x] if line else []
+                for _ in range(FURTHEST // 3):
+                    if x == c:
+                        break
+                    if x in own or lined:
+                        bars.append(own.get(x, x + 1))
+                    x = own.get(x, x + 1)
+                if x != c:
+                    bars = bars[:1] if line else []
+                far = x != c or place[c] - at > FURTHEST
+                for b in bars:
+                    blanks = 0 if far else max(place[b] - 3 - at, 0)
+                    line.append(" " * blanks + " | ")
+                    at += blanks + 3
+                if far or not lined:
+                    at = max(at, place[c])
+                line.append(text)
+                at, x = at + wide, own[c]
+            out.append("".join(line))
     return out
 
 

@@ -108,3 +108,58 @@ def test_tables_of_holes_are_told_without_columns():
     text = html.render("<table>" + "<tr><td rowspan=0>a" * 300 + "<tr><td>b<td>c</table>")
     assert text.splitlines() == ["a"] * 300 + ["b | c"]
     assert html.render("<table><tr><td rowspan=0>a<td>b<tr><td>cc</table>") == "a | b\n  | cc"
+
+
+@pytest.mark.parametrize("head", ["<td>" + "w" * 5000 + "<td>z", "<td rowspan=0>h" * 40, "<td rowspan=0>h" * 400, "<td>" + "<td>".join(["w" * 50] * 200)])
+@pytest.mark.parametrize("row", ["<td>a<td>bb", "<td colspan=3>c<td>d<br>e", "<td>" * 90 + "f"])
+def test_layout_does_not_depend_on_how_many_rows_there_are(head, row):
+    few, *more = (html.render("<table><tr>" + head + ("<tr>" + row) * n + "</table>").splitlines() for n in (2, 20, 2000))
+    for n, lines in zip((20, 2000), more, strict=True):
+        assert lines == few[:1] + few[1:] * (n // 2)
+
+
+def test_lines_run_over_and_far_cells_move():
+    assert html.render(f"<table><tr><td>{'w' * 90}<td><td>x<tr><td>abc<td>d<td>y</table>") == "w" * 90 + " |  | x\nabc | d | y"
+    assert html.render(f"<table><tr>{'<td rowspan=0>h' * 200}<td>i<tr><td>ab<tr><td>c<td>d<tr><td>e<td>f</table>").splitlines()[1:] == ["ab", "c  | d", "e  | f"]
+
+
+def test_cells_are_placed_as_slot_by_slot():
+    import random
+
+    def plain(rows):
+        taken, out = {}, []
+        for r, row in enumerate(rows):
+            here, at, down = {}, 0, []
+            for text, (wide, high) in row:
+                while taken.get(at, 0) > r:
+                    at += 1
+                here[at] = (text, wide)
+                down += [(c, r + (high or 1000)) for c in range(at, at + wide)]
+                at += wide
+            for c, last in down:
+                taken[c] = max(taken.get(c, 0), last)
+            out.append(here)
+        return out
+
+    pick = random.Random(1)
+    for _ in range(3000):
+        rows = [[("x", (pick.choice([1, 1, 1, 2, 7]), pick.choice([1, 1, 0, 2, 3, 9]))) for _ in range(pick.randint(0, 5))] for _ in range(pick.randint(1, 12))]
+        assert html.placed(rows) == plain(rows)
+
+
+def test_tables_take_room_by_their_text():
+    import time
+
+    n = 20_000
+    tables = {
+        "spans of all lengths": "<tr>" + "".join(f"<td rowspan={i * 7919 % n + 1}>h" for i in range(n)) + "<tr><td>x<td>y" * n,
+        "wide and long spans": "<tr>" + "<td colspan=1000 rowspan=0>a" * n + "<tr><td>b<td>c" * n,
+        "many cells and lines": "<tr>" + "<td>x" * n + "<td>" + "<br>y" * n,
+        "overlaps": "<tr><td>a<td rowspan=7>b<td>c<td rowspan=0>d<tr><td colspan=1000 rowspan=3>e" * (n // 4),
+        "wide columns": "<tr>" + "<td>".join(["w" * 60] * 2000) + "<tr><td colspan=1000>a<td>b" * n,
+    }
+    for name, rows in tables.items():
+        began = time.perf_counter()
+        text = html.render(f"<table>{rows}</table>")
+        assert time.perf_counter() - began < 20, name
+        assert len(text) < 20 * len(rows), name
